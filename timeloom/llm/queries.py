@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ngram_join, packing, topk, url_filter, warc
+from . import bpe, line_dedup, ngram_join, packing, topk, url_filter, warc
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -16,6 +16,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = r"""
+WITH s AS (SELECT doc_id, text, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS w FROM documents),
+l AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS line FROM s),
+u AS (SELECT line, min(struct_pack(d := doc_id, i := i)) AS p, length(line) AS n FROM l WHERE trim(line, E' 	') <> '' GROUP BY line),
+g AS (SELECT line, p, n, n + e AS m, left(line, (n + e) // 2) AS half, 0 AS side FROM u, (VALUES (0), (1)) v(e) WHERE n >= 20
+  UNION ALL SELECT line, p, n, n + e, right(line, n + e - (n + e) // 2), 1 FROM u, (VALUES (0), (1)) v(e) WHERE n >= 20),
+c AS (SELECT DISTINCT a.line AS a, b.line AS b, a.n AS an, b.n AS bn, b.p FROM g a JOIN g b ON a.m = b.m AND a.side = b.side AND a.half = b.half AND a.line <> b.line AND abs(a.n - b.n) <= 1),
+k AS (SELECT a AS line, min(p) AS p FROM c WHERE len(list_filter(range(0, greatest(an, bn)), lambda q: left(a, q) = left(b, q)
+  AND substr(a, q + 1 + CASE WHEN an >= bn THEN 1 ELSE 0 END) = substr(b, q + 1 + CASE WHEN bn >= an THEN 1 ELSE 0 END))) > 0 GROUP BY a),
+f AS (SELECT l.*, u.line IS NULL OR (u.p = struct_pack(d := l.doc_id, i := l.i) AND (k.p IS NULL OR k.p > struct_pack(d := l.doc_id, i := l.i))) AS stays
+  FROM l LEFT JOIN u ON u.line = l.line LEFT JOIN k ON k.line = l.line)
+SELECT s.doc_id, count(f.i) AS n_lines, count(f.i) FILTER (f.stays) AS n_kept,
+  coalesce(string_agg(f.line, chr(10) ORDER BY f.i) FILTER (f.stays), '') AS text
+FROM s LEFT JOIN f ON f.doc_id = s.doc_id GROUP BY s.doc_id
+"""
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -80,6 +101,6 @@ SELECT c.page_id, c.host, c.path, m.rule, coalesce(m.action, 'allow') AS verdict
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_bpe_round_trip, op5_warc, op7_packing, op8_ngram_join, op9_top_k, op10_url_filter)
+    for f in (op1_line_dedup, op2_bpe_round_trip, op5_warc, op7_packing, op8_ngram_join, op9_top_k, op10_url_filter)
 }
-ORACLE_SQL: dict[str, str] = {"op8_ngram_join": OP8_SQL, "op9_top_k": OP9_SQL, "op10_url_filter": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op8_ngram_join": OP8_SQL, "op9_top_k": OP9_SQL, "op10_url_filter": OP10_SQL}
