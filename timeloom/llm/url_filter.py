@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import small_batches
 
@@ -100,6 +100,23 @@ def opened(name: str) -> Rules:
     return Rules(SparkFiles.get(name))
 
 
+def publish(spark: SparkSession, content: bytes) -> str:
+    """Hand the rule file to all executors; its name, under which workers open it.
+
+    The same rules are the same file within an application, as Spark takes a name only once.
+    """
+    name = f"url-rules-{hashlib.sha1(content).hexdigest()}.bin"
+    folder = os.path.join(tempfile.gettempdir(), f"timeloom-{spark.sparkContext.applicationId}")
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, name)
+    if not os.path.exists(path):
+        with open(f"{path}.{os.getpid()}", "wb") as f:
+            f.write(content)
+        os.replace(f.name, path)
+    spark.sparkContext.addFile(path)
+    return name
+
+
 def split(url: str | None) -> tuple[str, str]:
     """Host (A-Z in lower case) and path of a URL; both empty without ``://``."""
     _, mark, rest = (url or "").partition("://")
@@ -120,12 +137,7 @@ def judge(df: DataFrame, rules: Sequence[Rule], key: str = "page_id", url: str =
     URLs that no rule fits.  Repeated keys stay separate rows, other columns are ignored.
     """
     spark = df.sparkSession
-    content = build(rules)
-    name = f"url-rules-{hashlib.sha1(content).hexdigest()}.bin"
-    folder = tempfile.mkdtemp(prefix="timeloom-rules-")
-    with open(os.path.join(folder, name), "wb") as f:
-        f.write(content)
-    spark.sparkContext.addFile(os.path.join(folder, name))
+    name = publish(spark, build(rules))
     small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
