@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, ngram_join, packing, topk, url_filter, warc
+from . import bpe, fingerprints, license_scan, line_dedup, ngram_join, packing, topk, url_filter, warc
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -23,7 +23,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH s AS (SELECT doc_id, text, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS w FROM documents),
 l AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS line FROM s),
-u AS (SELECT line, min(struct_pack(d := doc_id, i := i)) AS p, length(line) AS n FROM l WHERE trim(line, E' 	') <> '' GROUP BY line),
+u AS (SELECT line, min(struct_pack(d := doc_id, i := i)) AS p, length(line) AS n FROM l WHERE trim(line, E' 	
+') <> '' GROUP BY line),
 g AS (SELECT line, p, n, n + e AS m, left(line, (n + e) // 2) AS half, 0 AS side FROM u, (VALUES (0), (1)) v(e) WHERE n >= 20
   UNION ALL SELECT line, p, n, n + e, right(line, n + e - (n + e) // 2), 1 FROM u, (VALUES (0), (1)) v(e) WHERE n >= 20),
 c AS (SELECT DISTINCT a.line AS a, b.line AS b, a.n AS an, b.n AS bn, b.p FROM g a JOIN g b ON a.m = b.m AND a.side = b.side AND a.half = b.half AND a.line <> b.line AND abs(a.n - b.n) <= 1),
@@ -41,10 +42,39 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+TEMPLATE_ROWS = ", ".join(f"('{label}', list_distinct(string_split('{text}', ' ')))" for label, text in license_scan.TEMPLATES)
+PHRASE_ROWS = ", ".join(f"('{label}', ' {text} ')" for label, text in license_scan.PHRASES)
+OP6_SQL = rf"""
+WITH t(label, words) AS (VALUES {TEMPLATE_ROWS}), p(label, phrase) AS (VALUES {PHRASE_ROWS}),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT doc_id, len(w) AS n_words, label, unnest(list_filter(range(0, len(w)),
+  lambda i: array_to_string(w[i + 1:i + len(string_split(trim(phrase), ' '))], ' ') = trim(phrase))) AS i
+  FROM d, p WHERE contains(' ' || array_to_string(w, ' ') || ' ', phrase)),
+b AS (SELECT doc_id, unnest(list_transform(range(0, (len(w) + 19) // 20), lambda i: list_distinct(w[20 * i + 1:20 * i + 40]))) AS w FROM d),
+m AS (SELECT doc_id, label, max(len(list_intersect(b.w, t.words)) / len(t.words)) AS c FROM b, t
+  WHERE len(list_intersect(b.w, t.words)) * 1000000 >= len(t.words) * 800000 GROUP BY ALL),
+x AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM s GROUP BY doc_id),
+y AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM s UNION SELECT doc_id, label FROM m) GROUP BY doc_id),
+z AS (SELECT doc_id, max(c) AS c FROM m GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, CAST(CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(z.c, 0.0) END AS DOUBLE) AS score
+FROM d LEFT JOIN x ON x.doc_id = d.doc_id LEFT JOIN y ON y.doc_id = d.doc_id LEFT JOIN z ON z.doc_id = d.doc_id
+"""
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -101,6 +131,6 @@ SELECT c.page_id, c.host, c.path, m.rule, coalesce(m.action, 'allow') AS verdict
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_bpe_round_trip, op5_warc, op7_packing, op8_ngram_join, op9_top_k, op10_url_filter)
+    for f in (op1_line_dedup, op2_bpe_round_trip, op4_fingerprints, op5_warc, op6_license_scan, op7_packing, op8_ngram_join, op9_top_k, op10_url_filter)
 }
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op8_ngram_join": OP8_SQL, "op9_top_k": OP9_SQL, "op10_url_filter": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op6_license_scan": OP6_SQL, "op8_ngram_join": OP8_SQL, "op9_top_k": OP9_SQL, "op10_url_filter": OP10_SQL}
