@@ -1,15 +1,56 @@
-"""A corpus pipeline of four stages over documents."""
+"""A corpus pipeline over documents: language, repeated lines, near duplicates, packing."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from timeloom.llm import language_id, line_dedup, ngram_join, packing
+from timeloom.llm.common import materialise
+from timeloom.llm.queries import WORD_BPE
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: The columns of documents.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified; the others go."""
+    return language_id.identify(docs).where("accepted").select(*COLUMNS)
+
+
+def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that earlier ones repeat; those that lose all they said go."""
+    found = line_dedup.dedup(docs, carry=("lang", "source"))
+    said = F.length(F.trim(F.translate("text", "\t\n\r\x0b\x0c", "     "))) > 0
+    kept = found.where(said | (F.col("n_kept") == F.col("n_lines")))
+    return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id."""
+    groups = ngram_join.join(docs)
+    removed = materialise(groups.where("component_id < doc_id").select("doc_id").distinct(), "removed")
+    few = removed.count() <= ngram_join.BROADCAST_ROWS
+    return docs.join(F.broadcast(removed) if few else removed, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents, packed into sequences of 4096."""
+    return packing.pack_documents(docs, public_tokenizers.path(WORD_BPE))
+
 
-STAGES: list = []
+STAGES: list[tuple[str, Stage]] = [("language", known_language), ("lines", fresh_lines), ("near", one_of_each), ("packing", packed)]
+#: Language models and packing by a genetic algorithm have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over documents; each stage is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

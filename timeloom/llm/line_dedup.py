@@ -241,8 +241,8 @@ def kept_lines(lines: list[str], hashes: list[int], gone: set[int], blank: list[
     return out
 
 
-def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n_lines, n_kept, text`` for each row, the text without the lines that earlier ones repeat.
+def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key, n_lines, n_kept, text`` and the columns ``carry`` for each row, the text without the lines that earlier ones repeat.
 
     A line that is not blank goes if an earlier line equals it or, where both have at least
     ``MIN_FUZZY`` characters, is one edit away (a character put in, left out or replaced); the
@@ -250,7 +250,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     a smaller key and those before it in its own document.  Rows that repeat a key do not
     remove each other's lines; rows without a key neither remove others' lines nor lose any to
     them.  Lines end at line feeds; blank lines stay; a null or empty text has no lines and
-    gives an empty one.  Other columns are ignored.
+    gives an empty one.  Columns that are not carried are ignored.
     """
     docs = df.select(df[key].cast("bigint").alias("doc"), df[text].alias("text"))
     rows = line_hashes(docs.where("doc is not null"))
@@ -258,7 +258,8 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     equal = rows.join(first, "h").where("doc > first").select("h", "doc")
     gone = equal.unionByName(near_losers(docs.where("doc is not null")))
     gone = gone.groupBy("doc").agg(F.collect_set("h").alias("gone"))  # at most a document's own lines
-    joined = docs.join(gone, "doc", "left").select("doc", "gone", "text")
+    whole = df.select(df[key].cast("bigint").alias("doc"), *(df[c].alias(f"c{i}") for i, c in enumerate(carry)), df[text].alias("text"))
+    joined = whole.join(gone, "doc", "left").select("doc", "gone", "text", *(f"c{i}" for i in range(len(carry))))
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,6 +280,9 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                     counts.append(j - i)
                     kept.append(len(stay))
                     out.append("\n".join(stay))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(kept, pa.int64()), pa.array(out, pa.string())], names=[key, "n_lines", "n_kept", text])
+                made = [part.column(0), pa.array(counts, pa.int64()), pa.array(kept, pa.int64()), pa.array(out, pa.string())]
+                yield pa.RecordBatch.from_arrays([*made, *part.columns[3:]], names=["doc", "n_lines", "n_kept", "text", *part.schema.names[3:]])
 
-    return joined.mapInArrow(run, f"`{key}` bigint, n_lines bigint, n_kept bigint, `{text}` string")
+    kinds = "".join(f", c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    out = joined.mapInArrow(run, f"doc bigint, n_lines bigint, n_kept bigint, text string{kinds}")
+    return out.toDF(key, "n_lines", "n_kept", text, *carry)

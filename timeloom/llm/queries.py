@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, license_scan, line_dedup, ngram_join, packing, topk, url_filter, warc
+from . import bpe, fingerprints, language_id, license_scan, line_dedup, ngram_join, packing, topk, url_filter, warc
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -42,6 +42,11 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "language", "confidence", "accepted")
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
 
@@ -131,6 +136,6 @@ SELECT c.page_id, c.host, c.path, m.rule, coalesce(m.action, 'allow') AS verdict
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_bpe_round_trip, op4_fingerprints, op5_warc, op6_license_scan, op7_packing, op8_ngram_join, op9_top_k, op10_url_filter)
+    for f in (op1_line_dedup, op2_bpe_round_trip, op3_language_id, op4_fingerprints, op5_warc, op6_license_scan, op7_packing, op8_ngram_join, op9_top_k, op10_url_filter)
 }
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op6_license_scan": OP6_SQL, "op8_ngram_join": OP8_SQL, "op9_top_k": OP9_SQL, "op10_url_filter": OP10_SQL}
