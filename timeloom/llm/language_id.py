@@ -47,7 +47,7 @@ class Settings:
     languages: int = 16
     temper: float = 100.0
     strength: float = 20.0
-    slack: float = 3.0
+    slack: float = 5.5
     least: float = 0.5
 
 
