@@ -36,6 +36,8 @@ SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 #: Cells of the second filter for each of the first's; rows of one or two numbers that may be broadcast.
 FINE, BROADCAST_ROWS = 4, 2_000_000
+#: Members of a cell up to which their pairs are listed, and members of a block beyond that.
+FEW, MEMBERS = 8, 400
 #: Cells of a group, one of which is left out of each signature: three where sets are small and two
 #: cells would often be empty, two where there are more groups than this.
 MANY = 8
@@ -281,7 +283,7 @@ def matching(texts: DataFrame, words: int, seed: int) -> DataFrame:
 
 
 def prefixes(cells: DataFrame) -> DataFrame:
-    """``cell, h1, common``: the rarest cells of each class and scheme, one more than may differ.
+    """``cell, h1, scheme, common``: the rarest cells of each class and scheme, one more than may differ.
 
     Sets that agree in all but ``bound`` of their cells share one of these.  A cell that no other class
     has fills a place but needs no row; a class with too many such cells has no partner at all.
@@ -290,8 +292,8 @@ def prefixes(cells: DataFrame) -> DataFrame:
     size = cells.groupBy("h1", "scheme").agg(F.count("*").alias("n"), F.first("bound").alias("bound"))
     shared = cells.join(often, "cell").groupBy("h1", "scheme").agg(F.sort_array(F.collect_list(F.struct("freq", "cell"))).alias("shared"))
     row = size.join(shared, ["h1", "scheme"]).withColumn("take", F.col("bound") + 1 - (F.col("n") - F.size("shared")))
-    row = row.where("take > 0").select("h1", F.size("shared").alias("common"), F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("c"))
-    return row.select(F.col("c.cell").alias("cell"), "h1", "common")
+    row = row.where("take > 0").select("h1", "scheme", F.size("shared").alias("common"), F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("c"))
+    return row.select(F.col("c.cell").alias("cell"), "h1", "scheme", "common")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, like: Similarity) -> DataFrame:
@@ -354,6 +356,57 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
+def close_pairs(members: DataFrame, texts: DataFrame, words: int, seed: int, like: Similarity) -> DataFrame:
+    """Pairs ``a, b`` of members of one cell in different components that differ in few enough cells.
+
+    Members: ``cell, h1, scheme, part, many``.  Each comes with a byte of each of its cells, so that
+    pairs are compared in memory and only those that can be similar become rows.  A busy
+    cell is dealt into blocks, and each pair of blocks is a group of its own.
+    """
+    small_batches(members.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            for lo, hi in slices(offsets):
+                part = batch.slice(lo, hi - lo)
+                elements, at = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words)
+                elements = elements ^ mix(np.array([seed], np.uint64))[0]
+                owner, scheme, _, cell = fine_cells(elements, at, like)
+                order = np.lexsort((np.arange(len(owner)), scheme, owner))
+                owner, scheme, cell = owner[order], scheme[order], cell[order]
+                starts = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (scheme[1:] != scheme[:-1])])) if len(owner) else np.zeros(0, np.int64)
+                raw = (cell & np.uint64(255)).astype(np.uint8).tobytes()
+                bounds = [*starts.tolist(), len(raw)]
+                sketches = pa.array([raw[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+                own = owner[starts]
+                yield record(["h1", "scheme", "size", "sketch"], part.column(0).take(pa.array(own)), scheme[starts].astype(np.int32), np.diff(at)[own], sketches)
+
+    wanted = members.select("h1").distinct()
+    sketches = texts.join(wanted, "h1", "left_semi").select("h1", "text").mapInArrow(run, "h1 bigint, scheme int, size bigint, sketch binary")
+    blocks = F.ceil(F.col("many") / MEMBERS).cast("int")
+    rows = members.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("h1"), blocks).cast("int")}).join(sketches, ["h1", "scheme"])
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cell", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "h1", "part", "size", "sketch")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        lo, hi = key[1].as_py(), key[2].as_py()
+        h, part, size, block = (table[c].to_numpy() for c in ("h1", "part", "size", "block"))
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(h), -1)
+        left = np.flatnonzero(block == lo)
+        right = left if lo == hi else np.flatnonzero(block == hi)
+        found: list[np.ndarray] = []
+        for i in left.tolist():
+            others = right[(part[right] != part[i]) & (h[right] > h[i] if lo == hi else True)]
+            apart = (sketch[others] != sketch[i]).sum(1)
+            good = others[apart <= (size[others] + size[i]) * (like.den - like.num) // (like.den + like.num)]
+            found.append(np.stack([np.full(len(good), h[i]), h[good]]))
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.table([pa.array(pairs.min(0)), pa.array(pairs.max(0))], names=["a", "b"])
+
+    return rows.groupBy("cell", "lo", "hi").applyInArrow(compare, "a bigint, b bigint")
+
+
 def links(texts: DataFrame, words: int, seed: int, like: Similarity) -> DataFrame:
     """Enough links (``a, b``) between classes to span their components, each verified."""
     rows = materialise(prefixes(celled(texts, words, seed, like)), "prefixes")
@@ -363,12 +416,14 @@ def links(texts: DataFrame, words: int, seed: int, like: Similarity) -> DataFram
     stars = materialise(stars, "stars")
     first = materialise(verified(stars, texts, words, like), "links")
     part = components(first)
-    labelled = rows.select("cell", "h1").distinct().join(part.withColumnRenamed("id", "h1"), "h1", "left")
-    labelled = labelled.select("cell", "h1", F.coalesce("component", "h1").alias("part"))
-    mixed = labelled.groupBy("cell").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("cell")
+    labelled = rows.join(part.withColumnRenamed("id", "h1"), "h1", "left")
+    labelled = labelled.select("cell", "h1", "scheme", F.coalesce("component", "h1").alias("part"))
+    mixed = labelled.groupBy("cell").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("many")).where("lo <> hi").select("cell", "many")
     left = materialise(labelled.join(mixed, "cell"), "mixed")
-    x, y = left.select("cell", F.col("h1").alias("a"), F.col("part").alias("p")), left.select("cell", F.col("h1").alias("b"), F.col("part").alias("q"))
-    rest = x.join(y, "cell").where("a < b and p <> q").select("a", "b").distinct()
+    few = left.where(F.col("many") <= FEW)
+    x, y = few.select("cell", F.col("h1").alias("a"), F.col("part").alias("p")), few.select("cell", F.col("h1").alias("b"), F.col("part").alias("q"))
+    rest = x.join(y, "cell").where("a < b and p <> q").select("a", "b")
+    rest = rest.unionByName(close_pairs(left.where(F.col("many") > FEW), texts, words, seed, like)).distinct()
     rest = rest.join(stars, ["a", "b"], "left_anti")
     return first.unionByName(materialise(verified(rest, texts, words, like), "links"))
 
