@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "der_per_clip"
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+MODULES = ("timeline_queries", "scoring_queries", "frame_queries", "text_queries", "dataset_queries", "algorithm_queries")
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    found: dict[str, Query] = {}
+    for name in MODULES:
+        found |= import_module(f"timeloom.plans.{name}").QUERIES
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    found: dict[str, str] = {}
+    for name in MODULES:
+        found |= import_module(f"timeloom.plans.{name}").SQL
+    return found
