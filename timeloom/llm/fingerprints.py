@@ -7,9 +7,10 @@ document's sample.  Two documents have the same one with a probability that
 equals the generalised Jaccard similarity of their weights, so the share of equal
 samples estimates it.
 
-One 64-bit hash of (term, k) gives all draws: 12 bits pick r from a table of
-quantiles, 16 bits pick ln c from another, 36 bits are b.  A value and its sample
-share one long, so that a sample is the minimum of a long: 64 of them are
+One 64-bit hash of (term, k) gives all draws: 18 bits pick r and 26 bits ln c from
+tables of quantiles, with straight lines between their entries; 20 bits are b.  The
+table of c is a fine one where c is small, as the minimum lies there.  A value and its
+sample share one long, so that a sample is the minimum of a long: 64 of them are
 one hash aggregation with primitive buffers.
 """
 
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 SAMPLES = 64
-R_BITS, C_BITS, B_BITS = 12, 16, 36
+#: Entries of a table, in bits.
+BITS = 10
+SIZE = 1 << BITS
 #: Values lie above this, and are stored in steps of 2**-22.
 FLOOR, STEP = -200.0, 2.0**22
 LOW = (1 << 32) - 1
@@ -41,29 +44,38 @@ def gamma_quantile(p: float) -> float:
     return x
 
 
-@lru_cache(maxsize=4)
-def quantiles(bits: int, log: bool) -> list[float]:
-    """The middle quantiles of 2**bits equal shares."""
-    n = 1 << bits
-    values = (gamma_quantile((i + 0.5) / n) for i in range(n))
-    return [math.log(x) if log else x for x in values]
+@lru_cache(maxsize=1)
+def quantiles() -> tuple[list[float], list[float]]:
+    """Quantiles of r at i / SIZE, and of ln c at i / SIZE and then at i / SIZE**2; ends stand a little inside (0, 1)."""
+    inside = lambda p: min(max(p, 2.0**-22), 1 - 2.0**-20)
+    coarse = [gamma_quantile(inside(i / SIZE)) for i in range(SIZE + 1)]
+    fine = [gamma_quantile(inside(i / SIZE**2)) for i in range(SIZE + 1)]
+    return coarse, [math.log(x) for x in coarse + fine]
 
 
 def tables(spark: SparkSession) -> list[Column]:
-    """The quantiles of r and of ln c as scalar subqueries, which a plan evaluates once."""
-    schema = "r array<double>, c array<double>"
-    rows = spark.createDataFrame([(quantiles(R_BITS, False), quantiles(C_BITS, True))], schema).coalesce(1)
+    """The quantiles as scalar subqueries, which a plan evaluates once."""
+    rows = spark.createDataFrame([quantiles()], "r array<double>, c array<double>").coalesce(1)
     return [rows.select(c).scalar() for c in ("r", "c")]
 
 
+def between(table: Column, place: Column, part: Column) -> Column:
+    """The value at ``place`` and ``part`` (0 to 1) of the way to the next."""
+    low = F.get(table, place)
+    return low + (F.get(table, place + 1) - low) * part
+
+
 def samples(term: Column, weight: Column, n: int, r_table: Column, c_table: Column) -> list[Column]:
     """A long for each k whose minimum over a document's terms holds its sample in the low 32 bits."""
     out = []
     for k in range(n):
         x = F.xxhash64(term, F.lit(k))
-        r = F.get(r_table, F.shiftrightunsigned(x, 64 - R_BITS).cast("int"))
-        log_c = F.get(c_table, F.shiftrightunsigned(x, B_BITS).bitwiseAND((1 << C_BITS) - 1).cast("int"))
-        b = x.bitwiseAND((1 << B_BITS) - 1).cast("double") * 2.0**-B_BITS
+        bits = lambda shift, width, x=x: F.shiftrightunsigned(x, shift).bitwiseAND((1 << width) - 1).cast("int")
+        r = between(r_table, bits(54, BITS), bits(46, 8) / 256.0)
+        high, low = bits(36, BITS), bits(26, BITS)
+        rare = high == 0
+        log_c = between(c_table, F.when(rare, low + SIZE + 1).otherwise(high), F.when(rare, bits(20, 6) / 64.0).otherwise(low / float(SIZE)))
+        b = bits(0, 20) / float(1 << 20)
         t = F.floor(weight / r + b)
         value = log_c - r * (t.cast("double") - b + 1.0)
         rank = ((value - FLOOR) * STEP).cast("bigint")
