@@ -109,7 +109,7 @@ def single_winner(df: DataFrame, keys: Sequence[str], speaker: str, width: int)
     Slices of one winner that touch are joined.
     """
     total = df.groupBy(*keys, speaker).agg(F.sum(F.col("t1") - F.col("t0")).alias("__total"))
-    rated = df.join(total, [*keys, speaker])
+    rated = df.where("t1 > t0").join(total, [*keys, speaker])  # a moment covers no slice
     slices = sweep(df, keys, {"__n": F.lit(1)}).where("__n > 0").select(*keys, "t0", "t1")
     met = join(slices, rated.select(*keys, "t0", "t1", speaker, "__total"), keys, width)
     order = Window.partitionBy(*keys, "t0").orderBy(F.desc("b___total"), f"b_{speaker}")
