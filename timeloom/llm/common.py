@@ -2,46 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from timeloom.storage import fresh_path, materialise, shared_dir
+
+__all__ = ["SLICE_BYTES", "fresh_path", "materialise", "shared_dir", "slices", "small_batches", "spread", "utf8"]
 #: Bytes of text that a Python worker holds in numpy arrays at a time.
 SLICE_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share.
-
-    The session's ``spark.checkpoint.dir``; where that is unset (tests,
-    notebooks) a temporary folder becomes this session's setting.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="timeloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again.
-
-    This cuts the lineage: later stages reread committed files, so a lost
-    executor costs no more than its own tasks.
-    """
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows and bytes of an Arrow batch, as texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
