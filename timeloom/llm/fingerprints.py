@@ -102,18 +102,19 @@ def successors(docs: DataFrame) -> DataFrame:
     return joined.select("doc", F.coalesce("next", "follow").alias("next"), "q")
 
 
-def with_edit(docs: DataFrame, after: DataFrame) -> DataFrame:
+def with_edit(docs: DataFrame, after: DataFrame, again: bool) -> DataFrame:
     """``doc, text, edited``: the last quarter replaced by the start of the next document."""
     side = after.select(F.col("doc").alias("of"), "next", "q")
     heads = docs.join(side, docs["doc"] == side["next"]).select("of", F.expr("left(text, q)").alias("head"))
-    heads = heads.groupBy("of").agg(F.min("head").alias("head")) if repeated(docs) else heads
+    heads = heads.groupBy("of").agg(F.min("head").alias("head")) if again else heads
     joined = docs.join(heads, docs["doc"] == heads["of"], "left")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.coalesce(F.expr("left(head, cast(floor(length(text) / 4) as int))"), F.lit("")))
     return joined.select("doc", "text", edited.alias("edited"))
 
 
 def repeated(docs: DataFrame) -> bool:
-    return not docs.where("doc is not null").groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    """Whether some rows have one key (or none): only then are rows told apart and looked through for equal ones."""
+    return not docs.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
 def sampled(texts: DataFrame, n: int) -> DataFrame:
@@ -158,14 +159,15 @@ def fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     """
     docs = df.select(df[key].cast("bigint").alias("doc"), F.coalesce(df[text], F.lit("")).alias("text"))
     after = materialise(successors(docs), "next")
-    edits = with_edit(docs, after).withColumn("text_hash", F.xxhash64("text"))
+    again = repeated(docs)
+    edits = with_edit(docs, after, again).withColumn("text_hash", F.xxhash64("text"))
     facts = edits.select("doc", "text_hash", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    found = sampled(edits, n)
+    found = sampled(edits.dropDuplicates(["doc", "text_hash"]) if again else edits, n)
     key_of = ["doc", "text_hash"]
     pair = found.groupBy(*key_of).agg(*(F.max(F.when(F.col("which") == i, F.col("samples"))).alias(c) for i, c in enumerate(("own", "edit"))))
     same = [facts[c].eqNullSafe(pair[c]) for c in key_of]
     rows = materialise(facts.join(pair, same[0] & same[1], "left").select(facts["doc"], "n_chars", "edited_sha256", "own", "edit"), "samples")
-    firsts = rows.where("doc is not null").groupBy("doc").agg(F.min("own").alias("other")) if repeated(docs) else rows.where("doc is not null").select("doc", F.col("own").alias("other"))
+    firsts = rows.where("doc is not null").groupBy("doc").agg(F.min("own").alias("other")) if again else rows.where("doc is not null").select("doc", F.col("own").alias("other"))
     nexts = after.join(firsts, after["next"] == firsts["doc"]).select(after["doc"].alias("of"), "other")
     out = rows.join(nexts, rows["doc"] == nexts["of"], "left")
     near_next = F.when(F.col("of").isNull(), 0.0).otherwise(likeness(F.col("own"), F.col("other"), n))
