@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from timeloom.functions import arrays
@@ -12,11 +12,15 @@ from . import projections as P
 from .registry import registry
 
 QUERIES, SQL, query = registry()
-ORDER = Window.partitionBy("user_id").orderBy("frame")
 TYPES = ("click", "error", "purchase", "signup", "view")
 W = "WINDOW w AS (PARTITION BY user_id ORDER BY frame)"
 
 
+def by_user() -> WindowSpec:
+    """Made when a query runs, as windows need a session."""
+    return Window.partitionBy("user_id").orderBy("frame")
+
+
 @query(f"""WITH {P.FRAMES}, m AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS fresh FROM frames {W}), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS g FROM m)
 SELECT user_id, event_type, CAST(min(frame) AS INTEGER) AS start, count(*) AS length FROM g GROUP BY user_id, event_type, g""")
 def run_length(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +44,7 @@ def majority_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {P.FRAMES}, l AS (SELECT user_id, frame, list(score) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS l FROM frames)
 SELECT user_id, CAST(frame AS INTEGER) AS frame, round(list_sort(list_concat(l, list_resize(CAST([] AS DOUBLE[]), 13 - len(l), CAST(0 AS DOUBLE))))[7], 6) AS filtered FROM l""")
 def median_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.frames(spark, sf_dir).select("user_id", "frame", F.round(frames.median_filter(F.col("score"), ORDER, 13), 6).alias("filtered"))
+    return P.frames(spark, sf_dir).select("user_id", "frame", F.round(frames.median_filter(F.col("score"), by_user(), 13), 6).alias("filtered"))
 
 
 @query(f"""WITH {P.FRAMES}, b AS (SELECT user_id, frame, CAST(score > 0.3 AS INTEGER) AS v FROM frames), d AS (SELECT user_id, frame, max(v) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 5 PRECEDING AND 6 FOLLOWING) AS d FROM b)
@@ -62,7 +66,7 @@ SELECT user_id, CAST(frame AS INTEGER) AS frame, round(coalesce(first_value(v IG
 def missing_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.when(F.col("event_id") % 3 == 0, F.col("score"))
     f = P.frames(spark, sf_dir).withColumn("v", v)
-    return f.select("user_id", "frame", F.round(frames.fill(F.col("v"), ORDER), 6).alias("v"))
+    return f.select("user_id", "frame", F.round(frames.fill(F.col("v"), by_user()), 6).alias("v"))
 
 
 @query(f"""WITH {P.FRAMES}, k AS (SELECT user_id, frame * 3 AS f, score, lead(frame * 3) OVER w AS f2, lead(score) OVER w AS s2 FROM frames {W}), x AS (SELECT *, unnest(range(f, coalesce(f2, f + 1))) AS frame FROM k)
