@@ -40,7 +40,7 @@ def test_stages(spark, tmp_path):
     clean = set(range(120))
     assert [clean <= s for s in sizes] == [True] * 4
     assert not {503, 504} & sizes[0] and 500 not in sizes[1] and {501, 502} <= sizes[1]
-    assert len({501, 502} & sizes[2]) == 1
+    assert {6, 501, 502} & sizes[2] == {6}  # the words are the same, only line feeds differ
     direct = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in direct.select("doc_id").collect()} == sizes[3]
     assert len(rows) == 125 and ngram_join.Similarity().num == 90
