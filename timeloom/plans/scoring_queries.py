@@ -61,7 +61,11 @@ def der_noov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.error_rates(*PAIR(spark, sf_dir), skip_overlap=True)
 
 
-@query()
+CUT = "SELECT r.clip, speaker, greatest(r.t0, s.t0) AS t0, least(r.t1, s.t1) AS t1 FROM {0} r JOIN scored s ON r.clip = s.clip AND r.t0 < s.t1 AND s.t0 < r.t1"
+UEM = f"pad AS (SELECT clip, greatest(0, t0 - 250000) AS t0, t1 + 250000 AS t1 FROM ref), {P.merged('pad', 'scored', 'clip')}, rr AS ({CUT.format('rm')}), hh AS ({CUT.format('hm')})"
+
+
+@query(f"WITH {MERGED}, {UEM}, {der_sql('rr', 'hh', ALL)}")
 def der_uem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error rates within padded reference speech."""
     r, h = PAIR(spark, sf_dir)
