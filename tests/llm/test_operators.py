@@ -216,6 +216,10 @@ def test_arc_versions(version):
         list(warc.read_arc(data[:-4] if blocks[-1] else data[: data.index(b"plain") + 2]))
 
 
+def test_arc_dates():
+    assert warc.warc_date("2024") == "2024-01-01T00:00:00Z" and warc.warc_date("202405060708") == "2024-05-06T07:08:00Z"
+
+
 def test_warc_round_trip(spark):
     long = "x" * 300_000
     rows = [(1, "http://a/ b", "same"), (2, None, "same"), (5, "u", "same\r\n\r\nWARC/1.1\r\n"), (3, "u", ""), (4, "u", None), (9, "u", long), (9, "u", long), (7, "u", long), (None, "u", "same"), (None, "u", "own é")]

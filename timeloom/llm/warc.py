@@ -17,7 +17,7 @@ import hashlib
 import io
 import uuid
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,7 +51,6 @@ class ArcRecord:
 class WarcRecord:
     headers: dict[str, str]
     block: bytes = b""
-    extra: dict[str, str] = field(default_factory=dict)
 
 
 def clean_field(value: str | None) -> str:
@@ -122,8 +121,8 @@ def record_id(*parts: str) -> str:
 
 
 def warc_date(date: str) -> str:
-    """ISO 8601 of ARC's 14 digits (or fewer, as old tools wrote)."""
-    d = (date + "0000" + "0101000000"[len(date) - 4 :] if len(date) < 8 else date).ljust(14, "0")
+    """ISO 8601 of ARC's 14 digits, or of fewer, as old tools wrote."""
+    d = (date + "00000101000000"[len(date) :])[:14]
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
