@@ -15,6 +15,8 @@ from timeloom.llm.queries import WORD_BPE
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: The columns of documents.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near duplicates share four fifths of their five-word shingles.
+NEAR_WORDS, NEAR = 5, ngram_join.Similarity(80, 100)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id."""
-    groups = ngram_join.join(docs)
+    groups = ngram_join.join(docs, words=NEAR_WORDS, like=NEAR)
     removed = materialise(groups.where("component_id < doc_id").select("doc_id").distinct(), "removed")
     few = removed.count() <= ngram_join.BROADCAST_ROWS
     return docs.join(F.broadcast(removed) if few else removed, "doc_id", "left_anti").select(*COLUMNS)

@@ -49,3 +49,22 @@ def test_stages(spark, tmp_path):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_under_the_bar_of_op8(spark):
+    """A pair of 5-word Jaccard 0.8 or more whose 3-word Jaccard is under 0.9; and one under both bars."""
+    words = [f"w{i}" for i in range(200)]
+    near, far = list(words), list(words)
+    for at in (30, 80, 130, 180):
+        near[at] = "changed"
+    for at in range(10, 200, 20):
+        far[at] = f"other{at}"
+
+    def jaccard(a, b, n):
+        x, y = ({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in (a, b))
+        return len(x & y) / len(x | y)
+
+    assert jaccard(words, near, 5) >= 0.8 and jaccard(words, near, 3) < 0.9 and jaccard(words, far, 5) < 0.8
+    rows = [(1, " ".join(words), "en", "s", 0), (2, " ".join(near), "en", "s", 0), (3, " ".join(far), "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()} == {1, 3}
