@@ -168,6 +168,19 @@ def test_language_tables(odd, none):
     assert all(not r.accepted and r.language == "und" for r in rows if not (r.text or "").strip())
 
 
+def test_language_of_many_and_rare_ones(spark):
+    """Twenty languages of a hundred rows, and one of three rows among 2003."""
+    rng = random.Random(8)
+    alphabets = {f"l{chr(97 + i)}": [chr(0x4E00 + 40 * i + j) for j in range(12)] for i in range(21)}
+    rows = []
+    for number, (lang, letters) in enumerate(alphabets.items()):
+        for i in range(3 if number == 20 else 100):
+            rows.append((1000 * number + i, " ".join("".join(rng.choices(letters, k=3)) for _ in range(60)), lang, "h"))
+    found = language_id.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()
+    assert {r.lang for r in found if r.accepted} == set(alphabets)
+    assert all(r.accepted and r.language == r.lang for r in found)
+
+
 def likeness(a: str, b: str) -> float:
     x, y = Counter(a.lower().split()), Counter(b.lower().split())
     either = sum((x | y).values())

@@ -9,7 +9,8 @@ Four kinds of evidence about a text's language are combined as probabilities:
   of the address suffix, which is smoothed by that of the whole corpus;
 * its suffix, by the same hierarchy, where the host says little.
 
-Only the trigram models are fitted on a sample, of about ``train_rows`` labelled rows.
+Every language that two or more texts declare is modelled.  Only the trigram models are fitted on
+a sample, stratified by language: about ``train_rows`` labelled rows, more where languages are many.
 Counts by declared language, suffix and host are grouped aggregations over all rows.
 """
 
@@ -36,15 +37,16 @@ BROADCAST_HOSTS = 100_000
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters: the bound of the training sample, the most languages, and weights.
+    """Parameters: the bounds of the training sample, and weights.
 
+    ``train_rows`` are dealt evenly to the languages, ``least_rows`` at the least to each that has them.
     ``temper``: trigrams beyond about this many add little; ``strength``: rows that a level's
     prior counts for; ``slack``: how far (in nats a trigram) a text may lie under its language's training
     mean; ``least``: the posterior that an accepted language needs.
     """
 
     train_rows: int = 3000
-    languages: int = 16
+    least_rows: int = 200
     temper: float = 100.0
     strength: float = 20.0
     slack: float = 5.5
@@ -71,7 +73,7 @@ def buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # log-probabilities, by bucket and language
+    weights: np.ndarray  # log-probabilities, by language and bucket
     means: np.ndarray  # of the training texts, by language
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -81,21 +83,21 @@ class Model:
         count = np.bincount(owner, minlength=n)
         out = np.zeros((n, len(self.languages) + 1))
         out[:, -1] = count
-        full = np.flatnonzero(count)
-        if len(full):
-            sums = np.add.reduceat(self.weights[bucket], np.concatenate([[0], np.cumsum(count[full])[:-1]]), axis=0, dtype=np.float64)
-            out[full, :-1] = sums / count[full, None]
+        # a language at a time, so that memory does not grow with languages times trigrams
+        for i, own in enumerate(self.weights):
+            out[:, i] = np.bincount(owner, weights=own[bucket], minlength=n) / np.maximum(1, count)
         return out
 
 
 def fit(df: DataFrame, key: str, text: str, declared: str, how: Settings) -> Model:
-    """Trigram models from a sample of about ``how.train_rows`` rows that declare a language."""
+    """Trigram models of every language that two rows or more declare, from a sample of rows of each."""
     rows = df.select(df[key].alias("key"), F.lower(F.substring_index(df[declared], "-", 1)).alias("lang"), df[text].alias("text")).where("lang <> '' and text <> ''")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(how.languages).collect()
-    total = sum(r["n"] for r in counts)
-    languages = sorted(r["lang"] for r in counts if r["n"] >= max(2, total // 500))
-    share = min(1.0, how.train_rows / max(1, total))
-    chosen = rows.where(F.col("lang").isin(languages) & (F.pmod(F.xxhash64("key", F.length("text")), F.lit(1 << 30)) < int(share * (1 << 30))))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).where("n >= 2").collect()}
+    languages = sorted(counts)
+    quota = max(how.least_rows, how.train_rows // max(1, len(languages)))
+    shares = [F.lit(int(min(1.0, quota / counts[x]) * (1 << 30))) for x in languages]
+    share = F.coalesce(F.get(F.array(*shares), F.array_position(strings(languages), F.col("lang")).cast("int") - 1), F.lit(0)) if languages else F.lit(0)
+    chosen = rows.where(F.col("lang").isin(languages) & (F.pmod(F.xxhash64("key", F.length("text")), F.lit(1 << 30)) < share))
     size, number = 1 << BUCKET_BITS, {x: i for i, x in enumerate(languages)}
     small_batches(df.sparkSession)
 
@@ -118,7 +120,7 @@ def fit(df: DataFrame, key: str, text: str, declared: str, how: Settings) -> Mod
     table = table.reshape(-1, size)
     p = (table + 0.5) / (table.sum(1, keepdims=True) + 0.5 * size)
     means = (table * np.log(p)).sum(1) / np.maximum(1, table.sum(1))
-    return Model(languages, np.ascontiguousarray(np.log(p).T.astype(np.float32)), means)
+    return Model(languages, np.log(p).astype(np.float32), means)
 
 
 def address_suffix(host: Column) -> Column:
@@ -176,25 +178,27 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", declared: s
     votes = votes.select(best.alias("best"), told.alias("told"), F.coalesce(F.col(OWN[2]), F.lit("")).alias("host"), F.coalesce(F.col(OWN[3]), F.lit("")).alias("suffix"))
     counts = votes.groupBy("host", "suffix", "told", "best").agg(F.count("*").alias("n"))
     counts = materialise(counts, "votes")
-    by = lambda *k: counts.groupBy(*k).agg(*(F.sum(F.when(F.col("best") == i + 1, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(size)))
+    by = lambda *k: counts.groupBy(*k, "best").agg(F.sum("n").alias("n"))
     # languages by declared language, and over all rows: as many numbers as pairs of languages
-    channel = np.zeros((size + 1, size))
+    channel, place_of = np.zeros((size + 1, size)), {"": size} | {x: i for i, x in enumerate(names)}
     for r in by("told").collect():
-        channel[names.index(r["told"]) if r["told"] else size] = [r[f"n{i}"] for i in range(size)]
+        channel[place_of[r["told"]], r["best"] - 1] = r["n"]
     overall = (channel.sum(0) + 1) / (channel.sum() + size)
     says = np.log((channel + how.strength * 0.05 / size) / (channel.sum(0) + how.strength * 0.05))
-    suffixes = by("suffix").select("suffix", *(((F.col(f"n{i}") + how.strength * overall[i]) / (sum_of(size) + how.strength)).alias(f"p{i}") for i in range(size)))
-    hosts = by("host", "suffix").join(suffixes, "suffix")
-    share = [F.log((F.col(f"n{i}") + how.strength * F.col(f"p{i}")) / (sum_of(size) + how.strength)) for i in range(size)]
-    hosts = materialise(hosts.select(F.col("host").alias("__of"), F.array(*share).alias("__prior")), "hosts")
+    # of each suffix and host at most a number for each language
+    votes_of = lambda *k: by(*k).groupBy(*k).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias("of"))
+    smoothed = lambda prior: F.transform(prior, lambda p, i: (F.coalesce(F.element_at("of", i + 1), F.lit(0)) + how.strength * p) / (F.col("total") + how.strength))
+    suffixes = votes_of("suffix").select("suffix", smoothed(doubles(overall)).alias("above"))
+    hosts = votes_of("host", "suffix").join(suffixes, "suffix")
+    share = F.transform(smoothed(F.col("above")), lambda p: F.log(p))
+    hosts = materialise(hosts.select(F.col("host").alias("__of"), share.alias("__prior")), "hosts")
     small = hosts.count() <= BROADCAST_HOSTS
     joined = rows.join(F.broadcast(hosts) if small else hosts, F.coalesce(F.col(OWN[2]), F.lit("")) == F.col("__of"), "left")
-    heard = F.element_at(F.array(*(doubles(x) for x in says)), F.coalesce(F.array_position(strings(names), told), F.lit(0)).cast("int"))
-    unheard = doubles(says[size])
-    heard = F.when(told == "", unheard).otherwise(heard)
+    heard = df.sparkSession.createDataFrame([(x, says[i].tolist()) for x, i in place_of.items()], "__told string, __heard array<double>")
+    joined = joined.join(F.broadcast(heard), told == F.col("__told"), "left")
     prior = F.coalesce("__prior", doubles(np.log(overall)))
     weight = letters * how.temper / (letters + how.temper)
-    posterior = F.transform(F.arrays_zip(scores.alias("s"), heard.alias("d"), prior.alias("p")), lambda x: x["s"] * weight + x["d"] + x["p"])
+    posterior = F.transform(F.arrays_zip(scores.alias("s"), F.col("__heard").alias("d"), prior.alias("p")), lambda x: x["s"] * weight + x["d"] + x["p"])
     joined = joined.withColumn("__log", posterior)
     top = F.array_max("__log")
     place = F.array_position("__log", top).cast("int")
@@ -207,10 +211,6 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", declared: s
     return joined.select(*columns, language.alias("language"), F.when(letters > 0, F.col("__sure")).otherwise(0.0).alias("confidence"), accepted.alias("accepted"))
 
 
-def sum_of(size: int) -> Column:
-    return sum((F.col(f"n{i}") for i in range(1, size)), F.col("n0"))
-
-
 def doubles(values: np.ndarray) -> Column:
     return F.array(*(F.lit(float(x)) for x in values))
 
