@@ -91,10 +91,10 @@ def der_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of transcripts: every turn's first 12 words against the next turn's."""
+    """Pairs of transcripts: every turn's words against the next turn's."""
     c = P.captions(spark, sf_dir)
-    a = c.select("clip", "turn", F.slice(scoring.words(F.col("text")), 1, 12).alias("r"))
-    b = c.select("clip", (F.col("turn") - 1).alias("turn"), F.slice(scoring.words(F.col("text")), 1, 12).alias("h"))
+    a = c.select("clip", "turn", scoring.words(F.col("text")).alias("r"))
+    b = c.select("clip", (F.col("turn") - 1).alias("turn"), scoring.words(F.col("text")).alias("h"))
     return a.join(b, ["clip", "turn"], "left").withColumn("h", F.coalesce("h", F.array().cast("array<string>")))
 
 
@@ -121,8 +121,8 @@ def wer_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH t AS (SELECT conv_id, turn, regexp_replace(left(text, 60), '[^ -~]', '', 'g') AS x FROM conversations) SELECT a.conv_id AS clip, a.turn, CAST(levenshtein(a.x, coalesce(b.x, '')) AS INTEGER) AS errors FROM t a LEFT JOIN t b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1")
 def cer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Character edit distance of the printable ASCII in the first 60 characters of turns that follow each other."""
-    text = F.regexp_replace(F.left("text", F.lit(60)), "[^ -~]", "")
+    """Character edit distance of the printable ASCII of turns that follow each other."""
+    text = F.regexp_replace("text", "[^ -~]", "")
     c = P.captions(spark, sf_dir)
     a, b = c.select("clip", "turn", text.alias("x")), c.select("clip", (F.col("turn") - 1).alias("turn"), text.alias("y"))
     return a.join(b, ["clip", "turn"], "left").select("clip", "turn", F.levenshtein("x", F.coalesce("y", F.lit(""))).alias("errors"))

@@ -112,8 +112,8 @@ def detokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT conv_id, turn, w, 1 AS i, [w[1]] AS lines FROM s WHERE len(w) > 0 UNION ALL SELECT conv_id, turn, w, i + 1, CASE WHEN length(lines[len(lines)]) + 1 + length(w[i + 1]) <= 30 THEN list_append(lines[1:len(lines) - 1], lines[len(lines)] || ' ' || w[i + 1]) ELSE list_append(lines, w[i + 1]) END FROM r WHERE i < len(w))
 SELECT conv_id, turn, array_to_string(lines, chr(10)) AS text FROM r WHERE i = len(w)""")
 def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 200 characters in lines of at most 30."""
-    c = P.table(spark, sf_dir, "conversations").select("conv_id", "turn", X.wrap(F.left("text", F.lit(200)), 30).alias("w"))
+    """Texts in lines of at most 30 characters."""
+    c = P.table(spark, sf_dir, "conversations").select("conv_id", "turn", X.wrap(F.col("text"), 30).alias("w"))
     return c.where(F.size("w") > 0).select("conv_id", "turn", F.array_join("w", "\n").alias("text"))
 
 
@@ -129,4 +129,4 @@ def tokenize_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = F.create_map(F.lit("THE"), F.lit(2), F.lit("OF"), F.lit(3))
     words = X.whole_words(F.col("text"))
     d = P.table(spark, sf_dir, "documents").where("lang = 'en'")
-    return d.select("doc_id", F.size(words).cast("bigint").alias("n"), X.word_ids(F.slice(words, 1, 8), vocabulary, 1).alias("ids"))
+    return d.select("doc_id", F.size(words).cast("bigint").alias("n"), X.word_ids(words, vocabulary, 1).alias("ids"))
