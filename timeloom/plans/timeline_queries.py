@@ -97,7 +97,7 @@ def best_overlap_track(spark: SparkSession, sf_dir: str) -> DataFrame:
 def on_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments with the share of their time in which some face is on screen; half of it counts as on screen."""
     ref = P.reference(spark, sf_dir).where("t1 > t0")
-    faces = intervals.merge(P.tracks(spark, sf_dir).where("track % 10 = 0"), ["clip"])
+    faces = intervals.merge(P.tracks(spark, sf_dir), ["clip"])
     shared = intervals.intersect(ref, faces, ["clip"], P.HOUR).groupBy("event_id").agg(F.sum(F.col("t1") - F.col("t0")).alias("shared"))
     rows = ref.join(shared, "event_id", "left").withColumn("shared", F.coalesce("shared", F.lit(0).cast("bigint")))
     return rows.withColumn("on_screen", F.col("shared") * 2 >= F.col("t1") - F.col("t0"))
