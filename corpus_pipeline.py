@@ -33,11 +33,17 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
-    groups = ngram_join.join(docs, words=NEAR_WORDS, like=NEAR)
-    removed = materialise(groups.where("component_id < doc_id").select("doc_id").distinct(), "removed")
+    """Of each group of near duplicates one document: that with the smallest id, the first of rows that repeat it."""
+    rows = materialise(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+    groups = materialise(ngram_join.join(rows, key="row", words=NEAR_WORDS, like=NEAR), "groups")
+    linked = groups.where("component_id < row").select("row", "component_id")
+    linked = linked.unionByName(linked.select(F.col("component_id").alias("row"), "component_id").distinct())
+    members = materialise(linked.join(rows.select("row", "doc_id"), "row"), "members")
+    # a null id comes last
+    kept = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("kept"))
+    removed = materialise(members.join(kept, "component_id").where("row <> kept").select("row"), "removed")
     few = removed.count() <= ngram_join.BROADCAST_ROWS
-    return docs.join(F.broadcast(removed) if few else removed, "doc_id", "left_anti").select(*COLUMNS)
+    return rows.join(F.broadcast(removed) if few else removed, "row", "left_anti").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

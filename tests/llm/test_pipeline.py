@@ -68,3 +68,13 @@ def test_near_copies_under_the_bar_of_op8(spark):
     rows = [(1, " ".join(words), "en", "s", 0), (2, " ".join(near), "en", "s", 0), (3, " ".join(far), "en", "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()} == {1, 3}
+
+
+def test_near_copies_by_row(spark):
+    """Rows that share an id, or have none, are judged each for itself."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    texts = [(9, a), (2, a + " end"), (9, b), (5, c), (5, c), (None, d), (None, d), (None, b + " end")]
+    rows = [(i, t, "en", "s", len(t)) for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    found = sorted((r.text, r.doc_id) for r in corpus_pipeline.one_of_each(spark, docs, "").collect())
+    assert found == [(a + " end", 2), (b, 9), (c, 5), (d, None)]
