@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import numpy as np
 from timeloom.llm import ngram_join
 
 WORDS = {"en": ["the", "with", "tion", "whale", "shore"], "de": ["sch", "ung", "keit", "für", "pfad"]}
@@ -78,3 +79,9 @@ def test_near_copies_by_row(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     found = sorted((r.text, r.doc_id) for r in corpus_pipeline.one_of_each(spark, docs, "").collect())
     assert found == [(a + " end", 2), (b, 9), (c, 5), (d, None)]
+
+
+def test_signatures_stay_few_at_the_bar_of_the_pipeline():
+    elements = np.sort(np.random.default_rng(1).integers(0, 1 << 62, 1000).astype(np.uint64))
+    _, found = ngram_join.signatures(elements, np.array([0, 1000]), corpus_pipeline.NEAR)
+    assert len(found) < 5000

@@ -80,6 +80,17 @@ def groups_of(like: Similarity, band: np.ndarray) -> np.ndarray:
     return np.where(k > 0, (k + 2) // 2, 0)
 
 
+def crowded(like: Similarity, band: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Where a band's smallest sets leave more than two signatures empty on average.
+
+    Signing anew for each of those would multiply at every depth; such bands keep them as they are, and the second filter
+    parts the sets that meet there.  This depends on the band alone, so similar sets decide alike.
+    """
+    total = np.maximum(1, n1 * cells_of(n1))
+    smallest = bands(like)[np.clip(band - 1, 0, len(bands(like)) - 1)]
+    return total * np.exp(-smallest * (cells_of(n1) - 1) / total) > 2
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text in a row, and where each text's begin.
 
@@ -133,13 +144,13 @@ def signatures(elements: np.ndarray, at: np.ndarray, like: Similarity) -> tuple[
     for shift in (0, 1):
         band = own + shift
         n1 = np.where(sizes > 0, groups_of(like, np.maximum(band, 0)), 0)
-        o, s = sign(elements, at, band, n1, np.uint64(1))
+        o, s = sign(elements, at, band, n1, np.uint64(1), crowded(like, band, n1))
         owners.append(o)
         found.append(s)
     return np.concatenate(owners), np.concatenate(found)
 
 
-def sign(elements: np.ndarray, at: np.ndarray, band: np.ndarray, n1: np.ndarray, seed: np.uint64, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def sign(elements: np.ndarray, at: np.ndarray, band: np.ndarray, n1: np.ndarray, seed: np.uint64, full: np.ndarray, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(set, signature) for the sets with ``n1`` groups.
 
     A signature over empty cells says little and would bring many sets together, so a set with
@@ -150,7 +161,7 @@ def sign(elements: np.ndarray, at: np.ndarray, band: np.ndarray, n1: np.ndarray,
     for cells in (2, 3):
         used = np.flatnonzero((n1 > 0) & (cells_of(n1) == cells))
         if len(used):
-            o, f = sign_with(cells, used, elements, at, sizes, band, n1, seed, depth)
+            o, f = sign_with(cells, used, elements, at, sizes, band, n1, seed, full, depth)
             owners.append(o)
             found.append(f)
     if not owners:
@@ -158,7 +169,7 @@ def sign(elements: np.ndarray, at: np.ndarray, band: np.ndarray, n1: np.ndarray,
     return np.concatenate(owners), np.concatenate(found)
 
 
-def sign_with(cells: int, used: np.ndarray, elements: np.ndarray, at: np.ndarray, sizes: np.ndarray, band: np.ndarray, n1: np.ndarray, seed: np.uint64, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def sign_with(cells: int, used: np.ndarray, elements: np.ndarray, at: np.ndarray, sizes: np.ndarray, band: np.ndarray, n1: np.ndarray, seed: np.uint64, full: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     groups = n1[used]
     base = np.cumsum(groups * cells) - groups * cells
     of = np.repeat(np.arange(len(used)), sizes[used])
@@ -177,11 +188,12 @@ def sign_with(cells: int, used: np.ndarray, elements: np.ndarray, at: np.ndarray
     tag = mix((np.repeat(band[used], groups).astype(np.uint64)[:, None] << np.uint64(40) | subset) * MIX + seed)
     out = mix(remaining * MIX2 ^ tag)
     owner = np.repeat(np.repeat(used, groups), cells).reshape(-1, cells)
+    empty &= ~full[owner]
     if depth < 3 and empty.any():
         owners, again = [owner[~empty]], [out[~empty]]
         for o, s in zip(owner[empty].tolist(), tag[empty].tolist(), strict=True):
             one = np.array([0, sizes[o]])
-            _, deeper = sign(elements[at[o] : at[o + 1]], one, band[o : o + 1], n1[o : o + 1], np.uint64(s), depth + 1)
+            _, deeper = sign(elements[at[o] : at[o + 1]], one, band[o : o + 1], n1[o : o + 1], np.uint64(s), full[o : o + 1], depth + 1)
             owners.append(np.full(len(deeper), o))
             again.append(deeper)
         return np.concatenate(owners), np.concatenate(again)
