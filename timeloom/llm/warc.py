@@ -31,8 +31,11 @@ ARC_FIELDS = {
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: An archive file holds at most this many records.
-RECORDS_PER_FILE = 4000
+#: Records go into a file in chunks: one of at most so many bytes, or a single larger record; and chunks of a file.
+CHUNK_BYTES, CHUNKS_PER_FILE = 16 << 20, 16
+#: The response's page id, in the revisits of its payload.
+ORIGINAL = "X-Refers-To-Page-Id"
+DATE = "20240101000000"
 SCHEMA = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
 
@@ -45,6 +48,8 @@ class ArcRecord:
     version: int
     header: dict[str, str]
     block: bytes
+    #: The first record of a file tells its version; whatever its address looks like, no other does.
+    first: bool = False
 
 
 @dataclass
@@ -59,7 +64,7 @@ def clean_field(value: str | None) -> str:
     return out or "-"
 
 
-def arc_file(version: int, records: Iterable[dict[str, str | bytes]], name: str = "legacy.arc", date: str = "20240101000000") -> bytes:
+def arc_file(version: int, records: Iterable[dict[str, str | bytes]], name: str = "legacy.arc", date: str = DATE) -> bytes:
     """An ARC file of ``version`` with a record for each mapping of ``url``, ``mime`` and ``block``."""
     body = f"{version} 0 timeloom\n{' '.join(ARC_FIELDS[version])}\n\n".encode()
     out = io.BytesIO()
@@ -88,7 +93,8 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
         if not line:
             at = end + 1
             continue
-        if not version:  # the version block's own header has the fields of either version
+        first = not version
+        if first:  # the version block's own header has the fields of either version
             length = int(line.rsplit(" ", 1)[1])
             lines = data[end + 1 : end + 1 + length].decode("utf-8", "replace").split("\n")
             version = int(lines[0].split(" ")[0])
@@ -102,7 +108,7 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
         block = data[end + 1 : end + 1 + length]
         if len(block) < length:
             raise ArchiveError("a record shorter than its declared length")
-        yield ArcRecord(version, dict(zip(names, values, strict=True)), block)
+        yield ArcRecord(version, dict(zip(names, values, strict=True)), block, first)
         at = end + 1 + length
 
 
@@ -126,16 +132,21 @@ def warc_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def convert(record: ArcRecord, revisit_of: tuple[str, str] | None = None) -> WarcRecord:
+def identifier(url: str, date: str, kind: str, block: bytes) -> str:
+    """The identifier of a record, from its address, date, type and the block that its ARC record held."""
+    return record_id(url, date, kind, base32_sha1(block))
+
+
+def convert(record: ArcRecord, revisit_of: dict[str, str] | None = None) -> WarcRecord:
     """The WARC record equivalent to an ARC record.
 
-    Identifier, timestamp, type and digests come from the record alone.  With ``revisit_of`` (id
-    and URI of the record that holds the payload) it becomes a revisit that keeps the HTTP head only.
+    Identifier, timestamp, type and digests come from the record alone.  With ``revisit_of`` (headers that
+    name the record that holds the payload) it becomes a revisit that keeps the HTTP head only.
     """
     h = record.header
     url, date = h["URL"], warc_date(h["Archive-date"])
     head, payload = split_http(record.block) if record.block.startswith(b"HTTP/") else (b"", record.block)
-    if url.startswith("filedesc:"):
+    if record.first:
         kind, mime = "warcinfo", "application/warc-fields"
     elif head:
         kind, mime = "response", "application/http; msgtype=response"
@@ -149,10 +160,10 @@ def convert(record: ArcRecord, revisit_of: tuple[str, str] | None = None) -> War
     else:
         headers["WARC-Payload-Digest"] = f"sha1:{base32_sha1(payload)}"
     if revisit_of and kind == "response":
-        headers |= {"WARC-Type": "revisit", "WARC-Profile": PROFILE, "WARC-Refers-To": revisit_of[0], "WARC-Refers-To-Target-URI": revisit_of[1]}
+        headers |= {"WARC-Type": "revisit", "WARC-Profile": PROFILE, **revisit_of}
         block = head
     headers["WARC-Block-Digest"] = f"sha1:{base32_sha1(block)}"
-    headers["WARC-Record-ID"] = record_id(url, date, headers["WARC-Type"], base32_sha1(record.block))
+    headers["WARC-Record-ID"] = identifier(url, date, headers["WARC-Type"], record.block)
     return WarcRecord(headers | {"Content-Type": mime}, block)
 
 
@@ -190,49 +201,67 @@ def http_fields(head: bytes) -> dict[str, str]:
 
 
 def planned(pages: DataFrame, min_bytes: int, key: str, url: str, html: str) -> DataFrame:
-    """Rows with the largest page id of their payload where another row must revisit it.
+    """Rows with the largest page id of their payload, and its address, where another row must revisit it.
 
-    Only digests and ids are grouped; a payload that a third of all pages share is one row of
+    Only digests, ids and addresses are grouped; a payload that a third of all pages share is one row of
     the grouped side, and the join's other side can be split.
     """
     rows = pages.select(pages[key].cast("bigint").alias("page_id"), pages[url].alias("url"), pages[html].alias("html"))
     rows = rows.withColumn("payload", F.encode(F.coalesce("html", F.lit("")), "UTF-8")).drop("html")
     rows = rows.withColumn("sha", F.sha1("payload"))
-    first = rows.where(F.octet_length("payload") >= min_bytes).groupBy(F.col("sha").alias("of")).agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
-    first = first.where("n > 1").select("of", "top")
+    first = rows.where(F.octet_length("payload") >= min_bytes).groupBy(F.col("sha").alias("of")).agg(F.max(F.struct("page_id", "url")).alias("top"), F.count("*").alias("n"))
+    first = first.where("n > 1").select("of", "top.page_id", "top.url").toDF("of", "top", "top_url")
     joined = rows.join(first, rows["sha"] == first["of"], "left")
     later = F.col("top").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("top")))
-    return joined.select("page_id", "url", "payload", F.when(later, F.col("top")).alias("revisits"))
+    return joined.select("page_id", "url", "payload", F.when(later, F.col("top")).alias("revisits"), "top_url")
+
+
+def original(top: int, url: str | None, payload: bytes) -> dict[str, str]:
+    """The headers by which a revisit names the response of page ``top``, whose record holds the payload."""
+    address, date = clean_field(url), warc_date(DATE)
+    found = identifier(address, date, "response", http_block(top, payload))
+    return {"WARC-Refers-To": found, "WARC-Refers-To-Target-URI": address, "WARC-Refers-To-Date": date, ORIGINAL: str(top)}
+
+
+def chunks(records: Iterable[bytes], limit: int = CHUNK_BYTES) -> Iterator[bytes]:
+    """Records in a row, up to ``limit`` bytes together."""
+    held, size = [], 0
+    for r in records:
+        if held and size + len(r) > limit:
+            yield b"".join(held)
+            held, size = [], 0
+        held.append(r)
+        size += len(r)
+    if held:
+        yield b"".join(held)
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = 0, key: str = "page_id", url: str = "url", html: str = "html") -> None:
     """Write the pages as WARC files under ``path``, gzip-compressed, by way of ARC records.
 
     Each page becomes an ARC record (of version 1 or 2 in turn) and is converted from that.
-    Spark's committer writes the files, so a lost task leaves no torn archive.
+    Spark's committer writes the files, so a lost task leaves no torn archive.  A file holds at most ``CHUNKS_PER_FILE``
+    chunks, so its size is bounded whatever the pages' sizes.
     """
     small_batches(pages.sparkSession)
 
+    def converted(batch: pa.RecordBatch) -> Iterator[bytes]:
+        ids, urls, payloads, tops, top_urls = (c.to_pylist() for c in batch.columns)
+        for version in ARC_FIELDS:
+            mine = range(version - 1, len(ids), len(ARC_FIELDS))
+            records = read_arc(arc_file(version, ({"url": urls[i], "block": http_block(ids[i], payloads[i])} for i in mine)))
+            yield warc_bytes(convert(next(records)))
+            for i, record in zip(mine, records, strict=True):
+                yield warc_bytes(convert(record, None if tops[i] is None else original(tops[i], top_urls[i], payloads[i])))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, urls, payloads, tops = (c.to_pylist() for c in batch.columns)
-            out: list[bytes] = []
-            for version in ARC_FIELDS:
-                mine = range(version - 1, len(ids), len(ARC_FIELDS))
-                legacy = arc_file(version, ({"url": urls[i], "block": http_block(ids[i], payloads[i])} for i in mine))
-                records = read_arc(legacy)
-                out.append(warc_bytes(convert(next(records))))
-                for i, record in zip(mine, records, strict=True):
-                    original = None
-                    if tops[i] is not None:
-                        original = record_id("page", str(tops[i])), f"urn:page:{tops[i]}"
-                    out.append(warc_bytes(convert(record, original)))
+        for chunk in chunks(x for batch in batches for x in converted(batch)):
             # the writer ends every row with the line feed that is cut off here
-            yield pa.RecordBatch.from_arrays([pa.array([x[:-1] for x in out], pa.binary())], names=["record"])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk[:-1]], pa.binary())], names=["record"])
 
     records = planned(pages, min_bytes, key, url, html).mapInArrow(run, "record binary")
     text = records.select(F.col("record").cast("string").alias("value"))
-    text.write.option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    text.write.option("compression", "gzip").option("maxRecordsPerFile", CHUNKS_PER_FILE).text(path)
 
 
 def read(spark, path: str) -> DataFrame:
@@ -253,7 +282,7 @@ def read(spark, path: str) -> DataFrame:
                     if not revisit and base32_sha1(payload) != digest:
                         raise ArchiveError(f"payload digest of {r.headers['WARC-Record-ID']}")
                     size = int(about["content-length"]) if revisit else len(payload)
-                    of = int(r.headers["WARC-Refers-To-Target-URI"].rpartition(":")[2]) if revisit else None
+                    of = int(r.headers[ORIGINAL]) if revisit else None
                     rows.append((int(about["x-page-id"]) if about["x-page-id"] else None, size, digest, r.headers["WARC-Type"], of))
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
