@@ -1,7 +1,8 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-Blocks are windows of the text's words; each run of words half as long lies whole
-in one of them.  A block meets a template when it holds at least the threshold's
+Blocks are windows of the text's words, each beginning half a block after the one before it, so that each run of
+words half as long lies whole in one of them.  Each template is looked for in blocks at least twice
+as long as itself.  A block meets a template when it holds at least the threshold's
 share of the template's distinct words.  Words are put in the order of their frequency
 over all texts, rare ones first, and only these candidates are verified:
 
@@ -15,7 +16,9 @@ words before that, and blocks without any template's prefix word are never made.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +36,43 @@ TEMPLATES = (
     ("gpl-3", "this work is licensed under the gnu general public license version 3"),
     ("cc-by-nc", "licensed under creative commons attribution noncommercial cc by nc 4 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+        'substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING '
+        "BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+        "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        'the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS '
+        "ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE "
+        "AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, "
+        "DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+        "PERFORMANCE OF THIS SOFTWARE.",
+    ),
 )
 THRESHOLD = 0.8
-#: Words of a block and how far the next one begins after it.
-BLOCK, STRIDE = 40, 20
+#: Words of the smallest block.
+BLOCK = 40
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a template or phrase."""
+    return [w for w in re.split(PARTS, text.translate({c: c + 32 for c in range(65, 91)})) if w]
+
+
+def width_of(words: int) -> int:
+    """Words of the blocks for a template of ``words`` words: ``BLOCK``, doubled until it is twice as long."""
+    width = BLOCK
+    while width < 2 * words:
+        width *= 2
+    return width
 
 
 def lowered(text: Column) -> Column:
@@ -75,7 +111,7 @@ class Templates:
 
     def __init__(self, templates: Sequence[tuple[str, str]], frequency: dict[str, int], threshold: float) -> None:
         self.labels = [label for label, _ in templates]
-        self.words = [sorted(set(t.split(" ")), key=lambda w: (frequency.get(w, 0), w)) for _, t in templates]
+        self.words = [sorted(set(words_of(t)), key=lambda w: (frequency.get(w, 0), w)) for _, t in templates]
         #: Words that a block must share, from the share in integers of a millionth.
         self.overlap = [-(-len(w) * round(threshold * 10**6) // 10**6) for w in self.words]
         every = {w for ws in self.words for w in ws}
@@ -96,16 +132,17 @@ def frequencies(padded: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {r["w"]: r["n"] for r in words.groupBy("w").agg(F.count("*").alias("n")).collect()}
 
 
-def blocks_of(padded: Column, known: Templates) -> Column:
-    """(block number, template words in frequency order) of the blocks that hold some template's prefix word."""
+def blocks_of(padded: Column, known: Templates, width: int) -> Column:
+    """(width, block number, template words in frequency order) of the blocks that hold some template's prefix word."""
     words = F.filter(F.split(padded, " "), lambda w: w != "")
-    probes = known.prefix_words()
+    probes, stride = known.prefix_words(), width // 2
     hit = F.rlike(padded, F.lit(f" (?:{'|'.join(probes)}) ")) if probes else F.lit(False)
     places = F.filter(F.transform(words, lambda w, i: F.when(w.isin(probes), i)), lambda i: i.isNotNull())
-    near = F.flatten(F.transform(places, lambda i: F.array(F.floor(i / STRIDE).cast("int"), F.floor(i / STRIDE).cast("int") - 1)))
+    near = F.flatten(F.transform(places, lambda i: F.array(F.floor(i / stride).cast("int"), F.floor(i / stride).cast("int") - 1)))
     numbers = F.filter(F.array_distinct(near), lambda b: b >= 0)
-    block = lambda b: F.struct(b.alias("block"), F.array_intersect(strings(known.order), F.slice(words, b * STRIDE + 1, BLOCK)).alias("words"))
-    none = F.array().cast("array<struct<block:int,words:array<string>>>")
+    held = lambda b: F.array_intersect(strings(known.order), F.slice(words, b * stride + 1, width))
+    block = lambda b: F.struct(F.lit(width).alias("width"), b.alias("block"), held(b).alias("words"))
+    none = F.array().cast("array<struct<width:int,block:int,words:array<string>>>")
     return F.when(hit, F.transform(numbers, block)).otherwise(none)
 
 
@@ -134,11 +171,13 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: Sequ
     smallest and largest start of one, else null), ``base_labels``, ``labels`` (with the templates'; both
     distinct, sorted, joined by commas, empty without any) and ``score``: 1 where a phrase stands, else the largest
     containment of a template that a block meets, else 0.  A null text counts as empty;
-    rows that repeat a key stay separate; other columns are ignored.
+    rows that repeat a key stay separate; other columns are ignored.  Texts of any length are scanned whole.  A template that several
+    blocks or copies meet counts once; without ``templates`` only phrases count.  An empty table gives no rows.
     """
     padded = df.select(df[key].alias("key"), spaced(df[text]).alias("padded"))
-    vocabulary = sorted({w for _, t in templates for w in t.split(" ")})
-    known = Templates(templates, frequencies(padded, vocabulary), threshold)
+    frequency = frequencies(padded, sorted({w for _, t in templates for w in words_of(t)}))
+    widths = sorted({width_of(len(words_of(t))) for _, t in templates}) or [BLOCK]
+    known = {x: Templates([(label, t) for label, t in templates if width_of(len(words_of(t))) == x], frequency, threshold) for x in widths}
     phrases = [(label, *found(F.col("padded"), phrase, F.col("backwards"))) for label, phrase in PHRASES]
     rows = padded.withColumn("backwards", F.reverse("padded"))
     base = materialise(
@@ -150,12 +189,13 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: Sequ
             F.least(*(a for *_, a, _ in phrases)).cast("bigint").alias("first_word"),
             F.greatest(*(b for *_, b in phrases)).cast("bigint").alias("last_word"),
             joined([F.when(has, label) for label, has, *_ in phrases]).alias("base_labels"),
-            blocks_of(F.col("padded"), known).alias("blocks"),
+            F.flatten(F.array(*(blocks_of(F.col("padded"), t, x) for x, t in known.items()))).alias("blocks"),
         ),
         "licenses",
     )
-    blocks = base.where(F.size("blocks") > 0).select("uid", F.explode("blocks").alias("b")).select("uid", "b.block", "b.words")
-    more = matches(blocks, known).groupBy("uid").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))  # at most all labels
+    blocks = base.where(F.size("blocks") > 0).select("uid", F.explode("blocks").alias("b")).select("uid", "b.width", "b.block", "b.words")
+    met = reduce(DataFrame.unionByName, (matches(blocks.where(F.col("width") == x), t) for x, t in known.items()))  # a branch a width
+    more = met.groupBy("uid").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))  # at most all labels
     base_set = F.filter(F.split("base_labels", ","), lambda x: x != "")
     labels = F.array_sort(F.array_union(base_set, F.coalesce("more", F.array().cast("array<string>"))))
     out = base.join(more, "uid", "left")
