@@ -30,7 +30,6 @@ from .common import materialise, slices, small_batches, utf8
 BUCKET_BITS = 15
 #: Letters in lower case; bytes of other characters as they are; all else one blank.
 FOLDED = np.array([b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)], np.uint8)
-OWN = ("__scores", "__declared", "__host", "__suffix")
 #: Hosts of which a table may be broadcast.
 BROADCAST_HOSTS = 100_000
 
@@ -130,27 +129,25 @@ def address_suffix(host: Column) -> Column:
 
 
 def scored(df: DataFrame, model: Model, text: str, declared: str, host: str) -> DataFrame:
-    """``df`` with the text's scores and the other evidence in columns of its own."""
+    """``row`` (all of ``df`` as a struct, so that no name clashes), ``scores`` of its text and the other evidence."""
     own = df.select(
-        *(df[c] for c in df.columns),
-        F.lower(F.substring_index(df[declared], "-", 1)).alias(OWN[1]),
-        df[host].alias(OWN[2]),
-        address_suffix(df[host]).alias(OWN[3]),
-        df[text].alias("__text"),
+        F.struct(*(df[c] for c in df.columns)).alias("row"),
+        F.lower(F.substring_index(df[declared], "-", 1)).alias("declared"),
+        df[host].alias("host"),
+        address_suffix(df[host]).alias("suffix"),
     )
+    at = df.columns.index(text)
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(batch.num_columns - 1))
+            data, offsets = utf8(batch.column(0).field(at))
             parts = [model.scores(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in slices(offsets)]
             flat = np.concatenate(parts) if parts else np.zeros((0, len(model.languages) + 1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*batch.schema.names[:-1], OWN[0]])
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "scores"])
 
-    kept = own.schema.fields[:-1]
-    schema = T.StructType([*kept, T.StructField(OWN[0], T.ArrayType(T.DoubleType()))])
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("scores", T.ArrayType(T.DoubleType()))]))
 
 
 def identify(df: DataFrame, key: str = "doc_id", text: str = "text", declared: str = "lang", host: str = "source", how: Settings = Settings()) -> DataFrame:
@@ -160,7 +157,8 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", declared: s
     far under its language's training texts, or no language reaches ``how.least``; such rows are
     not accepted.  Null or empty texts have no evidence of their own and are ``und``.  A null or unknown
     declared language, and a null host, are evidence values like others or fall back to the level above.  Rows
-    that repeat a key are judged each for itself.  Without any labelled row nothing is accepted.
+    that repeat a key are judged each for itself.  Of languages with the same posterior the first by name wins.  A row is one of
+    those whose votes make its host's prior.  Columns keep their values whatever their names.  Without any labelled row nothing is accepted.
     """
     model = fit(df, key, text, declared, how)
     names = model.languages
@@ -170,12 +168,12 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", declared: s
     if not size:
         return base.withColumns({"language": F.lit("und"), "confidence": F.lit(0.0), "accepted": F.lit(False)})
     rows = scored(base, model, text, declared, host)
-    scores = F.slice(F.col(OWN[0]), 1, size)
-    letters = F.element_at(F.col(OWN[0]), -1)
+    scores = F.slice("scores", 1, size)
+    letters = F.element_at("scores", -1)
     best = F.array_position(scores, F.array_max(scores)).cast("int")
-    told = F.when(F.col(OWN[1]).isin(names), F.col(OWN[1])).otherwise("")
-    votes = scored(base.select(*{text, declared, host}), model, text, declared, host).where(letters > 0)
-    votes = votes.select(best.alias("best"), told.alias("told"), F.coalesce(F.col(OWN[2]), F.lit("")).alias("host"), F.coalesce(F.col(OWN[3]), F.lit("")).alias("suffix"))
+    told = F.when(F.col("declared").isin(names), F.col("declared")).otherwise("")
+    votes = scored(base.select(*(base[c] for c in dict.fromkeys((text, declared, host)))), model, text, declared, host).where(letters > 0)
+    votes = votes.select(best.alias("best"), told.alias("told"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("suffix", F.lit("")).alias("suffix"))
     counts = votes.groupBy("host", "suffix", "told", "best").agg(F.count("*").alias("n"))
     counts = materialise(counts, "votes")
     by = lambda *k: counts.groupBy(*k, "best").agg(F.sum("n").alias("n"))
@@ -191,24 +189,23 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", declared: s
     suffixes = votes_of("suffix").select("suffix", smoothed(doubles(overall)).alias("above"))
     hosts = votes_of("host", "suffix").join(suffixes, "suffix")
     share = F.transform(smoothed(F.col("above")), lambda p: F.log(p))
-    hosts = materialise(hosts.select(F.col("host").alias("__of"), share.alias("__prior")), "hosts")
+    hosts = materialise(hosts.select(F.col("host").alias("of_host"), share.alias("prior")), "hosts")
     small = hosts.count() <= BROADCAST_HOSTS
-    joined = rows.join(F.broadcast(hosts) if small else hosts, F.coalesce(F.col(OWN[2]), F.lit("")) == F.col("__of"), "left")
-    heard = df.sparkSession.createDataFrame([(x, says[i].tolist()) for x, i in place_of.items()], "__told string, __heard array<double>")
-    joined = joined.join(F.broadcast(heard), told == F.col("__told"), "left")
-    prior = F.coalesce("__prior", doubles(np.log(overall)))
+    joined = rows.join(F.broadcast(hosts) if small else hosts, F.coalesce("host", F.lit("")) == F.col("of_host"), "left")
+    heard = df.sparkSession.createDataFrame([(x, says[i].tolist()) for x, i in place_of.items()], "told string, heard array<double>")
+    joined = joined.join(F.broadcast(heard), told == F.col("told"), "left")  # a row for each language
+    prior = F.coalesce("prior", doubles(np.log(overall)))
     weight = letters * how.temper / (letters + how.temper)
-    posterior = F.transform(F.arrays_zip(scores.alias("s"), F.col("__heard").alias("d"), prior.alias("p")), lambda x: x["s"] * weight + x["d"] + x["p"])
-    joined = joined.withColumn("__log", posterior)
-    top = F.array_max("__log")
-    place = F.array_position("__log", top).cast("int")
-    confidence = 1.0 / F.aggregate("__log", F.lit(0.0), lambda s, x: s + F.exp(x - top))
-    joined = joined.withColumns({"__place": place, "__sure": confidence})
-    mean, floor = F.element_at(F.col(OWN[0]), F.col("__place")), F.element_at(doubles(model.means - how.slack), F.col("__place"))
-    accepted = (letters > 0) & (mean >= floor) & (F.col("__sure") >= how.least)
-    accepted = F.coalesce(accepted, F.lit(False))
-    language = F.when(accepted, F.element_at(strings(names), F.col("__place"))).otherwise("und")
-    return joined.select(*columns, language.alias("language"), F.when(letters > 0, F.col("__sure")).otherwise(0.0).alias("confidence"), accepted.alias("accepted"))
+    posterior = F.transform(F.arrays_zip(scores.alias("s"), F.col("heard").alias("d"), prior.alias("p")), lambda x: x["s"] * weight + x["d"] + x["p"])
+    joined = joined.withColumn("posterior", posterior)
+    top = F.array_max("posterior")
+    confidence = 1.0 / F.aggregate("posterior", F.lit(0.0), lambda s, x: s + F.exp(x - top))
+    joined = joined.withColumns({"place": F.array_position("posterior", top).cast("int"), "sure": confidence})
+    mean, floor = F.element_at("scores", F.col("place")), F.element_at(doubles(model.means - how.slack), F.col("place"))
+    accepted = F.coalesce((letters > 0) & (mean >= floor) & (F.col("sure") >= how.least), F.lit(False))
+    language = F.when(accepted, F.element_at(strings(names), F.col("place"))).otherwise("und")
+    found = joined.select("row", language.alias("language"), F.when(letters > 0, F.col("sure")).otherwise(0.0).alias("confidence"), accepted.alias("accepted"))
+    return found.select(*(F.col("row").getField(c).alias(c) for c in columns), "language", "confidence", "accepted")
 
 
 def doubles(values: np.ndarray) -> Column:
