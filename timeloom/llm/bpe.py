@@ -4,8 +4,8 @@ A pair of adjacent bytes that occurs inside no token of the vocabulary can
 never be joined, so a cut between the two is certain: the text falls into
 fragments that are encoded independently, and the ids of the fragments in a
 row are the ids of the text.  Fragments repeat, so each distinct one is
-encoded once per worker and looked up by hash after that; texts never pass
-through a loop over their characters.
+encoded once per worker and looked up by hash after that, where its bytes must
+be the same; texts never pass through a loop over their characters.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from .common import slices, small_batches, spread, utf8
-from .hashing import HashTable, range_hashes
+from .hashing import HashTable, equal_ranges, range_hashes
 
 #: How byte-level and word-end vocabularies of this family split text before merging (fixed values).
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -240,6 +240,9 @@ class Encoder:
         self.ids = np.zeros(1 << 16, np.int32)
         self.used = 0
         self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # the fragments' own bytes, with eight spare ones at the end
+        self.raw, self.raw_used = np.zeros(1 << 20, np.uint8), 0
+        self.raw_at, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def chunks(self, fragments: list[bytes]) -> Coded:
         raise NotImplementedError
@@ -253,6 +256,14 @@ class Encoder:
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + total] = coded
+        whole = b"".join(fragments)
+        while self.raw_used + len(whole) + 8 > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
+        self.raw[self.raw_used : self.raw_used + len(whole)] = np.frombuffer(whole, np.uint8)
+        sizes = np.fromiter(map(len, fragments), np.int64, len(fragments))
+        self.raw_at = np.concatenate([self.raw_at, self.raw_used + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.raw_used += len(whole)
         self.table.add(hashes, np.arange(len(self.starts), len(self.starts) + len(counts)))
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
@@ -288,8 +299,16 @@ class Encoder:
             whole = data.tobytes()
             self._remember(new, [whole[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
             slots = self.table.find(hashes)
-        counts = self.counts[slots]
-        ids = self.ids[spread(self.starts[slots], counts)]
+        counts, first, pool = self.counts[slots], self.starts[slots], self.ids
+        size = ends - starts
+        alike = self.sizes[slots] == size
+        alike &= equal_ranges(np.concatenate([data, np.zeros(8, np.uint8)]), starts, self.raw, self.raw_at[slots], np.where(alike, size, 0))
+        odd = np.flatnonzero(~alike)
+        if len(odd):  # another fragment has the same hash: these are encoded each for itself
+            coded, n = self.chunks([data[i:j].tobytes() for i, j in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)])
+            counts[odd], first[odd] = n, len(pool) + np.cumsum(n) - n
+            pool = np.concatenate([pool, coded.astype(np.int32)])
+        ids = pool[spread(first, counts)]
         before = np.concatenate([[0], np.cumsum(counts)])
         return ids, before[np.searchsorted(starts, offsets)]
 

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
-#: An odd base (2 modulo 4 below it, so few low bits are lost) and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C17
-INVERSE = pow(BASE, -1, 1 << 64)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 MIX2 = np.uint64(0x94D049BB133111EB)
+FULL = np.uint64(2**64 - 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -18,42 +17,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: A 64-bit value for each byte.
-BYTE_VALUES = mix((np.arange(1, 257, dtype=np.uint64)) * np.uint64(BASE))
+#: Ranges of more bytes are hashed one at a time, by xxhash.
+LONG = 256
 
 
-class Powers:
-    """Powers of the base and of its inverse, as far as they were needed."""
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of ``data[starts[i]:ends[i]]`` for all ranges; never 0.
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 1 << 16)
-            self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(BASE))]), dtype=np.uint64)
-            self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(INVERSE))]), dtype=np.uint64)
-
-
-POWERS = Powers()
-
-
-def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of ``data[starts[i]:ends[i]]`` for ascending ranges that do not overlap; never 0.
-
-    A polynomial over per-byte values modulo 2**64, shifted to the range's start and mixed with
-    its length, so equal bytes have equal hashes wherever they stand.
+    Blocks of eight bytes are mixed into a state one after the other, so the hash is not linear in the
+    bytes; ranges of up to eight bytes of one length have one hash only if they are equal.  Equal bytes have equal hashes wherever
+    they stand.  Other ranges may collide by chance, or under a known seed by design: where results rest on a match,
+    bytes are compared or a second seed is asked.
     """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    POWERS.upto(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * POWERS.up[: len(data)], out=total[1:])
-    h = (total[ends] - total[starts]) * POWERS.down[starts]
-    h = mix(h ^ ((ends - starts).astype(np.uint64) * MIX2))
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    h = mix(size.astype(np.uint64) * MIX2 ^ mix(np.array([seed], np.uint64)))
+    at, left, live = starts, np.where(size > LONG, 0, size), np.flatnonzero((size <= LONG) & (size > 0))
+    at, left = at[live], left[live]
+    while len(live):
+        short = np.minimum(left, 8).astype(np.uint64)
+        h[live] = mix(h[live] ^ (blocks[at] & (FULL >> (np.uint64(64) - np.uint64(8) * short))))
+        on = left > 8
+        live, at, left = live[on], at[on] + 8, left[on] - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = np.uint64(xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed & 0xFFFFFFFF))
     return np.where(h == 0, np.uint64(1), h)
 
 
+def equal_ranges(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether ``a[a_at[i]:][:sizes[i]]`` equals ``b[b_at[i]:][:sizes[i]]``, for each i; both arrays end with eight spare bytes."""
+    out = np.ones(len(sizes), bool)
+    views = [np.ndarray((len(x) - 7,), "<u8", x, strides=(1,)) for x in (a, b)]
+    live, p, q, left = np.flatnonzero(sizes > 0), a_at, b_at, sizes
+    p, q, left = p[live], q[live], left[live]
+    while len(live):
+        mask = FULL >> (np.uint64(64) - np.uint64(8) * np.minimum(left, 8).astype(np.uint64))
+        same = ((views[0][p] ^ views[1][q]) & mask) == 0
+        out[live[~same]] = False
+        on = same & (left > 8)
+        live, p, q, left = live[on], p[on] + 8, q[on] + 8, left[on] - 8
+    return out
+
+
 class HashTable:
     """Maps non-zero 64-bit keys to small integers with vectorised probes."""
 

@@ -36,6 +36,8 @@ SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 #: Cells of the second filter for each of the first's; rows of one or two numbers that may be broadcast.
 FINE, BROADCAST_ROWS = 4, 2_000_000
+#: Added to the seed of hashes that check the others.
+CHECK = 1 << 20
 #: Members of a cell up to which their pairs are listed, and members of a block beyond that.
 FEW, MEMBERS = 8, 400
 #: Cells of a group, one of which is left out of each signature: three where sets are small and two
@@ -91,10 +93,11 @@ def crowded(like: Similarity, band: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return total * np.exp(-smallest * (cells_of(n1) - 1) / total) > 2
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text in a row, and where each text's begin.
 
-    A text of fewer words has its whole word sequence as one shingle, one without words none.
+    A text of fewer words has its whole word sequence as one shingle, one without words none.  ``seed`` goes into the
+    hash of every word, so sets that are hashed under another seed are hashed independently from the bytes on.
     """
     n = len(data)
     data = LOWER[data]
@@ -105,7 +108,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     starts = np.flatnonzero(~blank & previous)
     following = np.concatenate([blank[1:], [True]]) | text_start[1:]
     ends = np.flatnonzero(~blank & following) + 1
-    h = range_hashes(data, starts, ends)
+    h = range_hashes(data, starts, ends, seed)
     at = np.searchsorted(starts, offsets)
     counts = np.diff(at)
     made = np.where(counts >= words, counts - words + 1, np.minimum(counts, 1))
@@ -124,15 +127,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     return out, np.searchsorted(owner, np.arange(len(counts) + 1))
 
 
-def set_hashes(elements: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each set that do not depend on the order of its elements."""
-
-    def summed(x: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)])
-        return total[at[1:]] - total[at[:-1]]
-
-    size = np.diff(at).astype(np.uint64)
-    return mix(summed(mix(elements ^ MIX)) + size), mix(summed(mix(elements * MIX2)) ^ size)
+def set_hashes(elements: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64 bits of each set that do not depend on the order of its elements."""
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(elements ^ MIX), dtype=np.uint64)])
+    return mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64))
 
 
 def signatures(elements: np.ndarray, at: np.ndarray, like: Similarity) -> tuple[np.ndarray, np.ndarray]:
@@ -228,18 +226,17 @@ def fine_cells(elements: np.ndarray, at: np.ndarray, like: Similarity) -> tuple[
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def over_sets(df: DataFrame, words: int, seed: int, schema: str, make) -> DataFrame:
-    """``make(batch, elements, at)`` over slices of ``df``, whose last column is a text."""
+def over_sets(df: DataFrame, words: int, seeds: tuple[int, ...], schema: str, make) -> DataFrame:
+    """``make(batch, elements, at, ...)`` over slices of ``df``, whose last column is a text, with sets for each seed."""
     small_batches(df.sparkSession)
-    salt = mix(np.array([seed], np.uint64))[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(batch.num_columns - 1))
             for lo, hi in slices(offsets):
-                base = offsets[lo]
-                elements, at = shingle_sets(data[base : offsets[hi]], offsets[lo : hi + 1] - base, words)
-                yield make(batch.slice(lo, hi - lo), elements ^ salt, at)
+                own, at_of = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                sets = [shingle_sets(own, at_of, words, s) for s in seeds]
+                yield make(batch.slice(lo, hi - lo), *(x for pair in sets for x in pair))
 
     return df.mapInArrow(run, schema)
 
@@ -250,21 +247,22 @@ def record(names: list[str], *columns) -> pa.RecordBatch:
 
 
 def sizes_and_hashes(docs: DataFrame, words: int, seed: int) -> DataFrame:
-    def make(batch: pa.RecordBatch, elements: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        return record(["key", "n", "h1", "h2"], batch.column(0), np.diff(at), *set_hashes(elements, at))
+    def make(batch: pa.RecordBatch, elements: np.ndarray, at: np.ndarray, others: np.ndarray, other_at: np.ndarray) -> pa.RecordBatch:
+        # under either seed words that share a hash would make a set too small; the larger count is the right one
+        return record(["key", "n", "h1", "h2"], batch.column(0), np.maximum(np.diff(at), np.diff(other_at)), set_hashes(elements, at), set_hashes(others, other_at))
 
-    return over_sets(docs, words, seed, "key bigint, n bigint, h1 bigint, h2 bigint", make)
+    return over_sets(docs, words, (seed, CHECK + seed), "key bigint, n bigint, h1 bigint, h2 bigint", make)
 
 
 def signed(docs: DataFrame, words: int, seed: int, like: Similarity) -> DataFrame:
     """A row for each signature of each document."""
 
     def make(batch: pa.RecordBatch, elements: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        h, _ = set_hashes(elements, at)
+        h = set_hashes(elements, at)
         owner, found = signatures(elements, at, like)
         return record(["sig", "h1"], found, h[owner])
 
-    return over_sets(docs, words, seed, "sig bigint, h1 bigint", make)
+    return over_sets(docs, words, (seed,), "sig bigint, h1 bigint", make)
 
 
 def candidates(docs: DataFrame, wanted: DataFrame, many: int) -> DataFrame:
@@ -281,17 +279,17 @@ def celled(texts: DataFrame, words: int, seed: int, like: Similarity) -> DataFra
         owner, scheme, bound, cell = fine_cells(elements, at, like)
         return record(["h1", "scheme", "bound", "cell"], ids[owner], scheme.astype(np.int32), bound.astype(np.int32), cell)
 
-    return over_sets(texts, words, seed, "h1 bigint, scheme int, bound int, cell bigint", make)
+    return over_sets(texts, words, (seed,), "h1 bigint, scheme int, bound int, cell bigint", make)
 
 
 def matching(texts: DataFrame, words: int, seed: int) -> DataFrame:
     """The rows whose text has the set that ``h1`` stands for: a repeated key may bring others."""
 
     def make(batch: pa.RecordBatch, elements: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        h, _ = set_hashes(elements, at)
+        h = set_hashes(elements, at)
         return batch.filter(pa.array(batch.column(0).to_numpy() == h.view(np.int64)))
 
-    return over_sets(texts, words, seed, "h1 bigint, text string", make)
+    return over_sets(texts, words, (seed,), "h1 bigint, text string", make)
 
 
 def prefixes(cells: DataFrame) -> DataFrame:
@@ -309,7 +307,7 @@ def prefixes(cells: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, like: Similarity) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar."""
+    """The pairs ``a, b`` whose sets are similar, by word hashes of their own: what collides in signatures does not here."""
     left = texts.select(F.col("h1").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("h1").alias("b"), F.col("text").alias("y"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
@@ -332,7 +330,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, like: Similarity) -
 
 
 def sets_of(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
-    return shingle_sets(*utf8(column), words)
+    return shingle_sets(*utf8(column), words, CHECK)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -382,8 +380,7 @@ def close_pairs(members: DataFrame, texts: DataFrame, words: int, seed: int, lik
             data, offsets = utf8(batch.column(1))
             for lo, hi in slices(offsets):
                 part = batch.slice(lo, hi - lo)
-                elements, at = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words)
-                elements = elements ^ mix(np.array([seed], np.uint64))[0]
+                elements, at = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words, seed)
                 owner, scheme, _, cell = fine_cells(elements, at, like)
                 order = np.lexsort((np.arange(len(owner)), scheme, owner))
                 owner, scheme, cell = owner[order], scheme[order], cell[order]
