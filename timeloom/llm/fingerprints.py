@@ -7,11 +7,14 @@ document's sample.  Two documents have the same one with a probability that
 equals the generalised Jaccard similarity of their weights, so the share of equal
 samples estimates it.
 
-One 64-bit hash of (term, k) gives all draws: 18 bits pick r and 26 bits ln c from
-tables of quantiles, with straight lines between their entries; 20 bits are b.  The
-table of c is a fine one where c is small, as the minimum lies there.  A value and its
-sample share one long, so that a sample is the minimum of a long: 64 of them are
-one hash aggregation with primitive buffers.
+One 64-bit hash of (term, k) gives all draws: 12 bits pick r from a table of quantiles, and the larger of two
+12-bit numbers picks ln c, as the larger of two uniform numbers is the root of one: the table of c is thus fine where
+c is small and the minimum lies.  16 bits are b, which makes values continuous again.  Tables of this size stay in a core's
+cache.  A value and its sample share one long, so that a sample is the minimum of a long.
+
+Samples are drawn in blocks: a row of a term becomes one row a block, and each of them draws ``PER_BLOCK`` samples, for
+the text and its edited form at once.  The plan thus holds a few expressions instead of one for each sample, and its generated
+methods stay small enough to be compiled well; keys and buffers of the aggregations are primitive.
 """
 
 from __future__ import annotations
@@ -24,13 +27,14 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-SAMPLES = 64
-#: Entries of a table, in bits.
-BITS = 10
-SIZE = 1 << BITS
-#: Values lie above this, and are stored in steps of 2**-22.
+SAMPLES, PER_BLOCK = 64, 4
+#: Entries of a table.
+SIZE = 1 << 12
+#: Logarithms of values lie above this, and are stored in steps of 2**-22.
 FLOOR, STEP = -200.0, 2.0**22
 LOW = (1 << 32) - 1
+#: A row: its id (or, without one, a hash) and a hash that tells it from other rows of that id.
+KEY = ("at", "text_hash")
 
 
 def gamma_quantile(p: float) -> float:
@@ -39,18 +43,16 @@ def gamma_quantile(p: float) -> float:
     for _ in range(60):
         step = (1 - (1 + x) * math.exp(-x) - p) / (x * math.exp(-x))
         x = max(x - step, x / 4)
-        if abs(step) < 1e-13 * max(x, 1e-3):
+        if abs(step) < 1e-12 * x:
             break
     return x
 
 
 @lru_cache(maxsize=1)
 def quantiles() -> tuple[list[float], list[float]]:
-    """Quantiles of r at i / SIZE, and of ln c at i / SIZE and then at i / SIZE**2; ends stand a little inside (0, 1)."""
-    inside = lambda p: min(max(p, 2.0**-22), 1 - 2.0**-20)
-    coarse = [gamma_quantile(inside(i / SIZE)) for i in range(SIZE + 1)]
-    fine = [gamma_quantile(inside(i / SIZE**2)) for i in range(SIZE + 1)]
-    return coarse, [math.log(x) for x in coarse + fine]
+    """Quantiles of r in the middle of each of ``SIZE`` shares, and of ln c at their squares."""
+    middle = [(i + 0.5) / SIZE for i in range(SIZE)]
+    return [gamma_quantile(u) for u in middle], [math.log(gamma_quantile(u * u)) for u in middle]
 
 
 def tables(spark: SparkSession) -> list[Column]:
@@ -59,29 +61,20 @@ def tables(spark: SparkSession) -> list[Column]:
     return [rows.select(c).scalar() for c in ("r", "c")]
 
 
-def between(table: Column, place: Column, part: Column) -> Column:
-    """The value at ``place`` and ``part`` (0 to 1) of the way to the next."""
-    low = F.get(table, place)
-    return low + (F.get(table, place + 1) - low) * part
+def draws(term: Column, k: Column, r_table: Column, c_table: Column) -> tuple[Column, Column, Column]:
+    """``r``, ``ln c`` and ``b`` of a term in sample ``k``."""
+    x = F.xxhash64(term, k)
+    part = lambda shift: F.shiftrightunsigned(x, shift).bitwiseAND(SIZE - 1).cast("int")
+    b = (x.bitwiseAND(65535).cast("double") + 0.5) / 65536.0
+    return F.get(r_table, part(52)), F.get(c_table, F.greatest(part(40), part(28))), b
 
 
-def samples(term: Column, weight: Column, n: int, r_table: Column, c_table: Column) -> list[Column]:
-    """A long for each k whose minimum over a document's terms holds its sample in the low 32 bits."""
-    out = []
-    for k in range(n):
-        x = F.xxhash64(term, F.lit(k))
-        bits = lambda shift, width, x=x: F.shiftrightunsigned(x, shift).bitwiseAND((1 << width) - 1).cast("int")
-        r = between(r_table, bits(54, BITS), bits(46, 8) / 256.0)
-        high, low = bits(36, BITS), bits(26, BITS)
-        rare = high == 0
-        log_c = between(c_table, F.when(rare, low + SIZE + 1).otherwise(high), F.when(rare, bits(20, 6) / 64.0).otherwise(low / float(SIZE)))
-        b = bits(0, 20) / float(1 << 20)
-        t = F.floor(weight / r + b)
-        value = log_c - r * (t.cast("double") - b + 1.0)
-        rank = ((value - FLOOR) * STEP).cast("bigint")
-        name = term.bitwiseXOR(t * 2654435761).bitwiseAND(LOW)
-        out.append(F.shiftleft(rank, 32).bitwiseOR(name))
-    return out
+def ranked(term: Column, log_weight: Column, r: Column, log_c: Column, b: Column) -> Column:
+    """A long that orders by value and holds the sample in its low 32 bits."""
+    t = F.floor(log_weight / r + b)
+    value = log_c - r * (t.cast("double") - b + 1.0)
+    name = term.bitwiseXOR(F.shiftleft(t, 7)).bitwiseAND(LOW)
+    return F.shiftleft(((value - FLOOR) * STEP).cast("bigint"), 32).bitwiseOR(name)
 
 
 def successors(docs: DataFrame) -> DataFrame:
@@ -103,13 +96,16 @@ def successors(docs: DataFrame) -> DataFrame:
 
 
 def with_edit(docs: DataFrame, after: DataFrame, again: bool) -> DataFrame:
-    """``doc, text, edited``: the last quarter replaced by the start of the next document."""
+    """``at, text_hash, doc, times, text, edited``: the last quarter replaced by the start of the next document.
+
+    The result lies by ``at``.
+    """
     side = after.select(F.col("doc").alias("of"), "next", "q")
     heads = docs.join(side, docs["doc"] == side["next"]).select("of", F.expr("left(text, q)").alias("head"))
     heads = heads.groupBy("of").agg(F.min("head").alias("head")) if again else heads
-    joined = docs.join(heads, docs["doc"] == heads["of"], "left")
+    joined = docs.join(heads, (docs["at"] == heads["of"]) & docs["doc"].isNotNull(), "left")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.coalesce(F.expr("left(head, cast(floor(length(text) / 4) as int))"), F.lit("")))
-    return joined.select("doc", "text", edited.alias("edited"))
+    return joined.select(*KEY, "doc", "times", "text", edited.alias("edited"))
 
 
 def repeated(docs: DataFrame) -> bool:
@@ -117,20 +113,32 @@ def repeated(docs: DataFrame) -> bool:
     return not docs.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
-def sampled(texts: DataFrame, n: int) -> DataFrame:
-    """``doc, text_hash, which, samples`` for the text (0) and the edited text (1) of each row.
+def sampled(edits: DataFrame, n: int) -> DataFrame:
+    """``KEY, own, edit``: the samples of the text and of the edited text of each row, null without words.
 
-    ``texts`` lies by ``doc``, so counting words and taking minima need no further exchange.
+    ``edits`` lies by ``at``, so counting words and taking minima need no further exchange.
     """
-    key = ["doc", "text_hash", "which"]
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"\S+"), F.lit(0))
+    words = lambda c: F.split(F.lower(c), r"\s+")
     both = F.array(*(F.struct(F.lit(i).alias("which"), words(F.col(c)).alias("words")) for i, c in enumerate(("text", "edited"))))
-    rows = texts.select("doc", "text_hash", F.explode(both).alias("x")).select("doc", "text_hash", "x.which", F.explode("x.words").alias("word"))
-    counts = rows.select(*key, F.xxhash64("word").alias("term")).groupBy(*key, "term").agg(F.count("*").alias("n"))
-    weighted = counts.select(*key, "term", F.log(F.col("n").cast("double")).alias("w"))
-    minima = [F.min(c).alias(f"s{k}") for k, c in enumerate(samples(F.col("term"), F.col("w"), n, *tables(texts.sparkSession)))]
-    low = F.array(*(F.col(f"s{k}").bitwiseAND(LOW) for k in range(n)))
-    return weighted.groupBy(*key).agg(*minima).select(*key, low.alias("samples"))
+    rows = edits.select(*KEY, F.explode(both).alias("x")).select(*KEY, "x.which", F.explode("x.words").alias("word")).where("word <> ''")
+    here = lambda i: F.sum(F.when(F.col("which") == i, 1).otherwise(0))
+    counts = rows.select(*KEY, "which", F.xxhash64("word").alias("term")).groupBy(*KEY, "term").agg(here(0).alias("n0"), here(1).alias("n1"))
+    # the logarithm of no occurrence is null, and so is what is drawn with it
+    weighted = counts.select(*KEY, "term", *(F.log(F.col(f"n{i}").cast("double")).alias(f"w{i}") for i in (0, 1)))
+    per = min(n, PER_BLOCK)
+    drawn = weighted.withColumn("block", F.explode(F.array(*map(F.lit, range(-(-n // per))))))
+    found = tables(edits.sparkSession)
+    minima = []
+    for j in range(per):
+        draw = draws(F.col("term"), F.col("block") * per + j, *found)
+        minima += [F.min(ranked(F.col("term"), F.col(f"w{i}"), *draw)).alias(f"m{i}_{j}") for i in (0, 1)]
+    least = drawn.groupBy(*KEY, "block").agg(*minima)
+    # 32 bits as an int
+    low = lambda c: F.shiftright(F.shiftleft(F.col(c), 32), 32).cast("int")
+    some = lambda i: F.when(F.col(f"m{i}_0").isNotNull(), F.array(*(low(f"m{i}_{j}") for j in range(per))))
+    parts = least.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("block", some(0).alias("s0"), some(1).alias("s1")))).alias("parts"))  # a row a block
+    whole = lambda i: F.slice(F.flatten(F.col(f"parts.s{i}")), 1, n)
+    return parts.select(*KEY, whole(0).alias("own"), whole(1).alias("edit"))
 
 
 def likeness(a: Column, b: Column, n: int) -> Column:
@@ -141,7 +149,8 @@ def likeness(a: Column, b: Column, n: int) -> Column:
 
 
 def printed(a: Column) -> Column:
-    return F.coalesce(F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), ""), F.lit(""))
+    """Eight hexadecimal digits a sample."""
+    return F.coalesce(F.lower(F.array_join(F.transform(a, lambda x: F.substring(F.hex(x.cast("bigint").bitwiseAND(LOW) + (1 << 32)), 2, 8)), "")), F.lit(""))
 
 
 def fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = SAMPLES) -> DataFrame:
@@ -154,24 +163,30 @@ def fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     sample), ``near_edited``, ``near_next``.
 
     A null text counts as empty; a text without words has the empty fingerprint.  Of rows that repeat a key the
-    next document is the one whose start (and, for ``near_next``, fingerprint) sorts first.  A row without a key
-    has no next document: nothing replaces its last quarter, and ``near_next`` is 0.
+    next document is the one whose start (and, for ``near_next``, fingerprint) sorts first; rows equal in key and text are
+    judged once and returned as often as they stand there.  A row without a key
+    has no next document: nothing replaces its last quarter, and ``near_next`` is 0.  Other columns are ignored.
     """
     docs = df.select(df[key].cast("bigint").alias("doc"), F.coalesce(df[text], F.lit("")).alias("text"))
-    after = materialise(successors(docs), "next")
     again = repeated(docs)
-    edits = with_edit(docs, after, again).withColumn("text_hash", F.xxhash64("text"))
-    facts = edits.select("doc", "text_hash", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    found = sampled(edits.dropDuplicates(["doc", "text_hash"]) if again else edits, n)
-    key_of = ["doc", "text_hash"]
-    pair = found.groupBy(*key_of).agg(*(F.max(F.when(F.col("which") == i, F.col("samples"))).alias(c) for i, c in enumerate(("own", "edit"))))
-    same = [facts[c].eqNullSafe(pair[c]) for c in key_of]
-    rows = materialise(facts.join(pair, same[0] & same[1], "left").select(facts["doc"], "n_chars", "edited_sha256", "own", "edit"), "samples")
-    firsts = rows.where("doc is not null").groupBy("doc").agg(F.min("own").alias("other")) if again else rows.where("doc is not null").select("doc", F.col("own").alias("other"))
-    nexts = after.join(firsts, after["next"] == firsts["doc"]).select(after["doc"].alias("of"), "other")
+    docs = docs.groupBy("doc", "text").agg(F.count("*").alias("times")) if again else docs.withColumn("times", F.lit(1).cast("bigint"))
+    text_hash = F.xxhash64("text", F.col("doc").isNull())
+    docs = docs.select(F.coalesce("doc", text_hash).alias("at"), text_hash.alias("text_hash"), "doc", "times", "text")
+    after = materialise(successors(docs), "next")
+    edits = with_edit(docs, after, again)
+    found = sampled(edits, n).toDF("at_of", "hash_of", "own", "edit")
+    facts = edits.select(*KEY, "doc", "times", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    # both sides lie by at; the hash as a difference keeps the planner from dealing them out anew by both
+    own = (facts["at"] == found["at_of"]) & (facts["text_hash"].bitwiseXOR(found["hash_of"]) == 0)
+    rows = materialise(facts.join(found, own, "left").select("doc", "times", "n_chars", F.unhex("edited_sha256").alias("sha"), "own", "edit"), "samples")
+    firsts = rows.where("doc is not null").select(F.col("doc").alias("at"), F.col("own").alias("other"))
+    # only where rows repeat a key is the least of their fingerprints looked for
+    firsts = firsts.groupBy("at").agg(F.min("other").alias("other")) if again else firsts
+    nexts = after.join(firsts, after["next"] == firsts["at"]).select(after["doc"].alias("of"), "other")
     out = rows.join(nexts, rows["doc"] == nexts["of"], "left")
+    out = out.withColumn("one", F.explode(F.expr("sequence(1L, times)"))) if again else out
     near_next = F.when(F.col("of").isNull(), 0.0).otherwise(likeness(F.col("own"), F.col("other"), n))
     return out.select(
-        F.col("doc").alias(key), "n_chars", "edited_sha256", printed(F.col("own")).alias("fingerprint"), printed(F.col("edit")).alias("edited_fingerprint"),
+        F.col("doc").alias(key), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), printed(F.col("own")).alias("fingerprint"), printed(F.col("edit")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("edit"), n).alias("near_edited"), near_next.alias("near_next"),
     )
