@@ -51,15 +51,25 @@ def bucketed(df: DataFrame, width: int) -> DataFrame:
     return df.withColumn("__first", first).withColumn("__b", F.explode(F.sequence(first, last)))
 
 
+def reserve(a: DataFrame, taken: Sequence[str]) -> None:
+    """Refuse columns that a result would hold twice, or that operators use inside."""
+    clash = sorted({c for c in a.columns if c in taken or c.startswith("__")})
+    if clash:
+        raise ValueError(f"columns whose names are taken: {', '.join(clash)}")
+
+
 def join(a: DataFrame, b: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
     """Pairs of overlapping intervals with equal keys: columns of ``a``, and of ``b`` with prefix ``b_``.
 
     Both sides are dealt to time buckets of ``width``, so the join is an equi-join on key and
     bucket that spreads a busy key over tasks; a pair counts in its first shared bucket only.
-    Choose ``width`` near the intervals' usual length.
+    Choose ``width`` near the intervals' usual length.  Intervals with a null bound or key overlap nothing; names of
+    ``a`` that the result would hold twice, or that begin with two underscores, are refused.
     """
-    x = bucketed(a, width)
     other = [c for c in b.columns if c not in keys]
+    reserve(a, [f"b_{c}" for c in other])
+    reserve(b, [])
+    x = bucketed(a, width)
     y = bucketed(b, width).select(*keys, *(F.col(c).alias(f"b_{c}") for c in other), F.col("__b"), F.col("__first").alias("__other"))
     met = x.join(y, [*keys, "__b"]).where("t0 < b_t1 AND b_t0 < t1")
     return met.where(F.col("__b") == F.greatest("__first", "__other")).drop("__b", "__first", "__other")
@@ -74,11 +84,41 @@ def intersect(a: DataFrame, b: DataFrame, keys: Sequence[str], width: int) -> Da
 def best_match(a: DataFrame, b: DataFrame, keys: Sequence[str], row: Sequence[str], rank: Sequence[str], width: int) -> DataFrame:
     """For each row of ``a`` (identified by ``row``) the interval of ``b`` that it overlaps most; ties by ``rank``.
 
-    Rows that overlap none are absent.
+    Each row lies whole in one bucket of some grid: grids have buckets of ``width``, doubled as often as the row needs, and
+    each width has a second grid half a bucket on.  Of the intervals that cover a whole bucket only the first by
+    ``rank`` can win there, so a bucket holds that one and those that begin or end in it: what many long
+    intervals share is folded before the join, and pairs grow with the intervals' ends and not with the square.
+    Choose ``width`` at least twice the usual row's length.  Rows that overlap none, or have a null bound or key, are absent; an interval of
+    no length inside a row overlaps it by 0.
     """
-    met = join(a, b, keys, width).withColumn("overlap_us", F.least("t1", "b_t1") - F.greatest("t0", "b_t0"))
-    order = Window.partitionBy(*row).orderBy(F.desc("overlap_us"), *rank)
-    return met.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    other = [c for c in b.columns if c not in keys]
+    payload = [f"b_{c}" for c in other]
+    reserve(a, [*payload, "overlap_us"])
+    reserve(b, [])
+    length = F.col("t1") - F.col("t0")
+    doubled = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(length, F.lit(1).cast("bigint")) * 2.0 / width))).cast("int")
+    rows = a.where("t1 >= t0").withColumn("__l", doubled)
+    levels = [r[0] for r in rows.select("__l").distinct().collect()]  # a number for each doubling that occurs
+    wide = F.lit(width).cast("bigint") * F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("__l"))
+    cell = lambda t, half: F.floor((t - half * (wide / 2).cast("bigint")) / wide)
+    # a moment must not stand where a bucket begins
+    inside = cell(F.when(F.col("t1") == F.col("t0"), F.col("t0") - 1).otherwise(F.col("t0")), 0) == cell(F.greatest(F.col("t0"), F.col("t1") - 1), 0)
+    rows = rows.withColumn("__g", F.when(inside, 0).otherwise(1)).withColumn("__b", cell(F.col("t0"), F.col("__g")))
+    grids = F.explode(F.array(*(F.struct(F.lit(x).alias("l"), F.lit(g).alias("g")) for x in sorted(levels) for g in (0, 1)))) if levels else F.explode(F.array().cast("array<struct<l:int,g:int>>"))
+    named = b.where("t1 >= t0").select(*keys, *(F.col(c).alias(f"b_{c}") for c in other), grids.alias("__x")).select("*", F.col("__x.l").alias("__l"), F.col("__x.g").alias("__g"))
+    first, last = cell(F.col("b_t0"), F.col("__g")), cell(F.greatest(F.col("b_t0"), F.col("b_t1") - 1), F.col("__g"))
+    begins = first * wide + F.col("__g") * (wide / 2).cast("bigint")
+    low, high = F.when(begins == F.col("b_t0"), first).otherwise(first + 1), F.when(begins + (last - first + 1) * wide == F.col("b_t1"), last).otherwise(last - 1)
+    spans = named.drop("__x").withColumns({"__low": low, "__high": high, "__first": first, "__last": last})
+    at = [*keys, "__l", "__g", "__b"]
+    full = spans.where("__low <= __high").withColumn("__b", F.explode(F.sequence("__low", "__high")))
+    over = full.groupBy(*at).agg(F.min(F.struct(*rank, *(c for c in payload if c not in rank))).alias("__w")).select(*at, *(F.col(f"__w.{c}").alias(c) for c in payload))
+    ends = F.array_distinct(F.filter(F.array("__first", "__last"), lambda x: (x < F.col("__low")) | (x > F.col("__high"))))
+    part = spans.withColumn("__b", F.explode(ends)).select(*at, *payload)
+    met = rows.join(over.unionByName(part), at).withColumn("overlap_us", F.least("t1", "b_t1") - F.greatest("t0", "b_t0")).where("t0 < b_t1 AND b_t0 < t1")
+    kept = [c for c in a.columns if c not in row]
+    best = met.groupBy(*row).agg(F.min(F.struct((-F.col("overlap_us")).alias("__less"), *rank, *(c for c in (*payload, *kept) if c not in rank))).alias("__w"))
+    return best.select(*row, *(F.col(f"__w.{c}").alias(c) for c in (*kept, *payload)), (-F.col("__w.__less")).alias("overlap_us"))
 
 
 def stab(points: DataFrame, spans: DataFrame, keys: Sequence[str], width: int, time: str = "t") -> DataFrame:

@@ -99,7 +99,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Word edit distance by the diagonal recurrence over pairs of positions.
-TURNS = r"""t AS (SELECT conv_id AS clip, turn, list_filter(regexp_split_to_array(upper(text), '\s+'), lambda w: w <> '')[1:12] AS w FROM conversations),
+TURNS = r"""t AS (SELECT conv_id AS clip, turn, list_filter(regexp_split_to_array(upper(text), '\s+'), lambda w: w <> '') AS w FROM conversations),
 pair AS (SELECT a.clip, a.turn, a.w AS r, coalesce(b.w, []) AS h FROM t a LEFT JOIN t b ON b.clip = a.clip AND b.turn = a.turn + 1),
 grid AS (SELECT clip, turn, r, h, 0 AS i, range(0, len(h) + 1) AS row FROM pair UNION ALL
   SELECT clip, turn, r, h, i + 1, list_reduce(list_prepend([i + 1], list_transform(range(1, len(h) + 1), lambda j: [least(row[j + 1] + 1, row[j] + CASE WHEN r[i + 1] = h[j] THEN 0 ELSE 1 END)])), lambda a, b: list_append(a, least(b[1], a[len(a)] + 1))) FROM grid WHERE i < len(r)),
@@ -119,7 +119,7 @@ def wer_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.agg(F.sum("e").alias("errors"), F.sum("n").alias("words"), F.round(F.sum("e") / F.sum("n"), 6).alias("wer"))
 
 
-@query("WITH t AS (SELECT conv_id, turn, regexp_replace(left(text, 60), '[^ -~]', '', 'g') AS x FROM conversations) SELECT a.conv_id AS clip, a.turn, CAST(levenshtein(a.x, coalesce(b.x, '')) AS INTEGER) AS errors FROM t a LEFT JOIN t b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1")
+@query("WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '', 'g') AS x FROM conversations) SELECT a.conv_id AS clip, a.turn, CAST(levenshtein(a.x, coalesce(b.x, '')) AS INTEGER) AS errors FROM t a LEFT JOIN t b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1")
 def cer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character edit distance of the printable ASCII of turns that follow each other."""
     text = F.regexp_replace("text", "[^ -~]", "")

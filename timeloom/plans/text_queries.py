@@ -20,7 +20,7 @@ TIME = "printf('%02d:%02d:%02d,%03d', {0} // 3600000000, {0} // 60000000 % 60, {
 
 def attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments with the track that they overlap most, and a text for two of three tracks."""
-    best = intervals.best_match(P.reference(spark, sf_dir), P.tracks(spark, sf_dir), ["clip"], ["event_id"], ["b_track"], 6 * P.HOUR)
+    best = intervals.best_match(P.reference(spark, sf_dir), P.tracks(spark, sf_dir), ["clip"], ["event_id"], ["b_track"], 1200 * P.SECOND)
     segments = best.select("clip", "speaker", "t0", "t1", F.col("b_track").alias("track"))
     texts = P.tracks(spark, sf_dir).where("track % 3 <> 0").select("clip", "track", F.concat(F.lit("said by "), F.col("track").cast("string")).alias("text"))
     return captions.attribute(segments, texts, ["clip"])

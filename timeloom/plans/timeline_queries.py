@@ -90,7 +90,7 @@ def interval_join_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM ref JOIN track ON ref.clip = track.clip AND ref.t0 < track.t1 AND track.t0 < ref.t1)
 SELECT event_id, clip, speaker, track, overlap_us FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY overlap_us DESC, track) AS n FROM o) WHERE n = 1""")
 def best_overlap_track(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = intervals.best_match(P.reference(spark, sf_dir), P.tracks(spark, sf_dir), ["clip"], ["event_id"], ["b_track"], 6 * P.HOUR)
+    best = intervals.best_match(P.reference(spark, sf_dir), P.tracks(spark, sf_dir), ["clip"], ["event_id"], ["b_track"], 1200 * P.SECOND)
     return best.select("event_id", "clip", "speaker", F.col("b_track").alias("track"), "overlap_us")
 
 
@@ -103,7 +103,7 @@ def on_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("on_screen", F.col("shared") * 2 >= F.col("t1") - F.col("t0"))
 
 
-ON_SCREEN = f"""{P.REFERENCE}, {P.TRACKS}, few AS (SELECT * FROM track WHERE track % 10 = 0), {P.merged('few', 'face', 'clip')},
+ON_SCREEN = f"""{P.REFERENCE}, {P.TRACKS}, {P.merged('track', 'face', 'clip')},
 s AS (SELECT r.event_id, r.clip, r.speaker, r.t0, r.t1, CAST(coalesce(sum(CASE WHEN f.t0 IS NOT NULL THEN least(r.t1, f.t1) - greatest(r.t0, f.t0) END), 0) AS BIGINT) AS shared
   FROM ref r LEFT JOIN face f ON r.clip = f.clip AND r.t0 < f.t1 AND f.t0 < r.t1 WHERE r.t1 > r.t0 GROUP BY ALL), o AS (SELECT *, shared * 2 >= t1 - t0 AS on_screen FROM s)"""
 
