@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import itertools
 import random
 import unicodedata
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -86,7 +88,7 @@ def brute_lines(texts: list[str]) -> list[str]:
     def near(a: str, b: str) -> bool:
         if a == b:
             return True
-        if min(len(a), len(b)) < line_dedup.MIN_FUZZY or abs(len(a) - len(b)) > 1:
+        if abs(len(a) - len(b)) > 1:
             return False
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
@@ -480,3 +482,131 @@ def test_unicode_normal_forms_stay_apart():
     a, b = "é", unicodedata.normalize("NFD", "é")
     assert not line_dedup.within_one(a + "x" * 30, b + "y" + "x" * 29)
     assert line_dedup.within_one("abc", "abd") and line_dedup.within_one("abc", "ac") and not line_dedup.within_one("abc", "acb")
+
+
+def test_full_license_texts_are_found(spark):
+    mit = next(t for label, t in license_scan.TEMPLATES if label == "mit" and len(t) > 400)
+    rng = random.Random(6)
+    near = " ".join(w for w in license_scan.words_of(mit) if rng.random() > 0.05)
+    half = " ".join(license_scan.words_of(mit)[:60])
+    texts = [mit, " ".join(prose(rng, 333)) + " " + near + " tail", half, "nothing here"]
+    rows = {r.doc_id: r for r in license_scan.scan(docs_of(spark, texts)).collect()}
+    assert rows[0].labels == "mit" and rows[0].score == 1.0 and 0.8 <= rows[1].score < 1.0 and rows[1].labels == "mit"
+    long = " ".join(f"u{i}" for i in range(170))
+    one = {r.doc_id: r for r in license_scan.scan(docs_of(spark, [long, " ".join(f"u{i}" for i in range(100))]), templates=[("long", long)]).collect()}
+    assert (one[0].labels, one[0].score, one[1].labels, one[1].score) == ("long", 1.0, "", 0.0)
+    assert license_scan.scan(docs_of(spark, texts), templates=()).where("labels <> ''").count() == 0
+
+
+def test_revisits_name_records_that_exist(spark, tmp_path):
+    rows = [(1, "http://a/1", "same"), (2, "filedesc://b", "same"), (3, "filedesc:c d", "same"), (4, None, None), (9, "http://e", ""), (5, "filedesc://x", "only")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    warc.write(pages, f"file://{tmp_path}/w")
+    records = [r for f in sorted((tmp_path / "w").glob("part-*")) for r in warc.read_warc(gzip.open(f))]
+    by_id = {r.headers["WARC-Record-ID"]: r for r in records if r.headers["WARC-Type"] == "response"}
+    revisits = [r for r in records if r.headers["WARC-Type"] == "revisit"]
+    assert len(by_id) == 3 and len(revisits) == 3
+    for r in revisits:
+        held = by_id[r.headers["WARC-Refers-To"]]
+        assert held.headers["WARC-Target-URI"] == r.headers["WARC-Refers-To-Target-URI"]
+        assert held.headers["WARC-Payload-Digest"] == r.headers["WARC-Payload-Digest"] and held.headers["WARC-Date"] == r.headers["WARC-Refers-To-Date"]
+    back = {r.page_id: (r.record_type, r.refers_to) for r in warc.read(spark, f"file://{tmp_path}/w").collect()}
+    assert back == {1: ("revisit", 3), 2: ("revisit", 3), 3: ("response", None), 4: ("revisit", 9), 9: ("response", None), 5: ("response", None)}
+
+
+def test_chunks_are_bounded():
+    parts = [b"a" * n for n in (3, 3, 3, 20, 1)]
+    assert [len(c) for c in warc.chunks(parts, 7)] == [6, 3, 20, 1] and b"".join(warc.chunks(parts, 7)) == b"".join(parts)
+
+
+def thue_morse(n: int, a: str, b: str) -> str:
+    return "".join((a, b)[i.bit_count() & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("size", [1024, 2048])
+def test_words_that_polynomials_confuse(spark, size):
+    one, two = thue_morse(size, "a", "b"), thue_morse(size, "b", "a")
+    d = docs_of(spark, [one, two])
+    assert {r.doc_id: r.n_kept for r in line_dedup.dedup(d).collect()} == {0: 1, 1: 1}
+    assert {r.doc_id: r.component_id for r in ngram_join.join(d).collect()} == {0: 0, 1: 1}
+    raw = {i: t for i, t in enumerate((one, two))}
+    assert {r.doc_id: r.decoded_sha256 for r in bpe.round_trip(d, BYTE).collect()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in raw.items()}
+    library = Tokenizer.from_file(WORD)
+    library.no_truncation()
+    library.no_padding()
+    found = {}
+    for r in packing.pack_documents(d, WORD).collect():
+        found.setdefault(r.doc_id, {})[r.start] = (r.length, r.ids_crc32)
+    for i, t in raw.items():
+        ids = [*library.encode(t, add_special_tokens=False).ids, 1]
+        assert found[i] == {s: (len(ids[s : s + 4096]), zlib.crc32(np.array(ids[s : s + 4096], "<u4").tobytes())) for s in range(0, len(ids), 4096)}
+
+
+def test_hash_collisions_do_not_change_ids(monkeypatch):
+    """Every fragment with one hash: the bytes tell them apart."""
+    monkeypatch.setattr(bpe, "range_hashes", lambda data, starts, ends: np.ones(len(starts), np.uint64))
+    coder = bpe.ByteLevel(BYTE)
+    texts = ["alpha beta alpha", "beta gamma.", "", "alpha"]
+    raw = [t.encode() for t in texts]
+    ids, at = coder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    library = Tokenizer.from_file(BYTE)
+    assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_token_counts_and_digests(spark):
+    texts = ["", "one", "Two words, 3 numbers\n\n x", LONG[:3000], "日本 é <|endoftext|> '"]
+    library = Tokenizer.from_file(BYTE)
+    library.no_truncation()
+    library.no_padding()
+    for r in bpe.round_trip(docs_of(spark, texts), BYTE).collect():
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_language_posterior_equals_brute_force(spark):
+    """Votes, smoothed priors and the posterior, in plain Python over the model's scores."""
+    rng = random.Random(12)
+    rows = [(i, t, rng.choice([lang, lang, lang, "fr", None]), rng.choice([host, "plain", None, f"x.{lang}"])) for i, t, lang, host in language_rows(150, 5)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    how = language_id.Settings()
+    model = language_id.fit(d, "doc_id", "text", "lang", how)
+    size, suffix = len(model.languages), lambda h: h.rsplit(".", 1)[1] if h and "." in h else ""
+    raw = [t.encode() for _, t, *_ in rows]
+    scores = model.scores(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    best = scores[:, :size].argmax(1)
+    told = [x if x in model.languages else "" for _, _, x, _ in rows]
+    overall = (np.bincount(best, minlength=size) + 1) / (len(rows) + size)
+
+    def smoothed(mine, prior):
+        n = np.bincount(best[mine], minlength=size)
+        return (n + how.strength * prior) / (n.sum() + how.strength)
+
+    found = {r.doc_id: r for r in language_id.identify(d, how=how).collect()}
+    for k, (i, _, _, host) in enumerate(rows):
+        by_suffix = smoothed([j for j, r in enumerate(rows) if suffix(r[3]) == suffix(host)], overall)
+        prior = smoothed([j for j, r in enumerate(rows) if (r[3] or "") == (host or "")], by_suffix)
+        heard = np.array([(sum(told[j] == told[k] and best[j] == x for j in range(len(rows))) + how.strength * 0.05 / size) / (np.sum(best == x) + how.strength * 0.05) for x in range(size)])
+        n = scores[k, -1]
+        log = scores[k, :size] * n * how.temper / (n + how.temper) + np.log(heard) + np.log(prior)
+        sure = 1 / np.exp(log - log.max()).sum()
+        assert abs(found[i].confidence - sure) < 1e-6
+        if found[i].accepted:
+            assert found[i].language == model.languages[log.argmax()]
+
+
+def test_language_keeps_columns_of_any_name(spark):
+    names = ("row", "scores", "declared", "host", "suffix", "prior", "told", "heard", "posterior", "place", "sure", "of_host", "best", "__host", "__scores")
+    rows = [(*r, *[f"v{i}" for i in range(len(names))]) for r in language_rows(30, 3)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    found = language_id.identify(d)
+    assert found.columns == [*d.columns, "language", "confidence", "accepted"]
+    assert all(r[n] == f"v{i}" for r in found.collect() for i, n in enumerate(names))
+
+
+def test_repeated_keys_of_lines(spark):
+    rows = [(1, "a long line of text"), (1, "another line\na long line of text"), (None, "another line"), (None, "its own"), (2, "its own\na lonk line of text")]
+    found = line_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    kept = Counter(line for r in found for line in r.text.split("\n") if line)
+    assert kept == Counter(["a long line of text", "another line", "its own"])
+    assert sorted((r.doc_id or 0, r.n_lines) for r in found) == [(0, 1), (0, 1), (1, 1), (1, 2), (2, 2)]
+    assert sum(r.n_kept for r in line_dedup.dedup(spark.createDataFrame([(1, "ab\nac\nabcdefghij"), (2, "abcdefghiX\nb")], "doc_id bigint, text string"), shortest=5).collect()) == 4

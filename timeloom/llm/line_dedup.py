@@ -7,282 +7,161 @@ meet, the earliest line of those that meet wins, and the edit distance of
 the two is verified on the lines themselves.
 
 A line has as many variants as characters, too many to emit for every line of a
-corpus.  Whole segments are deleted first: an edit lies in one of four segments
+corpus.  Whole segments are deleted first: an edit lies in one of the segments
 of the longer line, and the rest of both lines agrees.  Only lines whose rest
 meets another line's go on, and only with the variants inside that segment;
 nothing is lost by this.
+
+Every distinct line has one place, its earliest.  A document keeps the lines whose place is its
+own and that no earlier line is near to.  So copies of a line fold by partial aggregation, and no join
+gathers them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from decimal import Decimal
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, small_batches, spread, utf8
-from .hashing import BYTE_VALUES, MIX, MIX2, POWERS, mix
-
-#: Segments of a line, the shortest line for which edits count, and rows that may be broadcast.
-SEGMENTS, MIN_FUZZY, BROADCAST_ROWS = 4, 20, 2_000_000
-BLANK = np.isin(np.arange(256), [32, 9, 11, 12, 13])
-SUBSTITUTED, SHORTER, LONGER = 0, 1, 2
-
-
-def line_table(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all lines in a row, their bounds, the text of each, and its number there."""
-    lines: list[bytes] = []
-    owner: list[int] = []
-    number: list[int] = []
-    for t, text in enumerate(texts):
-        if text:
-            own = text.encode().split(b"\n")
-            lines += own
-            owner += [t] * len(own)
-            number += range(len(own))
-    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
-    return np.frombuffer(b"".join(lines), np.uint8), np.concatenate([[0], np.cumsum(lengths)]), np.array(owner, np.int64), np.array(number, np.int64)
-
-
-class Hashes:
-    """Polynomial hashes of parts of lines, by characters."""
-
-    def __init__(self, data: np.ndarray, bounds: np.ndarray) -> None:
-        POWERS.upto(len(data) + 1)
-        self.total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[data] * POWERS.up[: len(data)], out=self.total[1:])
-        heads = (data & 0xC0) != 0x80
-        self.chars = np.append(np.flatnonzero(heads), len(data))  # byte of each character
-        before = np.concatenate([[0], np.cumsum(heads)])
-        self.first = before[bounds[:-1]]  # characters before each line
-        self.length = before[bounds[1:]] - self.first
-        solid = np.concatenate([[0], np.cumsum(~BLANK[data])])
-        self.blank = solid[bounds[1:]] == solid[bounds[:-1]]
-
-    def part(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Sums of the characters lo to hi (positions among all), as if they began a line."""
-        a, b = self.chars[lo], self.chars[hi]
-        return (self.total[b] - self.total[a]) * POWERS.down[a]
-
-    def whole(self) -> np.ndarray:
-        return mix(self.part(self.first, self.first + self.length) ^ self.length.astype(np.uint64) * MIX2)
-
-    def without(self, line: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Hash, as by :meth:`whole`, of each line without the character at ``place``."""
-        lo = self.first[line]
-        hi = lo + self.length[line]
-        cut = lo + place
-        a, c, d, e = self.chars[lo], self.chars[cut], self.chars[cut + 1], self.chars[hi]
-        joined = (self.total[c] - self.total[a]) * POWERS.down[a] + (self.total[e] - self.total[d]) * POWERS.down[a + d - c]
-        return mix(joined ^ (self.length[line] - 1).astype(np.uint64) * MIX2)
-
-
-def gates(h: Hashes, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(line, longer length, segment, key): what is left of each line when a segment is deleted."""
-    out = []
-    for shift in (0, 1):
-        n = h.length[line] + shift
-        for j in range(SEGMENTS):
-            lo, hi = n * j // SEGMENTS, n * (j + 1) // SEGMENTS
-            first, last = h.first[line], h.first[line] + h.length[line]
-            key = mix(h.part(first, first + lo) * MIX ^ mix(h.part(last - (n - hi), last) + (n * SEGMENTS + j).astype(np.uint64)))
-            out.append((line, n, np.full(len(line), j), key))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
+from .common import materialise
 
-def variants(h: Hashes, line: np.ndarray, n: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, kind, key) of each line's deletion variants inside a segment, for pairs whose longer line has n characters."""
-    longer = h.length[line] == n
-    of = line[longer]
-    lo, hi = n[longer] * segment[longer] // SEGMENTS, n[longer] * (segment[longer] + 1) // SEGMENTS
-    each = np.repeat(of, hi - lo)
-    place = spread(lo, hi - lo)
-    v = h.without(each, place)
-    same = mix(v * MIX ^ place.astype(np.uint64))
-    short = line[~longer]
-    keys = [same, v, h.whole()[short]]
-    kinds = [np.full(len(k), kind) for k, kind in zip(keys, (SUBSTITUTED, LONGER, SHORTER), strict=True)]
-    return np.concatenate([each, each, short]), np.concatenate(kinds), np.concatenate(keys)
+#: Segments of a line, and rows of two numbers that may be broadcast.
+SEGMENTS, BROADCAST_ROWS = 2, 1_000_000
+#: A place is (key + 2**63) * 2**31 + line number: all fit a decimal, whose minimum needs no sort.
+LINES, OFFSET = 1 << 31, Decimal(1 << 63)
+BLANKS = " \t\x0b\x0c\r"
+BOTH, SHORTER, LONGER = 0, 1, 2
 
 
-def arrays(names: list[str], *columns) -> pa.RecordBatch:
-    made = [c if isinstance(c, pa.Array) else pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns]
-    return pa.RecordBatch.from_arrays(made, names=names)
+def split_lines(text: Column) -> Column:
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n"))
 
 
-def over_lines(df: DataFrame, schema: str, make) -> DataFrame:
-    """``make(batch, data, bounds, owner)`` over slices of ``df``, whose last column is a text."""
-    small_batches(df.sparkSession)
+def blank(line: Column) -> Column:
+    return F.trim(line, F.lit(BLANKS)) == ""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, offsets = utf8(batch.column(batch.num_columns - 1))
-            for lo, hi in slices(offsets):
-                part = batch.slice(lo, hi - lo)
-                data, bounds, owner, _ = line_table(part.column(part.num_columns - 1).to_pylist())
-                yield make(part, data, bounds, owner)
 
-    return df.mapInArrow(run, schema)
+def place(doc: Column, number: Column) -> Column:
+    return ((doc.cast("decimal(20,0)") + F.lit(OFFSET)) * F.lit(Decimal(LINES)) + number.cast("decimal(10,0)")).cast("decimal(38,0)")
 
 
-def line_hashes(docs: DataFrame) -> DataFrame:
-    """``h, doc`` of each line that is not blank."""
+def place_parts(at: Column) -> tuple[Column, Column]:
+    """Key and line number of a place."""
+    number = at % F.lit(Decimal(LINES))
+    return (((at - number) / F.lit(Decimal(LINES))).cast("decimal(38,0)") - F.lit(OFFSET)).cast("bigint"), number.cast("int")
 
-    def make(batch: pa.RecordBatch, data: np.ndarray, bounds: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
-        h = Hashes(data, bounds)
-        kept = np.flatnonzero(~h.blank)
-        return arrays(["h", "doc"], h.whole()[kept], batch.column(0).take(pa.array(owner[kept])))
 
-    return over_lines(docs, "h bigint, doc bigint", make)
+def lines_of(docs: DataFrame) -> DataFrame:
+    """``at, line`` of each line that is not blank."""
+    rows = docs.select("doc", F.posexplode(split_lines(F.col("text"))).alias("i", "line"))
+    return rows.where(~blank(F.col("line"))).select("doc", "i", "line")
 
 
-def gate_rows(docs: DataFrame) -> DataFrame:
-    """``gate, h, n, segment`` of the lines that edits count for."""
+def earliest(docs: DataFrame) -> DataFrame:
+    """``at`` of each distinct line; lines are told apart by 128 bits of SHA-256."""
+    rows = lines_of(docs).select(F.unhex(F.substring(F.sha2("line", 256), 1, 32)).alias("key"), place(F.col("doc"), F.col("i")).alias("at"))
+    return rows.groupBy("key").agg(F.min("at").alias("at")).select("at")
 
-    def make(batch: pa.RecordBatch, data: np.ndarray, bounds: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
-        h = Hashes(data, bounds)
-        whole = h.whole()
-        _, one = np.unique(whole, return_index=True)  # lines that repeat here say the same
-        line = one[(h.length[one] >= MIN_FUZZY) & ~h.blank[one]]
-        line, n, segment, key = gates(h, line)
-        return arrays(["gate", "h", "n", "segment"], key, whole[line], n.astype(np.int32), segment.astype(np.int32))
 
-    return over_lines(docs, "gate bigint, h bigint, n int, segment int", make)
+def gate_rows(docs: DataFrame, shortest: int) -> DataFrame:
+    """``h, gate, spot``: what is left of each line when a segment is deleted; ``spot`` tells the longer line's length and the segment."""
+    lines = lines_of(docs).select("line", F.length("line").alias("n")).where(F.col("n") >= shortest)
+    gates = []
+    for longer in (F.col("n"), F.col("n") + 1):
+        for j in range(SEGMENTS):
+            lo, hi = F.floor(longer * j / SEGMENTS), F.floor(longer * (j + 1) / SEGMENTS)
+            head = F.substring("line", 1, lo.cast("int"))
+            tail = F.substring("line", (F.col("n") - (longer - hi) + 1).cast("int"), F.col("n"))
+            spot = longer.cast("bigint") * SEGMENTS + j
+            gates.append(F.struct(F.xxhash64(head, tail, spot).alias("gate"), spot.alias("spot")))
+    rows = lines.select(F.xxhash64("line", F.col("n")).alias("h"), F.explode(F.array(*gates)).alias("g"))
+    return rows.select("h", "g.gate", "g.spot")
 
 
-def met_lines(docs: DataFrame, met: DataFrame, many: int) -> DataFrame:
-    """``h, line, doc``: text and earliest document of each line in ``met`` (column h)."""
+def broadcast_if_few(side: DataFrame) -> DataFrame:
+    """``side``, a written table of one or two numbers a row, with a hint where it is small."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
 
-    def make(batch: pa.RecordBatch, data: np.ndarray, bounds: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
-        whole = Hashes(data, bounds).whole()
-        _, one = np.unique(whole * MIX ^ owner.astype(np.uint64), return_index=True)
-        raw = data.tobytes()
-        texts = [raw[i:j].decode() for i, j in zip(bounds[one].tolist(), bounds[one + 1].tolist(), strict=True)]
-        return arrays(["h", "doc", "line"], whole[one], batch.column(0).take(pa.array(owner[one])), pa.array(texts, pa.string()))
 
-    lines = over_lines(docs, "h bigint, doc bigint, line string", make)
-    return lines.join(F.broadcast(met) if many <= BROADCAST_ROWS else met, "h")
+def met_lines(docs: DataFrame, shortest: int) -> DataFrame:
+    """``at, line, spots`` of the lines whose rest meets another line's, and where."""
+    rows = gate_rows(docs, shortest)
+    open_gates = rows.groupBy("gate").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("gate")
+    open_gates = materialise(open_gates, "gates")
+    met = rows.join(broadcast_if_few(open_gates), "gate").groupBy("h").agg(F.collect_set("spot").alias("spots"))  # at most two lengths of SEGMENTS
+    met = materialise(met, "met")
+    texts = lines_of(docs).select(F.xxhash64("line", F.length("line")).alias("h"), place(F.col("doc"), F.col("i")).alias("at"), "line")
+    found = texts.join(broadcast_if_few(met), "h")
+    # spots as one string, so that lines and spots are keys and the place the only buffer: copies fold before the exchange
+    found = found.groupBy("line", F.array_join(F.array_sort("spots"), ",").alias("spots")).agg(F.min("at").alias("at"))
+    return materialise(found.select("at", "line", F.split("spots", ",").cast("array<bigint>").alias("spots")), "lines")
 
 
 def variant_rows(lines: DataFrame) -> DataFrame:
-    """``key, kind, h, doc`` for each deletion variant of lines (columns h, doc, places, line)."""
-    small_batches(lines.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, bounds = utf8(batch.column(3))
-            for lo, hi in slices(bounds, 1 << 18):
-                h = Hashes(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
-                places = batch.column(2).slice(lo, hi - lo)
-                line = np.repeat(np.arange(hi - lo), np.diff(places.offsets.to_numpy()))
-                flat = places.flatten().to_numpy()
-                line, kind, key = variants(h, line, flat // SEGMENTS, flat % SEGMENTS)
-                at = pa.array(line + lo)
-                yield arrays(["key", "kind", "h", "doc"], key, kind.astype(np.int32), batch.column(0).take(at), batch.column(1).take(at))
-
-    return lines.select("h", "doc", "places", "line").mapInArrow(run, "key bigint, kind int, h bigint, doc bigint")
-
-
-def near_losers(docs: DataFrame) -> DataFrame:
-    """``h, doc`` of lines of which an earlier document has one at distance 1, as of their earliest document."""
-    rows = gate_rows(docs)
-    open_gates = rows.groupBy("gate").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("gate")
-    open_gates = materialise(open_gates, "gates")
-    side = F.broadcast(open_gates) if open_gates.count() <= BROADCAST_ROWS else open_gates
-    met = rows.join(side, "gate").select("h", (F.col("n") * SEGMENTS + F.col("segment")).cast("bigint").alias("place")).distinct()
-    met = materialise(met.groupBy("h").agg(F.collect_set("place").alias("places")), "met")  # at most two places a segment
-    lines = met_lines(docs, met, met.count()).groupBy("h").agg(F.min("doc").alias("doc"), F.first("places").alias("places"), F.first("line").alias("line"))
-    lines = materialise(lines, "lines")
+    """``k1, k2, role, at``: 128 bits of each deletion variant inside the segments where lines met.
+
+    Equally long lines meet with the place of the deleted character, others without: there the shorter line is its
+    own variant.
+    """
+    rows = lines.select("at", "line", F.length("line").alias("n"), F.explode("spots").alias("spot"))
+    rows = rows.withColumns({"longer": F.floor(F.col("spot") / SEGMENTS).cast("int"), "j": (F.col("spot") % SEGMENTS).cast("int")})
+    lo, hi = F.floor(F.col("longer") * F.col("j") / SEGMENTS).cast("int"), F.floor(F.col("longer") * (F.col("j") + 1) / SEGMENTS).cast("int")
+    keyed = lambda line, where, role: (F.xxhash64(line, where).alias("k1"), F.xxhash64(where, F.lit("variant"), line).alias("k2"), F.lit(role).alias("role"), "at")
+    own = rows.where("n = longer and n > 0").select("at", "line", F.explode(F.when(hi > lo, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<int>"))).alias("p"))
+    cut = F.concat(F.substring("line", 1, F.col("p")), F.substring("line", F.col("p") + 2, F.length("line")))
+    own = own.select("at", cut.alias("cut"), "p")
+    no = F.lit(-1)
+    same, longer = own.select(*keyed(F.col("cut"), F.col("p"), BOTH)), own.select(*keyed(F.col("cut"), no, LONGER))
+    shorter = rows.where("n < longer").select("at", "line").distinct().select(*keyed(F.col("line"), no, SHORTER))
+    return same.unionByName(longer).unionByName(shorter)
+
+
+def near_losers(docs: DataFrame, shortest: int) -> DataFrame:
+    """``at`` of the lines to which an earlier line is near."""
+    lines = met_lines(docs, shortest)
     found = variant_rows(lines)
-    # the earliest line of each kind that has a key; a substitution meets lines of one kind, an insertion a shorter and longer ones
-    earliest = lambda kind: F.min(F.when(F.col("kind") == kind, F.struct("doc", "h")))
-    best = found.groupBy("key").agg(*(earliest(k).alias(f"k{k}") for k in (SUBSTITUTED, SHORTER, LONGER)), F.min("h").alias("lo"), F.max("h").alias("hi"))
+    first = lambda role: F.min(F.when(F.col("role") != role, F.col("at")))
+    best = found.groupBy("k1", "k2").agg(first(LONGER).alias("shorter"), first(SHORTER).alias("longer"), F.min("at").alias("lo"), F.max("at").alias("hi"))
     best = materialise(best.where("lo <> hi").drop("lo", "hi"), "variants")
-    joined = found.join(F.broadcast(best) if best.count() <= BROADCAST_ROWS // 8 else best, "key")
-    other = F.when(F.col("kind") == SUBSTITUTED, F.col("k0")).when(F.col("kind") == SHORTER, F.col("k2")).otherwise(F.col("k1"))
-    pairs = joined.select("h", "doc", other.alias("o")).where("o.doc < doc").select("h", "doc", F.col("o.h").alias("of")).distinct()
-    text = lines.select("h", "line")
-    both = pairs.join(text, "h").join(text.select(F.col("h").alias("of"), F.col("line").alias("other")), "of")
-    return both.where(F.levenshtein("line", "other", 1) >= 0).select("h", "doc").distinct()
-
-
-def within_one(a: str, b: str) -> bool:
-    """Whether two different lines are one edit apart."""
-    if len(a) < len(b):
-        a, b = b, a
-    if len(a) - len(b) > 1:
-        return False
-    p = 0
-    while p < len(b) and a[p] == b[p]:
-        p += 1
-    return a[p + 1 :] == (b[p + 1 :] if len(a) == len(b) else b[p:])
-
-
-def kept_lines(lines: list[str], hashes: list[int], gone: set[int], blank: list[bool]) -> list[str]:
-    """The lines of one document that stay: not in ``gone``, and no earlier line of it equals or nearly equals them."""
-    out, seen = [], set()
-    halves: dict[tuple, list[str]] = {}
-    for line, h, empty in zip(lines, hashes, blank, strict=True):
-        if empty:
-            out.append(line)
-            continue
-        drop = h in gone or line in seen
-        n = len(line)
-        if n >= MIN_FUZZY and line not in seen:
-            keys = [(m, side, line[: m // 2] if side else line[n - (m - m // 2) :]) for m in (n, n + 1) for side in (0, 1)]
-            drop = drop or any(within_one(line, other) for k in keys for other in halves.get(k, ()))
-            for k in keys:
-                halves.setdefault(k, []).append(line)
-        seen.add(line)
-        if not drop:
-            out.append(line)
-    return out
-
-
-def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    other = F.when(F.col("role") == LONGER, F.col("shorter")).otherwise(F.col("longer"))
+    pairs = found.join(broadcast_if_few(best), ["k1", "k2"]).select("at", other.alias("of")).where("of < at").distinct()
+    both = pairs.join(lines.select("at", "line"), "at").join(lines.select(F.col("at").alias("of"), F.col("line").alias("other")), "of")
+    return both.where(F.levenshtein("line", "other", 1) >= 0).select("at").distinct()
+
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own for each row instead of a key that is missing or repeats."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("doc").asc_nulls_last(), F.xxhash64("text"), F.length("text")]
+    numbered = docs.withColumnRenamed("doc", "own").withColumn("doc", F.col("own")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return materialise(numbered.withColumn("doc", F.monotonically_increasing_id()), "numbered")
+
+
+def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), shortest: int = 0) -> DataFrame:
     """``key, n_lines, n_kept, text`` and the columns ``carry`` for each row, the text without the lines that earlier ones repeat.
 
     A line that is not blank goes if an earlier line equals it or, where both have at least
-    ``MIN_FUZZY`` characters, is one edit away (a character put in, left out or replaced); the
+    ``shortest`` characters, is one edit away (a character put in, left out or replaced); the
     earlier line counts whether or not it stays itself.  Earlier lines are those of documents with
-    a smaller key and those before it in its own document.  Rows that repeat a key do not
-    remove each other's lines; rows without a key neither remove others' lines nor lose any to
-    them.  Lines end at line feeds; blank lines stay; a null or empty text has no lines and
+    a smaller key and those before it in its own document.  Rows that repeat a key follow each other in
+    the order of a hash of their texts, rows without a key come after all others.  Lines end at line feeds; blank
+    lines stay; a null or empty text has no lines and
     gives an empty one.  Columns that are not carried are ignored.
     """
-    docs = df.select(df[key].cast("bigint").alias("doc"), df[text].alias("text"))
-    rows = line_hashes(docs.where("doc is not null"))
-    first = rows.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h", "first")
-    equal = rows.join(first, "h").where("doc > first").select("h", "doc")
-    gone = equal.unionByName(near_losers(docs.where("doc is not null")))
-    gone = gone.groupBy("doc").agg(F.collect_set("h").alias("gone"))  # at most a document's own lines
-    whole = df.select(df[key].cast("bigint").alias("doc"), *(df[c].alias(f"c{i}") for i, c in enumerate(carry)), df[text].alias("text"))
-    joined = whole.join(gone, "doc", "left").select("doc", "gone", "text", *(f"c{i}" for i in range(len(carry))))
-    small_batches(df.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, offsets = utf8(batch.column(2))
-            for lo, hi in slices(offsets):
-                part = batch.slice(lo, hi - lo)
-                texts, gone_of = part.column(2).to_pylist(), part.column(1).to_pylist()
-                data, bounds, owner, _ = line_table(texts)
-                h = Hashes(data, bounds)
-                whole, blank = h.whole().view(np.int64), h.blank
-                at = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
-                counts, kept, out = [], [], []
-                for t, x in enumerate(texts):
-                    i, j = at[t], at[t + 1]
-                    lines = x.split("\n") if x else []
-                    stay = kept_lines(lines, whole[i:j].tolist(), set(gone_of[t] or ()), blank[i:j].tolist())
-                    counts.append(j - i)
-                    kept.append(len(stay))
-                    out.append("\n".join(stay))
-                made = [part.column(0), pa.array(counts, pa.int64()), pa.array(kept, pa.int64()), pa.array(out, pa.string())]
-                yield pa.RecordBatch.from_arrays([*made, *part.columns[3:]], names=["doc", "n_lines", "n_kept", "text", *part.schema.names[3:]])
-
-    kinds = "".join(f", c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    out = joined.mapInArrow(run, f"doc bigint, n_lines bigint, n_kept bigint, text string{kinds}")
-    return out.toDF(key, "n_lines", "n_kept", text, *carry)
+    names = [f"c{i}" for i in range(len(carry))]
+    docs = df.select(df[key].cast("bigint").alias("doc"), *(df[c].alias(n) for c, n in zip(carry, names, strict=True)), df[text].alias("text"))
+    odd = docs.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1 or doc is null")
+    docs = docs.withColumn("own", F.col("doc")) if odd.isEmpty() else in_order(docs)
+    near = materialise(near_losers(docs, shortest), "near")
+    kept = earliest(docs).join(broadcast_if_few(near), "at", "left_anti")
+    doc, number = place_parts(F.col("at"))
+    kept = kept.select(doc.alias("of"), number.alias("i")).groupBy("of").agg(F.collect_list("i").alias("kept"))  # at most a document's own lines
+    whole = docs.join(kept, docs["doc"] == kept["of"], "left").withColumn("lines", split_lines(F.col("text")))
+    blanks = F.filter(F.transform("lines", lambda x, i: F.when(blank(x), i)), lambda i: i.isNotNull())
+    whole = whole.withColumn("stay", F.array_sort(F.concat(F.coalesce("kept", F.array().cast("array<int>")), blanks)))
+    stays = F.when(F.size("stay") == F.size("lines"), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform("stay", lambda i: F.get("lines", i)), "\n"))
+    return whole.select(
+        F.col("own").alias(key), F.size("lines").cast("bigint").alias("n_lines"), F.size("stay").cast("bigint").alias("n_kept"), stays.alias(text),
+        *(F.col(n).alias(c) for c, n in zip(carry, names, strict=True)),
+    )

@@ -25,8 +25,8 @@ WITH s AS (SELECT doc_id, text, CASE WHEN coalesce(text, '') = '' THEN [] ELSE s
 l AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS line FROM s),
 u AS (SELECT line, min(struct_pack(d := doc_id, i := i)) AS p, length(line) AS n FROM l WHERE trim(line, E' 	
 ') <> '' GROUP BY line),
-g AS (SELECT line, p, n, n + e AS m, left(line, (n + e) // 2) AS half, 0 AS side FROM u, (VALUES (0), (1)) v(e) WHERE n >= 20
-  UNION ALL SELECT line, p, n, n + e, right(line, n + e - (n + e) // 2), 1 FROM u, (VALUES (0), (1)) v(e) WHERE n >= 20),
+g AS (SELECT line, p, n, n + e AS m, left(line, (n + e) // 2) AS half, 0 AS side FROM u, (VALUES (0), (1)) v(e)
+  UNION ALL SELECT line, p, n, n + e, right(line, n + e - (n + e) // 2), 1 FROM u, (VALUES (0), (1)) v(e)),
 c AS (SELECT DISTINCT a.line AS a, b.line AS b, a.n AS an, b.n AS bn, b.p FROM g a JOIN g b ON a.m = b.m AND a.side = b.side AND a.half = b.half AND a.line <> b.line AND abs(a.n - b.n) <= 1),
 k AS (SELECT a AS line, min(p) AS p FROM c WHERE len(list_filter(range(0, greatest(an, bn)), lambda q: left(a, q) = left(b, q)
   AND substr(a, q + 1 + CASE WHEN an >= bn THEN 1 ELSE 0 END) = substr(b, q + 1 + CASE WHEN bn >= an THEN 1 ELSE 0 END))) > 0 GROUP BY a),
@@ -59,18 +59,22 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
-TEMPLATE_ROWS = ", ".join(f"('{label}', list_distinct(string_split('{text}', ' ')))" for label, text in license_scan.TEMPLATES)
+TEMPLATE_ROWS = ", ".join(
+    f"('{label}', {license_scan.width_of(len(words))}, list_distinct(string_split('{' '.join(words)}', ' ')))"
+    for label, words in ((label, license_scan.words_of(text)) for label, text in license_scan.TEMPLATES)
+)
 PHRASE_ROWS = ", ".join(f"('{label}', ' {text} ')" for label, text in license_scan.PHRASES)
 OP6_SQL = rf"""
-WITH t(label, words) AS (VALUES {TEMPLATE_ROWS}), p(label, phrase) AS (VALUES {PHRASE_ROWS}),
+WITH t(label, width, words) AS (VALUES {TEMPLATE_ROWS}), p(label, phrase) AS (VALUES {PHRASE_ROWS}),
 d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
   '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
 s AS (SELECT doc_id, len(w) AS n_words, label, unnest(list_filter(range(0, len(w)),
   lambda i: array_to_string(w[i + 1:i + len(string_split(trim(phrase), ' '))], ' ') = trim(phrase))) AS i
   FROM d, p WHERE contains(' ' || array_to_string(w, ' ') || ' ', phrase)),
-b AS (SELECT doc_id, unnest(list_transform(range(0, (len(w) + 19) // 20), lambda i: list_distinct(w[20 * i + 1:20 * i + 40]))) AS w FROM d),
+b AS (SELECT doc_id, width, unnest(list_transform(range(0, (len(w) + h - 1) // h), lambda i: list_distinct(w[h * i + 1:h * i + width]))) AS w
+  FROM d, (SELECT DISTINCT width, width // 2 AS h FROM t)),
 m AS (SELECT doc_id, label, max(len(list_intersect(b.w, t.words)) / len(t.words)) AS c FROM b, t
-  WHERE len(list_intersect(b.w, t.words)) * 1000000 >= len(t.words) * 800000 GROUP BY ALL),
+  WHERE b.width = t.width AND len(list_intersect(b.w, t.words)) * 1000000 >= len(t.words) * 800000 GROUP BY ALL),
 x AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM s GROUP BY doc_id),
 y AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM s UNION SELECT doc_id, label FROM m) GROUP BY doc_id),
 z AS (SELECT doc_id, max(c) AS c FROM m GROUP BY doc_id)
