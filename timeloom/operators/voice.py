@@ -45,9 +45,8 @@ class Walker:
             if self.start < 0:
                 self.start = frame
         if self.start >= 0 and frame - self.start >= r.most:
+            # the frame of a forced cut opens nothing: speech goes on with the next one
             out = self._end(self.quiet if self.quiet >= 0 else frame)
-            if p >= r.on:
-                self.start = frame
         elif self.start >= 0 and p < r.on - r.drop:
             if self.quiet < 0:
                 self.quiet = frame

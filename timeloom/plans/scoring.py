@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.operators import intervals
+from timeloom.operators import assets, intervals
 from timeloom.operators.assignment import assign
 
 SECOND = 1_000_000
@@ -120,29 +120,97 @@ def jaccard_errors(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
     return rows.groupBy("clip").agg(F.round(100 * F.avg(1 - F.coalesce(share, F.lit(0.0))), 6).alias("jer"))
 
 
-def report(scores: DataFrame) -> DataFrame:
+def full_scores(reference: DataFrame, hypothesis: DataFrame, collar: int = 0, uem: DataFrame | None = None) -> DataFrame:
+    """:func:`error_rates` with ``jer`` and ``overlap_der``: how much of the error goes where reference speakers do not overlap."""
+    whole = error_rates(reference, hypothesis, collar, False, uem)
+    alone = error_rates(reference, hypothesis, collar, True, uem).select("clip", F.col("der").alias("noov"))
+    scores = whole.join(alone, "clip").join(jaccard_errors(reference, hypothesis), "clip")
+    return scores.withColumn("overlap_der", F.round(F.col("der") - F.col("noov"), 6)).drop("noov")
+
+
+SCORES = ("der", "miss", "fa", "conf")
+#: What the columns of a report mean.
+DEFINITIONS = (
+    "DER: missed, falsely spoken and misattributed time, in percent of reference speech.",
+    "JER: one minus the Jaccard index of each reference speaker and the one assigned to it, averaged over speakers.",
+    "Miss: reference speech that no hypothesis covers.",
+    "FA: hypothesis speech outside the reference.",
+    "Confusion: time given to another speaker under the best one-to-one assignment.",
+    "Overlap DER: DER less the DER of the time with at most one reference speaker.",
+    "Macro: mean over clips. Micro: mean weighted by reference speech.",
+)
+
+
+def report(scores: DataFrame, columns: tuple[str, ...] = SCORES) -> DataFrame:
     """One row: unweighted means, means weighted by reference time (unweighted if there is none), number of clips."""
     weight = F.col("total_us").cast("double")
     out = [F.count("*").alias("clips")]
-    for c in ("der", "miss", "fa", "conf"):
+    for c in columns:
         macro = F.coalesce(F.avg(c), F.lit(0.0))
         micro = F.when(F.sum(weight) > 0, F.sum(F.col(c) * weight) / F.sum(weight)).otherwise(macro)
         out += [F.round(macro, 4).alias(f"macro_{c}"), F.round(micro, 4).alias(f"micro_{c}")]
     return scores.agg(*out)
 
 
-def markdown(scores: DataFrame) -> DataFrame:
-    """``line_no, line`` of a table with a row a clip and rows of means; numbers have two decimals."""
+def markdown(scores: DataFrame, skipped: DataFrame | None = None, definitions: bool = False) -> DataFrame:
+    """``part, name, line`` of a table with a row a clip and rows of means; numbers have two decimals.
+
+    With ``jer`` and ``overlap_der`` among the scores they are shown too; clips of ``skipped`` (column clip) are listed, and the columns
+    explained if wanted.  Lines stand in the order of part and name.
+    """
+    shown = [(c, t) for c, t in (("der", "DER"), ("jer", "JER"), ("miss", "miss"), ("fa", "FA"), ("conf", "confusion"), ("overlap_der", "overlap DER")) if c in scores.columns]
+    names = tuple(c for c, _ in shown)
     two = lambda c: F.format_string("%.2f", F.round(c, 2))
     cells = lambda name, *c: F.concat(F.lit("| "), name, *(x for v in c for x in (F.lit(" | "), two(v))), F.lit(" |"))
-    rows = scores.select(F.lit(1).alias("part"), F.col("clip").alias("name"), cells(F.col("clip"), F.col("der"), F.col("miss"), F.col("fa"), F.col("conf")).alias("line"))
-    means = report(scores)
+    rows = scores.select(F.lit(1).alias("part"), F.col("clip").alias("name"), cells(F.col("clip"), *(F.col(c) for c in names)).alias("line"))
+    means = report(scores, names)
     for i, kind in enumerate(("macro", "micro")):
-        rows = rows.unionByName(means.select(F.lit(2 + i).alias("part"), F.lit(kind).alias("name"), cells(F.lit(f"**{kind}**"), *(F.col(f"{kind}_{c}") for c in ("der", "miss", "fa", "conf"))).alias("line")))
-    head = scores.sparkSession.createDataFrame([(0, "", "| clip | DER | miss | FA | confusion |")], "part int, name string, line string")
+        rows = rows.unionByName(means.select(F.lit(2 + i).alias("part"), F.lit(kind).alias("name"), cells(F.lit(f"**{kind}**"), *(F.col(f"{kind}_{c}") for c in names)).alias("line")))
+    fixed = [(0, "", "| clip | " + " | ".join(t for _, t in shown) + " |")]
+    if definitions:
+        fixed += [(5, f"{i:02d}", f"- {line}") for i, line in enumerate(DEFINITIONS)]
+    head = scores.sparkSession.createDataFrame(fixed, "part int, name string, line string")
+    if skipped is not None:
+        head = head.unionByName(skipped.select(F.lit(4).alias("part"), F.col("clip").alias("name"), F.concat(F.lit("- skipped: "), "clip").alias("line")))
     return head.unionByName(rows)
 
 
+def report_json(scores: DataFrame, skipped: DataFrame, collar_us: int) -> DataFrame:
+    """One row ``value``: the report as JSON.  It holds a line a clip, so it is for evaluations, not for corpora."""
+    names = tuple(c for c in ("der", "jer", "miss", "fa", "conf", "overlap_der") if c in scores.columns)
+    each = scores.agg(F.sort_array(F.collect_list(F.struct("clip", *names, "total_us"))).alias("per_clip"))
+    gone = skipped.agg(F.sort_array(F.collect_list("clip")).alias("skipped"))
+    means = report(scores, names)
+    kind = lambda k: F.struct(*(F.col(f"{k}_{c}").alias(c) for c in names)).alias(k)
+    whole = means.crossJoin(each).crossJoin(gone)  # one row each
+    return whole.select(F.to_json(F.struct((F.lit(collar_us) / 1_000_000).alias("collar"), F.col("clips").alias("n_clips"), "per_clip", kind("macro"), kind("micro"), "skipped")).alias("value"))
+
+
+def median_interval(pairs: DataFrame, difference: str, resamples: int = 10_000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """``n, point, low, high``: the median of the differences and its bootstrap interval; bounds are null under five pairs.
+
+    The median of a resample with replacement is one or two of the sorted values, at places that are order statistics of uniform
+    draws.  Those places are drawn directly (a Beta variable, and the least of the draws above it), so a resample costs two numbers
+    instead of a pass over the pairs, and its distribution is the same.  Null differences are left out.
+    """
+    rows = assets.numbered(pairs.where(F.col(difference).isNotNull()).select(F.col(difference).cast("double").alias("d")), ["d"], "rank")
+    n = rows.count()
+    point = rows.agg(F.lit(n).cast("bigint").alias("n"), F.median("d").alias("point"))
+    if n < 5:
+        return point.select("n", "point", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+    rng = np.random.default_rng(seed)
+    m = (n + 1) // 2
+    lower = rng.beta(m, n - m + 1, resamples)
+    upper = lower if n % 2 else 1 - (1 - lower) * rng.random(resamples) ** (1 / (n - m))
+    place = lambda u: np.minimum(n, (u * n).astype(np.int64) + 1).tolist()
+    drawn = rows.sparkSession.createDataFrame(list(enumerate(zip(place(lower), place(upper), strict=True))), "b int, p struct<lower:bigint,upper:bigint>")
+    at = drawn.select("b", F.explode(F.array("p.lower", "p.upper")).alias("rank"))
+    medians = rows.join(F.broadcast(at), "rank").groupBy("b").agg(F.avg("d").alias("m"))  # two rows a resample
+    order = medians.agg(F.sort_array(F.collect_list("m")).alias("m"))
+    bound = lambda share: F.element_at("m", int(share * resamples) + 1)
+    return point.crossJoin(order.select(bound(alpha / 2).alias("low"), bound(1 - alpha / 2).alias("high")))  # one row each
+
+
 def words(text: Column) -> Column:
     """Words of a transcript: upper case, parted by white space."""
     clean = F.trim(F.regexp_replace(F.upper(F.coalesce(text, F.lit(""))), r"\s+", " "))

@@ -160,11 +160,44 @@ def regression_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 95 % interval of the median difference by paired resampling (200 resamples); draws are hashes of (resample, draw)."""
+    """The median difference and its 95 % interval from 10,000 paired resamples."""
     pairs = samples(spark, sf_dir).where("NOT error AND NOT failed").select((F.col("pipe_wer") - F.col("clip_wer")).alias("d"))
-    held = pairs.agg(F.sort_array(F.collect_list("d")).alias("d"))
-    draws = held.select("d", F.explode(F.sequence(F.lit(1), F.lit(200))).alias("b"))
-    drawn = F.transform(F.sequence(F.lit(1), F.size("d")), lambda i: F.element_at("d", (F.pmod(F.xxhash64(F.col("b"), i, F.lit(42)), F.size("d")) + 1).cast("int")))
-    medians = draws.select("b", F.explode(drawn).alias("x")).groupBy("b").agg(F.median("x").alias("m"))
-    sorted_ = medians.agg(F.sort_array(F.collect_list("m")).alias("m"))
-    return sorted_.select(F.element_at("m", 5).alias("low"), F.element_at("m", 195).alias("high"))
+    return scoring.median_interval(pairs, "d")
+
+
+JER_PAIRS = """jp AS (SELECT x.clip, x.speaker, y.speaker AS other, sum(least(x.t1, y.t1) - greatest(x.t0, y.t0)) AS o FROM rm x JOIN hm y ON x.clip = y.clip AND x.t0 < y.t1 AND y.t0 < x.t1 GROUP BY 1, 2, 3),
+jr AS (SELECT clip, speaker, sum(t1 - t0) AS own FROM rm GROUP BY 1, 2), jh AS (SELECT clip, speaker, sum(t1 - t0) AS theirs FROM hm GROUP BY 1, 2),
+names AS (SELECT clip, list(speaker ORDER BY speaker) AS r FROM jr GROUP BY clip), others AS (SELECT clip, list(speaker ORDER BY speaker) AS h FROM jh GROUP BY clip),
+perm AS (SELECT clip, r, h, [] :: INTEGER[] AS p FROM names JOIN others USING (clip) UNION ALL SELECT clip, r, h, list_append(p, j) FROM perm, (SELECT unnest(range(0, 8)) AS j) WHERE len(p) < len(r) AND j <= len(h) AND (j = 0 OR NOT list_contains(p, j))),
+cand AS (SELECT clip, p, unnest(range(1, len(r) + 1)) AS i, r, h FROM perm WHERE len(p) = len(r)),
+val AS (SELECT cand.clip, p, sum(coalesce(o, 0)) AS total, sum(1 - coalesce(o / (own + theirs - o), 0)) / count(*) AS jer FROM cand JOIN jr ON jr.clip = cand.clip AND jr.speaker = r[i]
+  LEFT JOIN jp ON jp.clip = cand.clip AND jp.speaker = r[i] AND p[i] > 0 AND jp.other = h[p[i]] LEFT JOIN jh ON jh.clip = cand.clip AND p[i] > 0 AND jh.speaker = h[p[i]] GROUP BY cand.clip, p),
+jer AS (SELECT clip, round(100 * arg_max(jer, total), 6) AS jer FROM val GROUP BY clip)"""
+TWO = lambda c: f"printf('%.2f', round({c}, 2))"
+LINES = "'| ' || {0} || ' | ' || " + " || ' | ' || ".join("{" + str(i) + "}" for i in range(1, 5)) + " || ' |'"
+
+
+def table_line(name: str, columns: list[str]) -> str:
+    return LINES.format(name, *(TWO(c) for c in columns))
+
+
+MEANS = {"macro": [f"avg({c})" for c in scoring.SCORES], "micro": [f"sum({c} * total_us) / sum(total_us)" for c in scoring.SCORES]}
+MARKDOWN = "SELECT 0 AS part, '' AS name, '| clip | DER | miss | FA | confusion |' AS line UNION ALL SELECT 1, clip, " + table_line("clip", list(scoring.SCORES)) + " FROM der" + "".join(
+    f" UNION ALL SELECT {2 + i}, '{kind}', " + table_line(f"'**{kind}**'", [f"round({c}, 4)" for c in columns]) + " FROM der" for i, (kind, columns) in enumerate(MEANS.items())
+)
+SQL["jer_per_clip"] = f"WITH RECURSIVE {MERGED}, {JER_PAIRS} SELECT clip, jer FROM jer"
+SQL["der_markdown"] = f"WITH {MERGED}, {der_sql('rm', 'hm', MARKDOWN)}"
+
+
+@query()
+def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error rates, Jaccard errors and what overlapped speech adds, by clip."""
+    return scoring.full_scores(*PAIR(spark, sf_dir))
+
+
+@query()
+def full_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report as a table of text, with skipped clips and definitions."""
+    r, h = PAIR(spark, sf_dir)
+    absent = h.select("clip").distinct().join(r.where("event_id % 2 = 0").select("clip").distinct(), "clip", "left_anti")
+    return scoring.markdown(scoring.full_scores(r, h), absent, definitions=True)
