@@ -17,6 +17,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near duplicates share four fifths of their five-word shingles.
 NEAR_WORDS, NEAR = 5, ngram_join.Similarity(80, 100)
+#: Characters from which one edit makes no other line: shorter ones, such as numbers of a list, go only when equal.
+SHORTEST = 20
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that earlier ones repeat; those that lose all they said go."""
-    found = line_dedup.dedup(docs, carry=("lang", "source"))
+    found = line_dedup.dedup(docs, carry=("lang", "source"), shortest=SHORTEST)
     said = F.length(F.trim(F.translate("text", "\t\n\r\x0b\x0c", "     "))) > 0
     kept = found.where(said | (F.col("n_kept") == F.col("n_lines")))
     return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
