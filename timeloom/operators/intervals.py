@@ -51,9 +51,13 @@ def bucketed(df: DataFrame, width: int) -> DataFrame:
     return df.withColumn("__first", first).withColumn("__b", F.explode(F.sequence(first, last)))
 
 
+#: Columns that joins use inside.
+INSIDE = frozenset(f"__{x}" for x in ("b", "first", "other", "l", "g", "x", "low", "high", "last", "w", "less"))
+
+
 def reserve(a: DataFrame, taken: Sequence[str]) -> None:
     """Refuse columns that a result would hold twice, or that operators use inside."""
-    clash = sorted({c for c in a.columns if c in taken or c.startswith("__")})
+    clash = sorted({c for c in a.columns if c in taken or c in INSIDE})
     if clash:
         raise ValueError(f"columns whose names are taken: {', '.join(clash)}")
 
@@ -64,7 +68,7 @@ def join(a: DataFrame, b: DataFrame, keys: Sequence[str], width: int) -> DataFra
     Both sides are dealt to time buckets of ``width``, so the join is an equi-join on key and
     bucket that spreads a busy key over tasks; a pair counts in its first shared bucket only.
     Choose ``width`` near the intervals' usual length.  Intervals with a null bound or key overlap nothing; names of
-    ``a`` that the result would hold twice, or that begin with two underscores, are refused.
+    ``a`` that the result would hold twice, and those in ``INSIDE``, are refused.
     """
     other = [c for c in b.columns if c not in keys]
     reserve(a, [f"b_{c}" for c in other])
