@@ -473,15 +473,54 @@ def test_url_digest_collisions(tmp_path):
     path = tmp_path / "rules"
     constant = lambda _: 7
     path.write_bytes(url_filter.build([("block", "a/"), ("allow", "b/"), ("block", "c/")], constant))
-    known = url_filter.Rules(str(path), constant)
-    assert [known.text(i) if i >= 0 else None for i in known.match(["b", "d", "c"], ["/", "/", "/x"])] == [b"b/", None, b"c/"]
-
-
-def test_unicode_normal_forms_stay_apart():
+    known = url_filter.Rules(str(path))
+    hosts, paths = ["b", "d", "c"], ["/", "/", "/x"]
+    found = known.match(hosts, paths, np.full(3, 7, np.uint64), np.arange(3), np.zeros(3, int), np.ones(3, int))
+    assert [known.text(i) if i >= 0 else None for i in found] == [b"b/", None, b"c/"]
+
+
+def test_url_rules_by_the_hundred_thousand(spark):
+    rules = [(("block", "allow")[i % 2], f"h{i}.org/{'p' * (i % 4)}") for i in range(100_000)]
+    urls = [f"http://www.h{i}.org/{'p' * (i % 5)}?q" for i in range(0, 100_000, 997)]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    found = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(d, rules).collect()}
+    for k, i in enumerate(range(0, 100_000, 997)):
+        fits = i % 5 >= i % 4
+        assert found[k] == ((rules[i][1], rules[i][0]) if fits else (None, "allow"))
+
+
+def test_digests_are_spark_s(spark):
+    texts = ["", "a", "net/", "é.com/x", "y" * 100]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "xxhash64(t) AS h").collect()
+    assert all(url_filter.digest(r.t.encode()) == r.h % (1 << 64) for r in rows)
+
+
+def test_top_k_reads_no_more_than_it_needs():
+    """Where few candidates stand out, reading stops early; the scores are those of brute force."""
+    rng = np.random.default_rng(4)
+    rows = rng.integers(-9, 10, (4096, 12))
+    rows[100:110] = rng.integers(900, 1000, (10, 12))
+    block = topk.Block(np.arange(4096), rows)
+    query = rng.integers(1, 9, (1, 12))
+    _, found, scores = block.search(np.array([-1]), query, 5)
+    want = sorted(((-int(s), i) for i, s in enumerate(rows @ query[0])))[:5]
+    assert list(zip((-scores).tolist(), found.tolist(), strict=True)) == want
+    assert 0 < block.read <= rows.size // 16
+    for _ in range(30):
+        rows = rng.integers(-3, 4, (rng.integers(1, 60), 4))
+        block = topk.Block(np.arange(len(rows)), rows)
+        own, query = int(rng.integers(0, 70)), rng.integers(-3, 4, (1, 4))
+        _, found, scores = block.search(np.array([own]), query, 5)
+        want = sorted(((-int(s), i) for i, s in enumerate(rows @ query[0]) if i != own))[:5]
+        assert list(zip((-scores).tolist(), found.tolist(), strict=True)) == want
+
+
+def test_unicode_normal_forms_stay_apart(spark):
     """Texts are compared as they are, in code points."""
     a, b = "é", unicodedata.normalize("NFD", "é")
-    assert not line_dedup.within_one(a + "x" * 30, b + "y" + "x" * 29)
-    assert line_dedup.within_one("abc", "abd") and line_dedup.within_one("abc", "ac") and not line_dedup.within_one("abc", "acb")
+    texts = [a + "x" * 30, b + "y" + "x" * 29, "abc", "abd", "abcd", "acb", "axcb"]
+    found = {r.doc_id: r.n_kept for r in line_dedup.dedup(docs_of(spark, texts)).collect()}
+    assert found == {0: 1, 1: 1, 2: 1, 3: 0, 4: 0, 5: 1, 6: 0}
 
 
 def test_full_license_texts_are_found(spark):

@@ -2,14 +2,13 @@
 
 The candidates fall into blocks.  Within a block every dimension has its list
 of candidates sorted by component; a query reads each list from the end that
-suits the sign of its own component.  After each stretch of reading, every
-candidate has a lower and an upper bound of its score: what was read of it,
-plus the list's worst or the last read entry where it was not.  Candidates
-whose upper bound is under the k-th best lower bound are out; when few are
-left, their scores are resolved and reading stops.
-
-Bounds for many queries at once are four matrix products a stretch, because
-the unread part of a list is the same number for all candidates.
+suits the sign of its own component, one stretch of entries after the other.
+What was read of a candidate, and the worst that its unread lists can hold, is
+its lower bound, kept up to date by the entries read; with the last entries
+read instead of the worst ones it is its upper bound.  Candidates whose upper
+bound is under the k-th best lower bound are out for good.  When those of which
+nothing was read cannot qualify either and few are left, reading stops and the scores of
+those few are resolved.
 """
 
 from __future__ import annotations
@@ -19,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Candidates in a block, queries in a block, and queries for which bounds are held at a time.
-CANDIDATES, QUERIES, CHUNK = 8192, 2048, 128
-#: Shares of the lists that are read before bounds are compared.
-DEPTHS = (1 / 64, 1 / 8, 1 / 2)
-#: Double-precision products are exact as long as no sum can pass this.
-EXACT = 2.0**53
+#: Candidates in a block, and queries in a block.
+CANDIDATES, QUERIES = 8192, 2048
+#: The first stretch is this share of a list; each later one is as long as all before it.
+STRETCH = 64
+#: Whole numbers under this need no wider arithmetic than 64 bits.
+WIDE = 1 << 62
 
 
 def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -43,64 +42,70 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def resolve(rows: np.ndarray, query: np.ndarray, exact: bool) -> np.ndarray:
-    if exact:
-        return (rows.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
-    sums = rows.astype(object) @ query.astype(object)  # Python integers
-    return np.array([max(-(2**63), min(2**63 - 1, s)) for s in sums], np.int64)
-
-
 class Block:
     """Sorted lists of a block of candidates."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
         self.ids, self.rows = ids, rows
-        self.wide = rows.astype(np.float64)
-        self.lists = np.sort(self.wide, axis=0)  # ascending; read from either end
+        self.order = np.argsort(rows, axis=0, kind="stable")  # ascending; read from either end
+        self.lists = np.take_along_axis(rows, self.order, axis=0)
+        self.peak = int(np.abs(rows.astype(np.float64)).max(initial=0)) + 1
+        #: List entries that queries have read.
+        self.read = 0
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query id, candidate id, score) of each query's k best other candidates."""
-        n, d = self.rows.shape
-        peak = np.abs(self.wide).max(initial=0) * np.abs(queries.astype(np.float64)).max(initial=0) * max(d, 1)
         out = []
-        for lo in range(0, len(queries), CHUNK):
-            ids, part = query_ids[lo : lo + CHUNK], queries[lo : lo + CHUNK]
-            alive = self._alive(ids, part, k) if peak < EXACT else np.ones((len(part), n), bool)
-            for q in range(len(part)):
-                rows = np.flatnonzero(alive[q])
-                rows = rows[self.ids[rows] != ids[q]]
-                scores = resolve(self.rows[rows], part[q], peak < EXACT)
-                top = best(self.ids[rows], scores, k)
-                out.append((np.full(len(top), ids[q]), self.ids[rows][top], scores[top]))
+        for own, query in zip(query_ids, queries, strict=True):
+            peak = self.peak * (int(np.abs(query.astype(np.float64)).max(initial=0)) + 1) * max(len(query), 1)
+            weights = query if peak < WIDE else query.astype(object)
+            left = self._aggregate(weights, self.ids != own, k)
+            scores = self.rows[left].astype(weights.dtype) @ weights
+            if weights.dtype == object:
+                scores = np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in scores], np.int64)
+            top = best(self.ids[left], scores, k)
+            out.append((np.full(len(top), own), self.ids[left][top], scores[top]))
         if not out:
             return (np.zeros(0, np.int64),) * 3
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def _alive(self, ids: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
-        """Which candidates can still be among each query's k best."""
+    def stretch(self, lo: int, hi: int, up: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates and values at places ``lo`` to ``hi`` of all lists: those of ``up`` from the top, those of ``down`` from the bottom."""
+        n = len(self.ids)
+        parts = [(x[n - hi : n - lo][::-1][:, up], x[lo:hi][:, down]) for x in (self.order, self.lists)]
+        return tuple(np.concatenate(p, axis=1) for p in parts)
+
+    def _aggregate(self, weights: np.ndarray, allowed: np.ndarray, k: int) -> np.ndarray:
+        """The candidates that are left when reading stops."""
         n = len(self.ids)
-        alive = np.ones((len(queries), n), bool)
-        high, low = np.maximum(queries, 0).astype(np.float64).T, np.minimum(queries, 0).astype(np.float64).T
-        own = self.ids[None, :] == ids[:, None]
-        open_ = np.arange(len(queries))
-        for share in DEPTHS:
-            depth = max(1, int(n * share))
-            if depth >= n or not len(open_) or n <= 4 * k:
+        up, down = np.flatnonzero(weights > 0), np.flatnonzero(weights < 0)
+        dims = np.concatenate([up, down])
+        w = weights[dims]
+        worst = w * np.concatenate([self.lists[0][up], self.lists[-1][down]]) if n else w
+        seen = np.zeros((n, len(dims)), bool)
+        known = np.zeros(n, weights.dtype)  # what was read of a candidate
+        floor = np.full(n, worst.sum() if len(dims) else 0, weights.dtype)  # the worst of what was not
+        live = np.flatnonzero(allowed)
+        depth = 0
+        while depth < n and len(live) > k and len(dims):
+            lo, depth = depth, min(n, max(2 * depth, n // STRETCH, 1))
+            who, values = self.stretch(lo, depth, up, down)
+            self.read += who.size
+            seen[who, np.arange(len(dims))] = True
+            flat = who.ravel()
+            np.add.at(known, flat, (values * w).ravel())
+            np.add.at(floor, flat, np.broadcast_to(-worst, who.shape).ravel())
+            last = w * values[-1]
+            lower = known[live] + floor[live]
+            bar = np.sort(lower)[len(lower) - k] if weights.dtype == object else np.partition(lower, len(lower) - k)[len(lower) - k]
+            some = seen[live].any(1)
+            upper = np.full(len(live), last.sum(), weights.dtype)  # of those of which nothing was read
+            upper[some] = known[live[some]] + (~seen[live[some]]).astype(weights.dtype) @ last
+            unread = bool((~some).any()) and last.sum() >= bar
+            live = live[upper >= bar]
+            if not unread and len(live) <= 8 * k:
                 break
-            # the last entry read in each list, and the worst one that the list can hold
-            top, bottom = self.lists[n - depth], self.lists[depth - 1]
-            least, most = self.lists[0], self.lists[-1]
-            read_top, read_bottom = self.wide >= top, self.wide <= bottom
-            h, w = high[:, open_], low[:, open_]
-            lower = np.where(read_top, self.wide, least) @ h + np.where(read_bottom, self.wide, most) @ w
-            upper = np.where(read_top, self.wide, top) @ h + np.where(read_bottom, self.wide, bottom) @ w
-            lower = lower.T
-            lower[own[open_]] = -np.inf
-            at = min(k, n - 1)
-            bar = np.partition(lower, n - at, axis=1)[:, n - at]
-            alive[open_] &= upper.T >= bar[:, None]
-            open_ = open_[alive[open_].sum(1) > 8 * k]
-        return alive
+        return live
 
 
 def scaled(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
