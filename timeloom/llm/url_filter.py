@@ -4,6 +4,9 @@ Every rule is a host and a path prefix.  The 64-bit xxhash of its text lies in
 a sorted array in a file, which each worker maps into memory; a URL's host
 suffixes and path prefixes are looked up there by binary search over whole
 batches, and a hit counts only if the stored text is the same.
+
+Hosts, paths and the digests of what is looked up are DataFrame expressions: Spark's xxhash64 of a string is the
+xxhash of its bytes under seed 42, so both sides agree on digests.
 """
 
 from __future__ import annotations
@@ -11,87 +14,78 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import small_batches
 
 Rule = tuple[str, str]
-LOWER = {c: c + 32 for c in range(65, 91)}
 ACTIONS = ("block", "allow")
+#: The seed of Spark's hash functions (a fixed value).
+SEED = 42
 
 
 def digest(text: bytes) -> int:
-    return xxhash.xxh64_intdigest(text)
+    return xxhash.xxh64_intdigest(text, SEED)
+
+
+def path_length(text: str) -> int:
+    """Characters of a rule's path."""
+    return len(text) - text.index("/") if "/" in text else 0
 
 
-def build(rules: Sequence[Rule], hash_text=digest) -> bytes:
-    """The rule file: counts, sorted digests, text offsets, actions, path lengths, texts.
+def build(rules: Sequence[Rule], hash_text: Callable[[bytes], int] = digest) -> bytes:
+    """The rule file: count, sorted digests, text offsets, actions, texts.
 
     A rule given twice keeps its last action.
     """
     last = {text: action for action, text in rules}
-    rows = sorted((hash_text(text.encode()), text.encode(), ACTIONS.index(action)) for text, action in last.items())
-    sizes = np.array([len(t) for _, t, _ in rows], np.int64)
-    lengths = sorted({len(t) - t.index(b"/") if b"/" in t else 0 for _, t, _ in rows})
-    parts = [
-        np.array([len(rows), len(lengths)], np.int64),
-        np.array([h for h, _, _ in rows], np.uint64),
-        np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64),
-        np.array([a for _, _, a in rows], np.int64),
-        np.array(lengths, np.int64),
-    ]
-    return b"".join(p.tobytes() for p in parts) + b"".join(t for _, t, _ in rows)
+    texts = [t.encode() for t in last]
+    keys = np.fromiter(map(hash_text, texts), np.uint64, len(texts))
+    order = np.argsort(keys, kind="stable")
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))[order]
+    actions = np.fromiter(map(ACTIONS.index, last.values()), np.int64, len(texts))[order]
+    parts = [np.array([len(texts)], np.int64), keys[order], np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), actions]
+    return b"".join(p.tobytes() for p in parts) + b"".join(texts[i] for i in order.tolist())
 
 
 class Rules:
     """A rule file, mapped into memory."""
 
-    def __init__(self, path: str, hash_text=digest) -> None:
+    def __init__(self, path: str) -> None:
         raw = np.memmap(path, np.uint8, "r")
-        n, m = raw[:16].view(np.int64).tolist()
-        ends = np.cumsum([16, 8 * n, 8 * (n + 1), 8 * n, 8 * m]).tolist()
+        n = int(raw[:8].view(np.int64)[0])
+        ends = np.cumsum([8, 8 * n, 8 * (n + 1), 8 * n]).tolist()
         self.keys = raw[ends[0] : ends[1]].view(np.uint64)
         self.offsets = raw[ends[1] : ends[2]].view(np.int64)
         self.actions = raw[ends[2] : ends[3]].view(np.int64)
-        self.path_lengths = raw[ends[3] : ends[4]].view(np.int64).tolist()
-        self.texts = raw[ends[4] :]
-        self.hash_text = hash_text
+        self.texts = raw[ends[3] :]
 
     def text(self, i: int) -> bytes:
         return self.texts[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
-    def match(self, hosts: list[str], paths: list[str]) -> list[int]:
-        """For each URL the longest rule that fits it (of equal lengths that of the longer host), or -1."""
-        owners, texts, order = [], [], []
-        for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-            p = path.encode()
-            h = host.encode()
-            at = 0
-            while True:
-                for n in self.path_lengths:
-                    if n <= len(p):
-                        texts.append(h[at:] + p[:n])
-                        owners.append(i)
-                        order.append((len(h) - at + n, len(h) - at))
-                at = h.find(b".", at) + 1
-                if not at:
-                    break
-        out, best = [-1] * len(hosts), [(-1, -1)] * len(hosts)
-        keys = np.array([self.hash_text(t) for t in texts], np.uint64)
-        left = np.searchsorted(self.keys, keys, "left")
-        right = np.searchsorted(self.keys, keys, "right")
-        for c in np.flatnonzero(right > left).tolist():
-            i = owners[c]
-            for r in range(left[c], right[c]):
-                if order[c] > best[i] and self.text(r) == texts[c]:
-                    out[i], best[i] = r, order[c]
+    def match(self, hosts: Sequence[str], paths: Sequence[str], probes: np.ndarray, owners: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """For each URL the longest rule that fits it (of equal lengths that of the longer host), or -1.
+
+        Probe ``i`` is the digest of host ``owners[i]`` from character ``starts[i]`` on and ``lengths[i]`` characters of its path.
+        """
+        left = np.searchsorted(self.keys, probes, "left")
+        right = np.searchsorted(self.keys, probes, "right")
+        out, top = np.full(len(hosts), -1, np.int64), [(-1, -1)] * len(hosts)
+        for c in np.flatnonzero(right > left).tolist():  # a hit, or a collision
+            i, at, n = int(owners[c]), int(starts[c]), int(lengths[c])
+            size = len(hosts[i]) - at
+            text = (hosts[i][at:] + paths[i][:n]).encode()
+            for r in range(int(left[c]), int(right[c])):
+                if (size + n, size) > top[i] and self.text(r) == text:
+                    out[i], top[i] = r, (size + n, size)
         return out
 
 
@@ -117,15 +111,22 @@ def publish(spark: SparkSession, content: bytes) -> str:
     return name
 
 
-def split(url: str | None) -> tuple[str, str]:
+def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z in lower case) and path of a URL; both empty without ``://``."""
-    _, mark, rest = (url or "").partition("://")
-    if not mark:
-        return "", ""
-    end = min((i for i in (rest.find(c) for c in "/?#") if i >= 0), default=len(rest))
-    host, tail = rest[:end].translate(LOWER), rest[end:]
-    end = min((i for i in (tail.find(c) for c in "?#") if i >= 0), default=len(tail))
-    return host, tail[:end]
+    at = F.instr(url, "://")
+    rest = F.when(F.coalesce(at, F.lit(0)) > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
+    host = F.regexp_extract(rest, r"^[^/?#]*", 0)
+    path = F.regexp_extract(F.substring(rest, F.length(host) + 1, F.length(rest)), r"^[^?#]*", 0)
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
+
+
+def probes_of(lengths: Sequence[int]) -> Column:
+    """``h, s, n``: digests of each suffix of ``host`` (from character ``s`` on) with the first ``n`` characters of ``path``, for the ``lengths`` that rules have."""
+    parts = F.split("host", r"\.")
+    starts = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x) + 1))
+    known = F.filter(F.array(*(F.lit(n) for n in lengths)).cast("array<int>"), lambda n: n <= F.length("path"))
+    probe = lambda s, n: F.struct(F.xxhash64(F.concat(F.substring(F.col("host"), s + 1, F.length("host")), F.substring(F.col("path"), F.lit(1), n))).alias("h"), s.alias("s"), n.alias("n"))
+    return F.flatten(F.transform(starts, lambda s: F.transform(known, lambda n: probe(s, n))))
 
 
 def judge(df: DataFrame, rules: Sequence[Rule], key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
@@ -134,7 +135,8 @@ def judge(df: DataFrame, rules: Sequence[Rule], key: str = "page_id", url: str =
     ``rules`` are (action, text) pairs with action ``block`` or ``allow`` and text ``host/path``.
     A rule fits its host and all subdomains where the path starts with the rule's; the longest
     wins.  A null URL, or one without ``://``, has empty host and path and gets ``default``, as do
-    URLs that no rule fits.  Repeated keys stay separate rows, other columns are ignored.
+    URLs that no rule fits.  Of rules of one length the one of the longer host wins.  URLs of any length are read whole; repeated
+    keys stay separate rows, other columns are ignored, an empty table gives no rows.
     """
     spark = df.sparkSession
     name = publish(spark, build(rules))
@@ -143,13 +145,18 @@ def judge(df: DataFrame, rules: Sequence[Rule], key: str = "page_id", url: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = opened(name)
         for batch in batches:
-            parts = [split(u) for u in batch.column(1).to_pylist()]
-            hosts, paths = [h for h, _ in parts], [p for _, p in parts]
-            found = known.match(hosts, paths)
+            hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            lists = batch.column(3)
+            counts = np.diff(lists.offsets.to_numpy())
+            h, s, n = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+            found = known.match(hosts, paths, h.view(np.uint64), np.repeat(np.arange(len(hosts)), counts), s, n).tolist()
             texts = [known.text(i).decode() if i >= 0 else None for i in found]
             verdicts = [ACTIONS[known.actions[i]] if i >= 0 else default for i in found]
-            columns = [batch.column(0), *(pa.array(x, pa.string()) for x in (hosts, paths, texts, verdicts))]
+            columns = [*batch.columns[:3], *(pa.array(x, pa.string()) for x in (texts, verdicts))]
             yield pa.RecordBatch.from_arrays(columns, names=[key, "host", "path", "rule", "verdict"])
 
+    host, path = host_and_path(df[url])
+    rows = df.select(df[key].alias("key"), host.alias("host"), path.alias("path"))
+    rows = rows.withColumn("probes", probes_of(sorted({path_length(t) for _, t in rules})))
     kind = df.schema[key].dataType.simpleString()
-    return df.select(df[key].alias("key"), df[url].alias("url")).mapInArrow(run, f"`{key}` {kind}, host string, path string, rule string, verdict string")
+    return rows.mapInArrow(run, f"`{key}` {kind}, host string, path string, rule string, verdict string")
