@@ -95,15 +95,22 @@ def successors(docs: DataFrame) -> DataFrame:
     return joined.select("doc", F.coalesce("next", "follow").alias("next"), "q")
 
 
+def row_hash() -> Column:
+    return F.xxhash64("text", F.col("doc").isNull())
+
+
 def with_edit(docs: DataFrame, after: DataFrame, again: bool) -> DataFrame:
     """``at, text_hash, doc, times, text, edited``: the last quarter replaced by the start of the next document.
 
-    The result lies by ``at``.
+    The result lies by ``at``.  Both joins ask for the same columns of ``docs`` by ``at``, so the texts are dealt out once.  A row
+    without an id is nobody's next document: a condition on both sides, which is not moved before the exchange, sees to that.
     """
     side = after.select(F.col("doc").alias("of"), "next", "q")
-    heads = docs.join(side, docs["doc"] == side["next"]).select("of", F.expr("left(text, q)").alias("head"))
+    known = F.col("q") >= F.when(docs["doc"].isNull(), (1 << 31) - 1).otherwise(0)
+    heads = docs.join(side, (docs["at"] == side["next"]) & known).select("of", F.expr("left(text, q)").alias("head"))
     heads = heads.groupBy("of").agg(F.min("head").alias("head")) if again else heads
-    joined = docs.join(heads, (docs["at"] == heads["of"]) & docs["doc"].isNotNull(), "left")
+    joined = docs.join(heads, (docs["at"] == heads["of"]) & docs["doc"].isNotNull(), "left").withColumn("text_hash", row_hash())
+    joined = joined if again else joined.withColumn("times", F.lit(1).cast("bigint"))
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.coalesce(F.expr("left(head, cast(floor(length(text) / 4) as int))"), F.lit("")))
     return joined.select(*KEY, "doc", "times", "text", edited.alias("edited"))
 
@@ -169,9 +176,8 @@ def fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     """
     docs = df.select(df[key].cast("bigint").alias("doc"), F.coalesce(df[text], F.lit("")).alias("text"))
     again = repeated(docs)
-    docs = docs.groupBy("doc", "text").agg(F.count("*").alias("times")) if again else docs.withColumn("times", F.lit(1).cast("bigint"))
-    text_hash = F.xxhash64("text", F.col("doc").isNull())
-    docs = docs.select(F.coalesce("doc", text_hash).alias("at"), text_hash.alias("text_hash"), "doc", "times", "text")
+    docs = docs.groupBy("doc", "text").agg(F.count("*").alias("times")) if again else docs
+    docs = docs.select(F.coalesce("doc", row_hash()).alias("at"), *docs.columns)
     after = materialise(successors(docs), "next")
     edits = with_edit(docs, after, again)
     found = sampled(edits, n).toDF("at_of", "hash_of", "own", "edit")
