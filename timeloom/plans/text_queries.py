@@ -108,7 +108,7 @@ def detokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.table(spark, sf_dir, "conversations").select("conv_id", "turn", X.detokenise(pieces).alias("text"))
 
 
-@query("""WITH RECURSIVE s AS (SELECT conv_id, turn, list_filter(string_split(left(text, 200), ' '), lambda w: w <> '') AS w FROM conversations),
+@query("""WITH RECURSIVE s AS (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda w: w <> '') AS w FROM conversations),
 r AS (SELECT conv_id, turn, w, 1 AS i, [w[1]] AS lines FROM s WHERE len(w) > 0 UNION ALL SELECT conv_id, turn, w, i + 1, CASE WHEN length(lines[len(lines)]) + 1 + length(w[i + 1]) <= 30 THEN list_append(lines[1:len(lines) - 1], lines[len(lines)] || ' ' || w[i + 1]) ELSE list_append(lines, w[i + 1]) END FROM r WHERE i < len(w))
 SELECT conv_id, turn, array_to_string(lines, chr(10)) AS text FROM r WHERE i = len(w)""")
 def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,10 +123,10 @@ def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.table(spark, sf_dir, "documents").select("doc_id", X.in_share(F.col("doc_id"), 0.01, 42).alias("validation"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(upper(replace(text, 'ß', 'SS')), '[A-Z0-9'']+')) AS n, list_transform(regexp_extract_all(upper(replace(text, 'ß', 'SS')), '[A-Z0-9'']+')[1:8], lambda w: CASE w WHEN 'THE' THEN 2 WHEN 'OF' THEN 3 ELSE 1 END) AS ids FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, len(regexp_extract_all(upper(replace(text, 'ß', 'SS')), '[A-Z0-9'']+')) AS n, list_transform(regexp_extract_all(upper(replace(text, 'ß', 'SS')), '[A-Z0-9'']+'), lambda w: CASE w WHEN 'THE' THEN 2 WHEN 'OF' THEN 3 ELSE 1 END) AS ids FROM documents")
 def tokenize_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole words and their ids in a vocabulary of two."""
     vocabulary = F.create_map(F.lit("THE"), F.lit(2), F.lit("OF"), F.lit(3))
     words = X.whole_words(F.col("text"))
-    d = P.table(spark, sf_dir, "documents").where("lang = 'en'")
+    d = P.table(spark, sf_dir, "documents")
     return d.select("doc_id", F.size(words).cast("bigint").alias("n"), X.word_ids(words, vocabulary, 1).alias("ids"))
