@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "der_per_clip"
-MODULES = ("timeline_queries", "scoring_queries", "frame_queries", "text_queries", "dataset_queries", "algorithm_queries", "signal_queries", "asset_queries", "fusion_queries")
+MODULES = ("timeline_queries", "scoring_queries", "frame_queries", "text_queries", "dataset_queries", "algorithm_queries", "signal_queries", "asset_queries", "fusion_queries", "output_queries")
 
 
 def queries() -> dict[str, Query]:
