@@ -61,11 +61,17 @@ def parent_id(clip: Column) -> Column:
 
 
 def clip_parts(clip: Column) -> tuple[Column, Column]:
-    """Video and two-digit number of a clip id; null for other ids."""
+    """Video and two-digit number of a clip id; null for other ids (see :func:`strict_clip_parts`)."""
     ok = F.rlike(clip, F.lit(r"^.+_c_\d{2}$"))
     return F.when(ok, F.regexp_extract(clip, r"^(.+)_c_(\d{2})$", 1)), F.when(ok, F.regexp_extract(clip, r"^(.+)_c_(\d{2})$", 2))
 
 
+def strict_clip_parts(clip: Column) -> tuple[Column, Column]:
+    """As :func:`clip_parts`, but other ids end the job with an error."""
+    wrong = F.raise_error(F.concat(F.lit("no clip id: "), F.coalesce(clip, F.lit("null")))).cast("string")
+    return tuple(F.coalesce(p, wrong) for p in clip_parts(clip))
+
+
 def colour(number: Column, palette: list[str], fallback: str) -> Column:
     """A palette's entry, again from the start after its last; ``fallback`` for negative numbers."""
     names = F.array(*(F.lit(p) for p in palette))

@@ -8,12 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .assets import numbered
+
 
 def by_size(df: DataFrame, shard: Sequence[str], key: str, size: str, max_tokens: int, max_rows: int, multiple: int = 1) -> DataFrame:
     """Batches of rows in descending size order: a batch ends before (rows + 1) * largest size passes ``max_tokens``,
     or at ``max_rows``; a batch that is cut short gives rows back until its count is a multiple.
 
-    Adds ``batch`` (from 0) in each shard; the walk is sequential, so a shard is one task.
+    Adds ``batch`` (from 0) in each shard; the walk is sequential, so a shard is one task.  Rows without a size are left out.
     """
     schema = df.select(*shard, key, size).withColumn("batch", F.lit(0)).schema
 
@@ -35,7 +37,7 @@ def by_size(df: DataFrame, shard: Sequence[str], key: str, size: str, max_tokens
             held += 1
         return pdf.assign(batch=pd.Series(numbers, index=pdf.index, dtype="int32"))[[f.name for f in schema.fields]]
 
-    return df.select(*shard, key, size).groupBy(*shard).applyInPandas(run, schema)
+    return df.where(F.col(size).isNotNull()).select(*shard, key, size).groupBy(*shard).applyInPandas(run, schema)
 
 
 def keyed_order(size: Column, key: Column, seed: int, epoch: int) -> list[Column]:
@@ -80,3 +82,32 @@ def offsets(df: DataFrame, keys: Sequence[str], order: str, frames: str, seam: i
     """Where each clip begins when clips are put one after another with ``seam`` frames in between."""
     before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("offset", F.coalesce(F.sum(F.col(frames) + seam).over(before), F.lit(0).cast("bigint")))
+
+
+def by_shapes(df: DataFrame, shard: Sequence[str], key: str, size: str, shapes: Sequence[tuple[int, int]]) -> DataFrame:
+    """Batches of fixed shapes ``(rows, longest)``: each row goes to the first shape that is long enough, which is filled in key order.
+
+    Adds ``shape`` (its number) and ``batch`` (from 0 within shard and shape); rows longer than every shape, or without a size, are left out.
+    """
+    fits = F.lit(None).cast("int")
+    for i, (_, longest) in reversed(list(enumerate(shapes))):
+        fits = F.when(F.col(size) <= longest, F.lit(i)).otherwise(fits)
+    rows = F.get(F.array(*(F.lit(n) for n, _ in shapes)), F.col("shape"))
+    number = F.row_number().over(Window.partitionBy(*shard, "shape").orderBy(key)) - 1
+    return df.withColumn("shape", fits).where("shape IS NOT NULL").withColumn("batch", F.floor(number / rows).cast("int"))
+
+
+def dealt_batches(batches: DataFrame, batch: str, replicas: int, seed: int, epoch: int) -> DataFrame:
+    """``batches`` (a row each) with the ``replica`` that gets one and its ``turn`` there, in an order that changes with seed and epoch."""
+    order = numbered(batches, [F.xxhash64(F.col(batch), F.lit(seed), F.lit(epoch)), F.col(batch)], "__n")
+    return order.withColumns({"replica": ((F.col("__n") - 1) % replicas).cast("int"), "turn": F.floor((F.col("__n") - 1) / replicas)}).drop("__n")
+
+
+def stitched(df: DataFrame, keys: Sequence[str], order: str, rows: str, seam: int, total: Column, width: int) -> DataFrame:
+    """``keys, rows``: the feature rows of a key's clips one after another with ``seam`` rows of zeros between, cut or padded to ``total`` rows."""
+    zeros = F.array_repeat(F.array_repeat(F.lit(0.0), width), seam)
+    held = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(rows).alias("r")))).alias("x"), F.max(total).cast("int").alias("n"))
+    parts = F.flatten(F.transform("x", lambda x, i: F.when(i > 0, F.concat(zeros, x["r"])).otherwise(x["r"])))
+    whole = held.select(*keys, "n", parts.alias("p"))
+    pad = F.array_repeat(F.array_repeat(F.lit(0.0), width), F.greatest(F.lit(0), F.col("n") - F.size("p")))
+    return whole.select(*keys, F.concat(F.slice("p", F.lit(1), F.col("n")), pad).alias(rows))

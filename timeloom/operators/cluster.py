@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from timeloom.storage import materialise
 
 
-
 def similarities(vectors: np.ndarray) -> np.ndarray:
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
     unit = np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
@@ -46,7 +45,7 @@ def average_linkage(distance: np.ndarray, threshold: float) -> list[int]:
 
 def linked(df: DataFrame, keys: Sequence[str], member: str, vector: str, threshold: float, apart: str | None = None) -> DataFrame:
     """Average linkage of each key's members on cosine distance; members that share an entry of the array
-    ``apart`` (such as frames) are pushed 100 further from each other.  Adds ``cluster``."""
+    ``apart`` (such as frames) are pushed 100 further from each other.  Adds ``cluster``; rows without a vector are left out."""
     columns = [*keys, member, vector, *([apart] if apart else [])]
     schema = df.select(*keys, member).withColumn("cluster", F.lit(0)).schema
 
@@ -54,17 +53,17 @@ def linked(df: DataFrame, keys: Sequence[str], member: str, vector: str, thresho
         pdf = pdf.sort_values(member)
         distance = 1 - similarities(np.stack(pdf[vector].to_list()).astype(float))
         if apart:
-            sets = [set(x) for x in pdf[apart]]
+            sets = [set(x) if x is not None else set() for x in pdf[apart]]
             distance = distance + 100 * np.array([[bool(a & b) for b in sets] for a in sets])
         pdf["cluster"] = np.array(average_linkage(distance, threshold), np.int32)
         return pdf[[f.name for f in schema.fields]]
 
-    return df.select(*columns).groupBy(*keys).applyInPandas(run, schema)
+    return df.where(F.col(vector).isNotNull()).select(*columns).groupBy(*keys).applyInPandas(run, schema)
 
 
 def identities(df: DataFrame, keys: Sequence[str], track: str, vectors: str, frames: str, threshold: float) -> DataFrame:
     """Tracks in order join the identity of least median pairwise cosine distance if that is at most the
-    threshold and they share no frame with it, else they found a new one.  Adds ``identity``."""
+    threshold and they share no frame with it, else they found a new one.  Adds ``identity``; tracks without vectors are left out."""
     schema = df.select(*keys, track).withColumn("identity", F.lit(0)).schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -73,7 +72,7 @@ def identities(df: DataFrame, keys: Sequence[str], track: str, vectors: str, fra
         found = []
         for own_frames, own_vectors in zip(pdf[frames], pdf[vectors], strict=True):
             mine = np.stack([np.asarray(v, float) for v in own_vectors])
-            seen = set(own_frames)
+            seen = set(own_frames) if own_frames is not None else set()
             best, at = np.inf, -1
             for g, (taken, held) in enumerate(groups):
                 if taken & seen:
@@ -91,7 +90,8 @@ def identities(df: DataFrame, keys: Sequence[str], track: str, vectors: str, fra
         pdf["identity"] = np.array(found, np.int32)
         return pdf[[f.name for f in schema.fields]]
 
-    return df.select(*keys, track, vectors, frames).groupBy(*keys).applyInPandas(run, schema)
+    known = df.where(F.size(F.col(vectors)) > 0)
+    return known.select(*keys, track, vectors, frames).groupBy(*keys).applyInPandas(run, schema)
 
 
 def components(edges: DataFrame, keys: Sequence[str], rounds: int = 50) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Log-scores (of every label) that follow a sequence of labels at a step.
 Scorer = Callable[[tuple[int, ...], int], np.ndarray]
@@ -64,7 +65,7 @@ def beam(df: DataFrame, key: str, step: str, scores: str, beam: int, eos: int) -
         found = search({"table": (1.0, lambda _, i: table[i])}, beam, eos, len(table))[:beam]
         return pd.DataFrame({key: pdf[key].iloc[0], "rank": range(1, len(found) + 1), "ids": [list(q) for q, _ in found], "score": [s for _, s in found]})
 
-    return df.groupBy(key).applyInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, rank int, ids array<int>, score double")
+    return df.where(F.col(scores).isNotNull()).groupBy(key).applyInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, rank int, ids array<int>, score double")
 
 
 def prefix_score(table: np.ndarray, labels: Sequence[int], blank: int = 0) -> float:
@@ -89,7 +90,9 @@ def prefix_score(table: np.ndarray, labels: Sequence[int], blank: int = 0) -> fl
 
 
 def ctc(df: DataFrame, key: str, step: str, scores: str, labels: Sequence[int], blank: int = 0) -> DataFrame:
+    """``key, score``: :func:`prefix_score` of each key's table; steps without scores are left out."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({key: [pdf[key].iloc[0]], "score": [prefix_score(table_of(pdf, step, scores), labels, blank)]})
 
-    return df.groupBy(key).applyInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, score double")
+    return df.where(F.col(scores).isNotNull()).groupBy(key).applyInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, score double")

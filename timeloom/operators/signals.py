@@ -25,9 +25,18 @@ def best_shift(df: DataFrame, keys: Sequence[str], distances: str) -> DataFrame:
     return means.groupBy(*keys).agg(F.min_by("shift", F.struct("x", "shift")).alias("shift"), F.median("x").alias("middle"))
 
 
-def sync_confidence(df: DataFrame, keys: Sequence[str], distances: str, frame: str = "frame") -> DataFrame:
-    """``keys, frame, confidence``: how far a frame's distance at its track's best shift lies under the median of the means."""
+def sync_confidence(df: DataFrame, keys: Sequence[str], distances: str, frame: str = "frame", edge: int = 0, far: float = 10.0) -> DataFrame:
+    """``keys, frame, confidence``: how far a frame's distance at its track's best shift lies under the median of the means.
+
+    With ``edge`` so many frames before the first and after the last one are there too, at the distance ``far``: scores of windows
+    begin and end that much inside a track.
+    """
     joined = df.join(best_shift(df, keys, distances), list(keys))
+    if edge:
+        ends = joined.groupBy(*keys, "shift", "middle").agg(F.min(frame).alias("__lo"), F.max(frame).alias("__hi"))
+        outside = F.concat(F.sequence(F.col("__lo") - edge, F.col("__lo") - 1), F.sequence(F.col("__hi") + 1, F.col("__hi") + edge))
+        more = ends.select(*keys, F.explode(outside).alias(frame), (F.col("middle") - far).alias("confidence"))
+        return sync_confidence(df, keys, distances, frame).unionByName(more)
     return joined.select(*keys, frame, (F.col("middle") - F.get(F.col(distances), F.col("shift"))).alias("confidence"))
 
 
@@ -61,6 +70,21 @@ def moving_average(df: DataFrame, keys: Sequence[str], value: str, reach: int, f
     return marked.withColumn("smoothed", mean).drop("__h", "__b", "__r")
 
 
+def recentred(df: DataFrame, keys: Sequence[str], points: dict[str, str], reach: int, frame: str = "frame") -> DataFrame:
+    """Points (names of x columns to their y columns) whose shape is smoothed over frames while their centre stays that of the frame.
+
+    Each coordinate's :func:`moving_average` is moved so that the mean over all points is the frame's own.
+    """
+    out = df
+    names = [*points, *points.values()]
+    for c in names:
+        out = moving_average(out, keys, c, reach, frame).withColumnRenamed("smoothed", f"__{c}")
+    for axis in (list(points), list(points.values())):
+        shift = sum((F.col(c) - F.col(f"__{c}") for c in axis), F.lit(0.0)) / len(axis)
+        out = out.withColumns({f"__{c}_s": F.col(f"__{c}") + shift for c in axis})
+    return out.select(*[c for c in df.columns if c not in names], *(F.col(f"__{c}_s").alias(c) for c in names))
+
+
 def slice_of_track(features: DataFrame, segments: DataFrame, keys: Sequence[str], track: str, fps: int = 25) -> DataFrame:
     """``keys, track, features``: the clip's feature rows (``frame, v``) from a track's first to its last segment, in order."""
     span = segments.groupBy(*keys, track).agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"))

@@ -88,6 +88,21 @@ def parse_manifest(raw: DataFrame, min_frames: int = 1, cap: int | None = None,
     return rows.withColumn("frames", F.least("frames", F.lit(cap))) if cap is not None else rows
 
 
+def manifest_paths(raw: DataFrame, least: int = 2) -> DataFrame:
+    """``tag, rel`` of rows of at least ``least`` fields, whatever the others hold; separators are slashes."""
+    f = F.split("value", ",")
+    rows = raw.where((F.size(f) >= least) & (F.trim("value") != ""))
+    return rows.select(*[c for c in raw.columns if c != "value"], F.trim(F.get(f, F.lit(0))).alias("tag"), F.replace(F.trim(F.get(f, F.lit(1))), F.lit("\\"), F.lit("/")).alias("rel"))
+
+
+def numbered_manifest(raw: DataFrame) -> DataFrame:
+    """``line, tag, rel, frames`` of numbered lines of at least three fields; frames that are no whole number are -1."""
+    f = F.split("value", ",")
+    frames = F.coalesce(F.trim(F.get(f, F.lit(2))).try_cast("int"), F.lit(-1))
+    keep = [c for c in raw.columns if c != "value"]
+    return raw.where(F.size(f) >= 3).select(*keep, F.trim(F.get(f, F.lit(0))).alias("tag"), F.replace(F.trim(F.get(f, F.lit(1))), F.lit("\\"), F.lit("/")).alias("rel"), frames.alias("frames"))
+
+
 def manifest(spark: SparkSession, path: str, numbered: bool = False, **how) -> DataFrame:
     return parse_manifest(lines(spark, path, numbered), **how)
 
