@@ -92,7 +92,16 @@ def caption_pairs_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("score", F.round("score", 6))
 
 
-@query()
+#: Captions of a clip walked in order, with what was kept so far.
+DEDUP = f"""{P.CAPTIONS}, o AS (SELECT clip, list(struct_pack(turn := turn, speaker := speaker, t0 := t0, t1 := t1, text := text, w := {WORDS}) ORDER BY t0, -length(coalesce(text, '')), turn) AS s FROM captions GROUP BY clip),
+k AS (SELECT clip, s, 1 AS i, s[1:0] AS kept FROM o UNION ALL
+  SELECT clip, s, i + 1, CASE WHEN j IS NULL THEN list_append(kept, s[i]) WHEN length(s[i].text) > length(kept[j].text) THEN list_concat(list_append(kept[1:j - 1], s[i]), kept[j + 1:]) ELSE kept END
+  FROM k, LATERAL (SELECT list_min(list_filter(range(1, len(kept) + 1), lambda q: s[i].t0 < kept[q].t1 AND kept[q].t0 < s[i].t1 AND len(list_concat(s[i].w, kept[q].w)) > 0
+    AND len(list_intersect(s[i].w, kept[q].w)) / len(list_distinct(list_concat(s[i].w, kept[q].w))) >= 0.05)) AS j) WHERE i <= len(s)),
+f AS (SELECT clip, unnest(kept) AS x FROM k WHERE i = len(s) + 1)"""
+
+
+@query(f"WITH RECURSIVE {DEDUP} SELECT clip, x.turn AS turn, x.speaker AS speaker, x.t0 AS t0, x.t1 AS t1, x.text AS text FROM f")
 def caption_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions.dedup(P.captions(spark, sf_dir), "clip", 0.05)
 
