@@ -22,12 +22,19 @@ SHORTEST = 20
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; the others go."""
+    """Documents whose language is identified; the others go, among them those without text or without letters.
+
+    Ids play no part: rows that repeat one, or have none, are judged each for itself.
+    """
     return language_id.identify(docs).where("accepted").select(*COLUMNS)
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that earlier ones repeat; those that lose all they said go."""
+    """Documents without the lines that earlier ones repeat; those that lose all they said go.
+
+    Earlier is what has a smaller id.  Rows that repeat an id follow each other in the order of a hash of their texts, rows without
+    one come last.  A document that was blank or empty stays as it is, a null text becomes an empty one.
+    """
     found = line_dedup.dedup(docs, carry=("lang", "source"), shortest=SHORTEST)
     said = F.length(F.trim(F.translate("text", "\t\n\r\x0b\x0c", "     "))) > 0
     kept = found.where(said | (F.col("n_kept") == F.col("n_lines")))
@@ -35,7 +42,11 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one document: that with the smallest id, the first of rows that repeat it."""
+    """Of each group of near duplicates one document: that with the smallest id, the first of rows that repeat it.
+
+    Rows are told apart by a number of their own, so copies that share an id, or have none, go as others do; a row without an id
+    stays only where all of its group lack one.  Texts without words are near to nothing and stay.
+    """
     rows = materialise(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
     groups = materialise(ngram_join.join(rows, key="row", words=NEAR_WORDS, like=NEAR), "groups")
     linked = groups.where("component_id < row").select("row", "component_id")
@@ -49,7 +60,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the documents, packed into sequences of 4096."""
+    """Token pieces of the documents, packed into sequences of 4096; an empty or null text is one piece of its end mark."""
     return packing.pack_documents(docs, public_tokenizers.path(WORD_BPE))
 
 
