@@ -267,10 +267,11 @@ def brute_licenses(text: str | None):
                 starts.append(i)
                 base.add(label)
     more, best = set(), 0.0
-    for b in range(0, len(words), license_scan.STRIDE):
-        block = set(words[b : b + license_scan.BLOCK])
-        for label, t in license_scan.TEMPLATES:
-            t = set(t.split(" "))
+    for label, template in license_scan.TEMPLATES:
+        t = set(license_scan.words_of(template))
+        width = license_scan.width_of(len(license_scan.words_of(template)))
+        for b in range(0, len(words), width // 2):
+            block = set(words[b : b + width])
             if len(block & t) * 10 >= len(t) * 8:
                 more.add(label)
                 best = max(best, len(block & t) / len(t))
@@ -284,7 +285,7 @@ def test_license_scan_equals_brute_force(spark, odd, none):
     for _ in range(120):
         words = prose(rng, rng.randint(0, 70)) + ["the", "of", "license"]
         for _ in range(rng.randint(0, 2)):
-            notice = rng.choice(license_scan.TEMPLATES)[1].split(" ") if rng.random() < 0.6 else rng.choice(license_scan.PHRASES)[1].split(" ")
+            notice = license_scan.words_of(rng.choice(license_scan.TEMPLATES)[1]) if rng.random() < 0.6 else rng.choice(license_scan.PHRASES)[1].split(" ")
             notice = [w for w in notice if rng.random() < 0.93]
             at = rng.randrange(len(words))
             words[at:at] = notice
