@@ -8,8 +8,12 @@ group, hence agree on all but one of its cells.  A set's signatures are, for
 each group and each left-out cell, the hash of the elements in the other
 cells: similar sets share one.  A set signs for its own band and for the next.
 
+Groups of few elements often leave cells empty, and a signature over empty cells says little.  Where that is common a
+band has so many groups that similar sets agree in three of them at least: empty signatures are dropped, and each three
+of a set's empty ones together are a signature.  Similar sets share a full one or three empty ones.
+
 Equal sets are one class from the start.  Classes that share a signature with
-another pass a second filter: with four times as many cells, similar sets differ
+another pass a second filter: with two to four times as many cells as elements may differ, similar sets differ
 in at most k of them, so they share one of their k + 1 rarest cells, and a
 near copy whose own cells alone fill that prefix has no partner.  Classes that
 still meet are first compared with one leader of their cell; linked classes
@@ -22,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +39,8 @@ from .hashing import MIX, MIX2, mix, range_hashes
 #: White space that parts words: blank and \x09 to \x0d.
 SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-#: Cells of the second filter for each of the first's; rows of one or two numbers that may be broadcast.
-FINE, BROADCAST_ROWS = 4, 2_000_000
+#: Rows of one or two numbers that may be broadcast.
+BROADCAST_ROWS = 2_000_000
 #: Added to the seed of hashes that check the others.
 CHECK = 1 << 20
 #: Members of a cell up to which their pairs are listed, and members of a block beyond that.
@@ -45,10 +50,26 @@ FEW, MEMBERS = 8, 400
 MANY = 8
 
 
+#: Groups of few elements (under this many on average) take three cells even where there are many groups, and spare groups.
+THIN, SPARE, TRIPLES = 14, 3, 60
+#: What becomes of signatures over empty cells: signed anew, kept, or combined by ``SPARE``.
+ANEW, KEPT, COMBINED = 0, 1, 2
+
+
+def thin(like: "Similarity") -> bool:
+    """Whether the groups of a similarity hold few elements: a set has about this many for each group."""
+    return like.den + like.num < THIN * (like.den - like.num)
+
+
 def cells_of(groups: np.ndarray) -> np.ndarray:
     return np.where(groups > MANY, 2, 3)
 
 
+def fine_of(like: "Similarity") -> int:
+    """Cells of the second filter for each element that may differ, so that a cell holds about two elements."""
+    return max(2, (like.den + like.num) // (4 * (like.den - like.num)))
+
+
 @dataclass(frozen=True)
 class Similarity:
     """Jaccard similarity of at least ``num / den``, in integers so that the bound is exact."""
@@ -82,15 +103,16 @@ def groups_of(like: Similarity, band: np.ndarray) -> np.ndarray:
     return np.where(k > 0, (k + 2) // 2, 0)
 
 
-def crowded(like: Similarity, band: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """Where a band's smallest sets leave more than two signatures empty on average.
+def empties(like: Similarity, band: np.ndarray, n1: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """How many signatures a band's smallest sets leave empty on average.
 
-    Signing anew for each of those would multiply at every depth; such bands keep them as they are, and the second filter
-    parts the sets that meet there.  This depends on the band alone, so similar sets decide alike.
+    Where they are more than two, signing anew for each would multiply at every depth, and threes of more than ``TRIPLES``
+    are too many; such bands keep empty signatures as they are, and the second filter parts the sets that meet there.  This depends
+    on the band alone, so similar sets decide alike.
     """
-    total = np.maximum(1, n1 * cells_of(n1))
+    total = np.maximum(1, n1 * cells)
     smallest = bands(like)[np.clip(band - 1, 0, len(bands(like)) - 1)]
-    return total * np.exp(-smallest * (cells_of(n1) - 1) / total) > 2
+    return total * np.exp(-smallest * (cells - 1) / total)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -142,24 +164,28 @@ def signatures(elements: np.ndarray, at: np.ndarray, like: Similarity) -> tuple[
     for shift in (0, 1):
         band = own + shift
         n1 = np.where(sizes > 0, groups_of(like, np.maximum(band, 0)), 0)
-        o, s = sign(elements, at, band, n1, np.uint64(1), crowded(like, band, n1))
+        spare = (n1 > MANY) & thin(like)
+        lots = empties(like, band, n1 + (SPARE - 1) * spare, np.where(spare, 3, cells_of(n1)))
+        empty = np.where(spare & (lots <= TRIPLES), COMBINED, np.where(spare | (lots > 2), KEPT, ANEW))
+        # in all but SPARE - 1 of the groups two differences each would be too many, so SPARE groups have at most one
+        o, s = sign(elements, at, band, n1 + (SPARE - 1) * spare, np.where(spare, 3, cells_of(n1)), np.uint64(1), empty)
         owners.append(o)
         found.append(s)
     return np.concatenate(owners), np.concatenate(found)
 
 
-def sign(elements: np.ndarray, at: np.ndarray, band: np.ndarray, n1: np.ndarray, seed: np.uint64, full: np.ndarray, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(set, signature) for the sets with ``n1`` groups.
+def sign(elements: np.ndarray, at: np.ndarray, band: np.ndarray, n1: np.ndarray, cells: np.ndarray, seed: np.uint64, full: np.ndarray, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(set, signature) for the sets with ``n1`` groups of ``cells`` cells.
 
-    A signature over empty cells says little and would bring many sets together, so a set with
-    such a one signs anew instead, with cells dealt by another hash, among the sets with the same one.
+    A signature over empty cells says little and would bring many sets together; ``full`` says what a set does with them.
+    A set that signs anew does so with cells dealt by another hash, among the sets with the same empty one.
     """
     sizes = np.diff(at)
     owners, found = [], []
-    for cells in (2, 3):
-        used = np.flatnonzero((n1 > 0) & (cells_of(n1) == cells))
+    for c in (2, 3):
+        used = np.flatnonzero((n1 > 0) & (cells == c))
         if len(used):
-            o, f = sign_with(cells, used, elements, at, sizes, band, n1, seed, full, depth)
+            o, f = sign_with(c, used, elements, at, sizes, band, n1, seed, full, depth)
             owners.append(o)
             found.append(f)
     if not owners:
@@ -186,20 +212,45 @@ def sign_with(cells: int, used: np.ndarray, elements: np.ndarray, at: np.ndarray
     tag = mix((np.repeat(band[used], groups).astype(np.uint64)[:, None] << np.uint64(40) | subset) * MIX + seed)
     out = mix(remaining * MIX2 ^ tag)
     owner = np.repeat(np.repeat(used, groups), cells).reshape(-1, cells)
-    empty &= ~full[owner]
-    if depth < 3 and empty.any():
-        owners, again = [owner[~empty]], [out[~empty]]
-        for o, s in zip(owner[empty].tolist(), tag[empty].tolist(), strict=True):
+    empty &= full[owner] != KEPT
+    owners, found = [owner[~empty]], [out[~empty]]
+    several = empty & (full[owner] == COMBINED)
+    if several.any():
+        o, f = combined(owner[several], tag[several])
+        owners.append(o)
+        found.append(f)
+    anew = empty & (full[owner] == ANEW)
+    if depth >= 3:
+        owners.append(owner[anew])
+        found.append(out[anew])
+    else:
+        for o, s in zip(owner[anew].tolist(), tag[anew].tolist(), strict=True):
             one = np.array([0, sizes[o]])
-            _, deeper = sign(elements[at[o] : at[o + 1]], one, band[o : o + 1], n1[o : o + 1], np.uint64(s), full[o : o + 1], depth + 1)
+            _, deeper = sign(elements[at[o] : at[o + 1]], one, band[o : o + 1], n1[o : o + 1], np.array([cells]), np.uint64(s), full[o : o + 1], depth + 1)
             owners.append(np.full(len(deeper), o))
-            again.append(deeper)
-        return np.concatenate(owners), np.concatenate(again)
-    return owner.ravel(), out.ravel()
+            found.append(deeper)
+    return np.concatenate(owners), np.concatenate(found)
+
+
+def combined(owner: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set, signature) for each ``SPARE`` empty signatures of a set; owners ascend, and a set's tags come in one order for all sets."""
+    starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    counts = np.diff(np.append(starts, len(owner)))
+    owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for n in np.unique(counts[counts >= SPARE]).tolist():
+        rows = starts[counts == n]
+        picks = np.array(list(combinations(range(n), SPARE)))
+        held = tag[rows[:, None] + np.arange(n)][:, picks]
+        key = np.zeros(held.shape[:2], np.uint64)
+        for j in range(SPARE):
+            key = mix(key * MIX2 ^ held[:, :, j])
+        owners.append(np.repeat(owner[rows], len(picks)))
+        found.append(key.ravel())
+    return np.concatenate(owners), np.concatenate(found)
 
 
 def fine_cells(elements: np.ndarray, at: np.ndarray, like: Similarity) -> tuple[np.ndarray, ...]:
-    """(set, scheme, bound, cell hash) with ``FINE`` times as many cells as signatures need.
+    """(set, scheme, bound, cell hash) with :func:`fine_of` times as many cells as elements may differ.
 
     Similar sets that meet in a scheme differ in at most ``bound`` of its cells.
     """
@@ -212,7 +263,7 @@ def fine_cells(elements: np.ndarray, at: np.ndarray, like: Similarity) -> tuple[
         n1 = np.where(sizes > 0, groups_of(like, np.maximum(band, 0)), 0)
         used = np.flatnonzero(n1 > 0)
         bound = 2 * n1[used] - 1
-        cells = FINE * (bound + 1)
+        cells = fine_of(like) * (bound + 1)
         base = np.cumsum(cells) - cells
         of = np.repeat(np.arange(len(used)), sizes[used])
         h = mix(elements[spread(at[used], sizes[used])] ^ MIX2)
