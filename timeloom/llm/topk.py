@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 CANDIDATES, QUERIES = 8192, 2048
 #: The first stretch is this share of a list; each later one is as long as all before it.
 STRETCH = 64
-#: Whole numbers under this need no wider arithmetic than 64 bits.
-WIDE = 1 << 62
+#: Sums of whole numbers under this are exact in double precision; beyond it Python's own integers are used.
+WIDE = 1 << 53
 
 
 def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -42,6 +42,15 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def added(who: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """What each of ``n`` candidates gets of ``values``."""
+    if values.dtype != object:
+        return np.bincount(who.ravel(), values.ravel(), n)
+    out = np.zeros(n, object)
+    np.add.at(out, who.ravel(), values.ravel())
+    return out
+
+
 class Block:
     """Sorted lists of a block of candidates."""
 
@@ -58,11 +67,12 @@ class Block:
         out = []
         for own, query in zip(query_ids, queries, strict=True):
             peak = self.peak * (int(np.abs(query.astype(np.float64)).max(initial=0)) + 1) * max(len(query), 1)
-            weights = query if peak < WIDE else query.astype(object)
+            weights = query.astype(np.float64 if peak < WIDE else object)
             left = self._aggregate(weights, self.ids != own, k)
             scores = self.rows[left].astype(weights.dtype) @ weights
             if weights.dtype == object:
                 scores = np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in scores], np.int64)
+            scores = scores.astype(np.int64)
             top = best(self.ids[left], scores, k)
             out.append((np.full(len(top), own), self.ids[left][top], scores[top]))
         if not out:
@@ -92,9 +102,8 @@ class Block:
             who, values = self.stretch(lo, depth, up, down)
             self.read += who.size
             seen[who, np.arange(len(dims))] = True
-            flat = who.ravel()
-            np.add.at(known, flat, (values * w).ravel())
-            np.add.at(floor, flat, np.broadcast_to(-worst, who.shape).ravel())
+            known += added(who, values * w, n)
+            floor -= added(who, np.broadcast_to(worst, who.shape), n)
             last = w * values[-1]
             lower = known[live] + floor[live]
             bar = np.sort(lower)[len(lower) - k] if weights.dtype == object else np.partition(lower, len(lower) - k)[len(lower) - k]
