@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether Spark deletes a query's shuffle files when the query is done.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: What this process has written, by application.
 WRITTEN: dict[str, list[str]] = {}
 
@@ -36,11 +38,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
-    Later stages reread committed files, so a lost executor costs no more than its own tasks.
+    Later stages reread committed files, so a lost executor costs no more than its own tasks.  The shuffle files of the write are
+    deleted when it is done: nothing reads them again, and the files of many steps would add up on the executors' disks.
     """
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def written(spark: SparkSession) -> list[str]:
