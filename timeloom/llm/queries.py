@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language_id, license_scan, line_dedup, ngram_join, packing, topk, url_filter, warc
+from . import bpe, fill_in_middle, fingerprints, kneser_ney, language_id, license_scan, line_dedup, ngram_join, packing, periodic_runs, topk, url_filter, warc
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -138,8 +139,55 @@ m AS (SELECT c.n, arg_max(r.host || r.path, length(r.host || r.path) * 1000 + le
 SELECT c.page_id, c.host, c.path, m.rule, coalesce(m.action, 'allow') AS verdict FROM c LEFT JOIN m ON c.n = m.n
 """
 
+
+def op11_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learnt from nine tenths of the documents by their ids; pairs of words, as longer n-grams outgrow the disk (README)."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    model = kneser_ney.fit(rows.where("not held_out"), order=2)
+    found = kneser_ney.score(rows, model, carry=("held_out",))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("bigint").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
+def tailed(doc_id: Column, text: Column) -> Column:
+    """Of one document in ten, by id, the words with a periodic tail; other texts as they are."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("bigint")
+    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+    def looped(w: Column) -> Column:
+        n = F.size(w).cast("bigint")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("bigint")
+        return F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.element_at(w, (a + F.abs(i - a) % p + 1).cast("int")))), " ")
+
+    return F.when(h % 10 == 0, F.element_at(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, looped(w)).otherwise("")), 1)).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", tailed(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("text"))
+    found = periodic_runs.runs_of(docs)
+    best = F.array_sort("runs", lambda a, b: F.when(a["length"] != b["length"], F.when(a["length"] > b["length"], -1).otherwise(1)).when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).otherwise(F.signum(a["period"] - b["period"]).cast("int")))
+    found = found.withColumn("top", F.get(best, F.lit(0)))
+    numbers = lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(numbers(r), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), *(F.col(f"top.{c}").alias(c) for c in ("start", "length", "period")), F.floor(F.lit(1000) * F.col("top.length") / F.col("top.period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle.transform(table(spark, sf_dir, "documents"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_bpe_round_trip, op3_language_id, op4_fingerprints, op5_warc, op6_license_scan, op7_packing, op8_ngram_join, op9_top_k, op10_url_filter)
-}
+    for f in (
+        op1_line_dedup, op2_bpe_round_trip, op3_language_id, op4_fingerprints, op5_warc, op6_license_scan, op7_packing, op8_ngram_join, op9_top_k, op10_url_filter,
+        op11_kneser_ney, op12_periodic_runs, op13_fill_in_middle,
+    )
+}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op6_license_scan": OP6_SQL, "op8_ngram_join": OP8_SQL, "op9_top_k": OP9_SQL, "op10_url_filter": OP10_SQL}
