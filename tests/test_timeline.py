@@ -192,8 +192,8 @@ def test_clusters_and_tracks(spark):
 
 def test_search_and_tokens():
     table = np.log(np.array([[0.6, 0.3, 0.1], [0.2, 0.3, 0.5], [0.1, 0.1, 0.8]]))
-    best = search.search({"t": (1.0, lambda _, i: table[i])}, 3, 2, 3)
-    assert best[0][0] == (0, 2) and best == sorted(best, key=lambda x: (-x[1], x[0]))
+    best = search.search(table, {"t": (1.0, search.Stateless(lambda _, i: table[i]))}, 3, 2, 3)
+    assert best[0].labels == (0, 2) and best == sorted(best, key=lambda x: (-x.score, x.labels))
     from itertools import product
 
     def collapsed(path):
