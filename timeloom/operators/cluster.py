@@ -61,6 +61,25 @@ def linked(df: DataFrame, keys: Sequence[str], member: str, vector: str, thresho
     return df.where(F.col(vector).isNotNull()).select(*columns).groupBy(*keys).applyInPandas(run, schema)
 
 
+def join_identity(groups: list[tuple[set, list[np.ndarray]]], frames: set, vectors: np.ndarray, threshold: float) -> int:
+    """Put a track into the group (its frames, its vectors) of least median cosine distance, among those that share no frame with it, if that
+    is at most the threshold, else into a new one; the group's number."""
+    best, at = np.inf, -1
+    for g, (taken, held) in enumerate(groups):
+        if taken & frames:
+            continue
+        both = similarities(np.concatenate([vectors, *held]))[: len(vectors), len(vectors) :]
+        middle = float(np.median(1 - both))
+        if middle < best:
+            best, at = middle, g
+    if at < 0 or best > threshold:
+        at = len(groups)
+        groups.append((set(), []))
+    groups[at][0].update(frames)
+    groups[at][1].append(vectors)
+    return at
+
+
 def identities(df: DataFrame, keys: Sequence[str], track: str, vectors: str, frames: str, threshold: float) -> DataFrame:
     """Tracks in order join the identity of least median pairwise cosine distance if that is at most the
     threshold and they share no frame with it, else they found a new one.  Adds ``identity``; tracks without vectors are left out."""
@@ -72,20 +91,7 @@ def identities(df: DataFrame, keys: Sequence[str], track: str, vectors: str, fra
         found = []
         for own_frames, own_vectors in zip(pdf[frames], pdf[vectors], strict=True):
             mine = np.stack([np.asarray(v, float) for v in own_vectors])
-            seen = set(own_frames) if own_frames is not None else set()
-            best, at = np.inf, -1
-            for g, (taken, held) in enumerate(groups):
-                if taken & seen:
-                    continue
-                both = similarities(np.concatenate([mine, *held]))[: len(mine), len(mine) :]
-                middle = float(np.median(1 - both))
-                if middle < best:
-                    best, at = middle, g
-            if at < 0 or best > threshold:
-                at = len(groups)
-                groups.append((set(), []))
-            groups[at][0].update(seen)
-            groups[at][1].append(mine)
+            at = join_identity(groups, set(own_frames) if own_frames is not None else set(), mine, threshold)
             found.append(at)
         pdf["identity"] = np.array(found, np.int32)
         return pdf[[f.name for f in schema.fields]]
