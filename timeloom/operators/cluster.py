@@ -43,19 +43,39 @@ def average_linkage(distance: np.ndarray, threshold: float) -> list[int]:
     return [order[x] for x in label]
 
 
-def linked(df: DataFrame, keys: Sequence[str], member: str, vector: str, threshold: float, apart: str | None = None) -> DataFrame:
+def contracted(vectors: np.ndarray, labels: Sequence[int], threshold: float) -> list[int]:
+    """Clusters whose mean vectors have a cosine of ``threshold`` or more become one, with all that such pairs connect.
+
+    Means are those of the clusters given, not of what they become.  Numbers follow the order of first members.
+    """
+    names = sorted(set(labels))
+    of = np.searchsorted(names, labels)
+    near = similarities(np.stack([vectors[of == k].mean(axis=0) for k in range(len(names))])) >= threshold
+    np.fill_diagonal(near, True)
+    reach = near
+    while (wider := (reach.astype(int) @ near.astype(int)) > 0).sum() > reach.sum():
+        reach = wider
+    merged = reach.argmax(axis=1)[of].tolist()  # the first cluster that it reaches
+    order = {x: k for k, x in enumerate(dict.fromkeys(merged))}
+    return [order[x] for x in merged]
+
+
+def linked(df: DataFrame, keys: Sequence[str], member: str, vector: str, threshold: float, apart: str | None = None, penalty: float = 100.0, merge: float | None = None) -> DataFrame:
     """Average linkage of each key's members on cosine distance; members that share an entry of the array
-    ``apart`` (such as frames) are pushed 100 further from each other.  Adds ``cluster``; rows without a vector are left out."""
+    ``apart`` (such as frames) are pushed ``penalty`` further from each other.  With ``merge`` the clusters found are contracted (:func:`contracted`),
+    which brings together what the penalty held apart.  Adds ``cluster``; rows without a vector are left out."""
     columns = [*keys, member, vector, *([apart] if apart else [])]
     schema = df.select(*keys, member).withColumn("cluster", F.lit(0)).schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(member)
-        distance = 1 - similarities(np.stack(pdf[vector].to_list()).astype(float))
+        vectors = np.stack(pdf[vector].to_list()).astype(float)
+        distance = 1 - similarities(vectors)
         if apart:
             sets = [set(x) if x is not None else set() for x in pdf[apart]]
-            distance = distance + 100 * np.array([[bool(a & b) for b in sets] for a in sets])
-        pdf["cluster"] = np.array(average_linkage(distance, threshold), np.int32)
+            distance = distance + penalty * np.array([[bool(a & b) for b in sets] for a in sets])
+        labels = average_linkage(distance, threshold)
+        pdf["cluster"] = np.array(labels if merge is None else contracted(vectors, labels, merge), np.int32)
         return pdf[[f.name for f in schema.fields]]
 
     return df.where(F.col(vector).isNotNull()).select(*columns).groupBy(*keys).applyInPandas(run, schema)
