@@ -30,7 +30,7 @@ from .hashing import mix, range_hashes
 from .words import split
 
 #: Bytes of text that are looked at together, n-grams that a task counts before it hands them on, and n-grams a shard (about).
-SLICE, FOLD, SHARD = 4 << 20, 1 << 21, 1 << 21
+SLICE, FOLD, SHARD = 4 << 20, 1 << 22, 1 << 21
 #: Numbers of what is no word: the place before a text, and a word never seen.
 BEFORE, UNSEEN = -1, -2
 #: Kinds of rows between tasks: n-grams, contexts, and what the driver adds up.
