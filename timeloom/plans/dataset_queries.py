@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timeloom.operators import batching
+from timeloom import storage
+from timeloom.functions import text as X
+from timeloom.operators import batching, manifest
 from timeloom.sources import files, sinks
 
 from . import projections as P
@@ -124,3 +126,59 @@ def pad_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stitch_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = P.table(spark, sf_dir, "conversations").withColumn("frames", F.length("text").cast("bigint"))
     return batching.offsets(c, ["conv_id"], "turn", "frames", 5).select("conv_id", "turn", F.col("offset").alias("start"))
+
+
+def manifest_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """Documents as clips of fifteen shards: transcripts, listed files, frame counts, and keys that are done."""
+    d = P.table(spark, sf_dir, "documents").join(P.table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    i = F.col("doc_id")
+    d = d.select("doc_id", "quality", "n_chars", F.lpad((i % 15).cast("string"), 2, "0").alias("shard"), F.concat(F.lit("d"), i.cast("string")).alias("stem"), F.when(i % 19 == 2, "").when(i % 23 == 3, "...").otherwise(F.col("text")).alias("text"))
+    exts = F.explode(F.concat(F.when(i % 13 == 4, F.array().cast("array<string>")).otherwise(F.array(F.lit(".wav"))), F.when(F.col("quality") == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit(".avi"))), F.array(F.lit(".txt"))))
+    listing = d.select("shard", "stem", exts.alias("ext")).select("shard", F.concat("stem", F.lit("/"), "stem", "ext").alias("path"))
+    done = d.where(i % 21 == 5).select(F.concat("stem", F.lit("/"), "stem", F.lit(".mp4")).alias("key"))
+    return d.select("shard", "stem"), d.where(i % 11 != 1).select("shard", "stem", "text"), listing, d.where(i % 40 != 3).select("shard", "stem", F.col("n_chars").cast("int").alias("frames")), done
+
+
+def word_numbers(text: Column) -> Column:
+    return X.word_ids(X.whole_words(text), F.create_map(F.lit("THE"), F.lit(2), F.lit("OF"), F.lit(3)), 1)
+
+
+MANIFEST = """q AS (SELECT doc_id, any_value(quality) AS quality FROM labels GROUP BY doc_id),
+d AS (SELECT d.doc_id, lpad(CAST(d.doc_id % 15 AS VARCHAR), 2, '0') AS shard, 'd' || d.doc_id AS stem, CASE WHEN d.doc_id % 19 = 2 THEN '' WHEN d.doc_id % 23 = 3 THEN '...' ELSE text END AS text, n_chars, quality FROM documents d LEFT JOIN q ON q.doc_id = d.doc_id),
+i AS (SELECT *, list_transform(regexp_extract_all(upper(replace(coalesce(text, ''), 'ß', 'SS')), '[A-Z0-9'']+'), lambda w: CASE w WHEN 'THE' THEN 2 WHEN 'OF' THEN 3 ELSE 1 END) AS ids FROM d),
+r AS (SELECT *, CASE WHEN doc_id % 21 = 5 THEN 'already' WHEN doc_id % 11 = 1 THEN 'missing_transcript' WHEN coalesce(text, '') = '' THEN 'empty_text' WHEN len(ids) = 0 THEN 'empty_ids' WHEN doc_id % 13 = 4 THEN 'missing_wav' WHEN quality = 0 THEN 'missing_avi'
+  WHEN doc_id % 40 = 3 OR n_chars <= 0 THEN 'missing_frames' ELSE 'ok' END AS reason, CASE WHEN substr(sha256('42|' || stem || '/' || stem || '.mp4'), 1, 16) < '1999999999999a00' THEN 'val' ELSE 'train' END AS split FROM i)"""
+MANIFEST_RULES = manifest.Rules(validation=0.1)
+
+
+@query(f"WITH {MANIFEST} SELECT stem || '/' || stem || '.mp4' AS key, split, 'set_' || shard || ',' || stem || '/' || stem || '.avi,' || CAST(n_chars AS INTEGER) || ',' || array_to_string(ids, ' ') AS line FROM r WHERE reason = 'ok'")
+def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a build after one that has made some of them."""
+    clips, transcripts, listing, frames, done = manifest_inputs(spark, sf_dir)
+    found = manifest.rated(clips, transcripts, listing, frames, done, word_numbers, MANIFEST_RULES)
+    return found.where("reason = 'ok'").select("key", "split", "line")
+
+
+@query(f"""WITH {MANIFEST}, c AS (SELECT unnest(['already', 'missing_transcript', 'empty_text', 'empty_ids', 'missing_wav', 'missing_avi', 'missing_frames', 'landmarks', 'train', 'val']) AS counter)
+SELECT counter, count(r.doc_id) AS n FROM c LEFT JOIN r ON counter = CASE WHEN reason = 'ok' THEN split ELSE reason END GROUP BY counter""")
+def manifest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a build into a folder of committed runs counts while it writes; the first run makes what counts as done."""
+    clips, transcripts, listing, frames, done = manifest_inputs(spark, sf_dir)
+    folder = storage.fresh_path(spark, "manifest")
+    manifest.log(spark, folder).append(done.select("key", F.lit("train").alias("split"), F.lit("").alias("line")))
+    found = manifest.build(folder, clips, transcripts, listing, frames, word_numbers, MANIFEST_RULES)
+    return spark.createDataFrame(list(found.items()), "counter string, n bigint")
+
+
+@query("""WITH m AS (SELECT page_id, 'p' || page_id % 40 || '/f' || page_id AS base FROM pages),
+l AS (SELECT 'hub' AS place, base || '.avi' AS path FROM m WHERE page_id % 3 = 0 UNION ALL SELECT 'hub', base || '.mp4' FROM m WHERE page_id % 4 = 0 UNION ALL SELECT 'disk', '/data/' || base || '.mp4' FROM m WHERE page_id % 5 < 3),
+o AS (SELECT * FROM (VALUES (0, 'hub', '', '.mp4'), (1, 'hub', '', '.avi'), (2, 'disk', '/data/', '.mp4'), (3, 'disk', '/data/', '.avi')) o(rank, place, prefix, ext))
+SELECT m.page_id, arg_min(o.place, o.rank) FILTER (l.path IS NOT NULL) AS place, arg_min(l.path, o.rank) FILTER (l.path IS NOT NULL) AS found FROM m CROSS JOIN o LEFT JOIN l ON l.place = o.place AND l.path = prefix || base || ext GROUP BY m.page_id""")
+def media_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's media file in the first place that has it, under the first extension."""
+    i = F.col("page_id")
+    base = F.concat(F.lit("p"), (i % 40).cast("string"), F.lit("/f"), i.cast("string"))
+    p = P.table(spark, sf_dir, "pages").select("page_id", F.concat(F.replace(base, F.lit("/"), F.lit("\\")), F.lit(".mp4")).alias("path"))
+    files_of = lambda name, where, prefix, ext: P.table(spark, sf_dir, "pages").where(where).select(F.lit(name).alias("place"), F.concat(F.lit(prefix), base, F.lit(ext)).alias("path"))
+    listing = files_of("hub", "page_id % 3 = 0", "", ".avi").unionByName(files_of("hub", "page_id % 4 = 0", "", ".mp4")).unionByName(files_of("disk", "page_id % 5 < 3", "/data/", ".mp4"))
+    return manifest.resolved(p, listing, [("hub", ""), ("disk", "/data/")], ["", ".avi"], "page_id").select("page_id", "place", "found")
