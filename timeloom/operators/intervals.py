@@ -45,14 +45,29 @@ def pad(df: DataFrame, by: int) -> DataFrame:
     return df.withColumns({"t0": F.greatest(F.lit(0).cast("bigint"), F.col("t0") - by), "t1": F.col("t1") + by})
 
 
+#: Buckets that an interval may touch; what touches more goes to a grid of so many times the width, again and again.
+COARSER = 1024
+
+
 def bucketed(df: DataFrame, width: int) -> DataFrame:
     """A row for each time bucket that an interval touches, as ``__b``; ``__first`` is its first."""
     first, last = F.floor(F.col("t0") / width), F.floor(F.greatest(F.col("t0"), F.col("t1") - 1) / width)
     return df.withColumn("__first", first).withColumn("__b", F.explode(F.sequence(first, last)))
 
 
+def levelled(df: DataFrame, width: int) -> DataFrame:
+    """``df`` with ``__level``: 0 for intervals that touch no more than about ``COARSER`` buckets of ``width``, and one more for each grid coarser."""
+    touched = F.greatest(F.lit(1.0), (F.col("t1").cast("double") - F.col("t0").cast("double")) / width)
+    return df.withColumn("__level", F.greatest(F.lit(0), F.ceil(F.log(float(COARSER), touched) - 1).cast("int")))
+
+
+def long_levels(*sides: DataFrame) -> list[int]:
+    """Levels above 0 that occur, a few numbers; this runs over the bounds of all sides."""
+    return sorted({r[0] for df in sides for r in df.where("__level > 0").select("__level").distinct().collect()})
+
+
 #: Columns that joins use inside.
-INSIDE = frozenset(f"__{x}" for x in ("b", "first", "other", "l", "g", "x", "low", "high", "last", "w", "less"))
+INSIDE = frozenset(f"__{x}" for x in ("b", "first", "other", "l", "g", "x", "low", "high", "last", "w", "less", "level", "n"))
 
 
 def reserve(a: DataFrame, taken: Sequence[str]) -> None:
@@ -62,21 +77,60 @@ def reserve(a: DataFrame, taken: Sequence[str]) -> None:
         raise ValueError(f"columns whose names are taken: {', '.join(clash)}")
 
 
+def met_at(a: DataFrame, b: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+    """Overlapping pairs of two sides, ``b`` with its prefix, each in the first bucket of ``width`` that both touch."""
+    y = bucketed(b.withColumnsRenamed({"b_t0": "t0", "b_t1": "t1"}), width).withColumnsRenamed({"t0": "b_t0", "t1": "b_t1", "__first": "__other"})
+    met = bucketed(a, width).join(y, [*keys, "__b"]).where("t0 < b_t1 AND b_t0 < t1")
+    return met.where(F.col("__b") == F.greatest("__first", "__other")).drop("__b", "__first", "__other")
+
+
 def join(a: DataFrame, b: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
     """Pairs of overlapping intervals with equal keys: columns of ``a``, and of ``b`` with prefix ``b_``.
 
     Both sides are dealt to time buckets of ``width``, so the join is an equi-join on key and
     bucket that spreads a busy key over tasks; a pair counts in its first shared bucket only.
-    Choose ``width`` near the intervals' usual length.  Intervals with a null bound or key overlap nothing; names of
+    Choose ``width`` near the intervals' usual length.  Intervals of more than some ``COARSER`` buckets are dealt to coarser grids, in which shorter ones
+    touch a bucket or two, so an interval of any length costs a bounded number of rows; for that the bounds of both sides are looked
+    over once.  Intervals with a null bound or key overlap nothing, nor do those that end before they begin; names of
     ``a`` that the result would hold twice, and those in ``INSIDE``, are refused.
     """
     other = [c for c in b.columns if c not in keys]
     reserve(a, [f"b_{c}" for c in other])
     reserve(b, [])
-    x = bucketed(a, width)
-    y = bucketed(b, width).select(*keys, *(F.col(c).alias(f"b_{c}") for c in other), F.col("__b"), F.col("__first").alias("__other"))
-    met = x.join(y, [*keys, "__b"]).where("t0 < b_t1 AND b_t0 < t1")
-    return met.where(F.col("__b") == F.greatest("__first", "__other")).drop("__b", "__first", "__other")
+    x, y = (levelled(df.where("t1 >= t0"), width) for df in (a, b))
+    levels = long_levels(x, y)
+    y = y.select(*keys, *(F.col(c).alias(f"b_{c}") for c in other), F.col("__level").alias("b___level"))
+    own = lambda df, c, of: df.where(of).drop(c)
+    left, right = F.col("__level"), F.col("b___level")
+    if not levels:
+        return met_at(x.drop("__level"), y.drop("b___level"), keys, width)
+    out = met_at(own(x, "__level", left == 0), own(y, "b___level", right == 0), keys, width)
+    for n in levels:
+        wide = width * COARSER**n
+        for here, there in ((left == n, right <= n), (left < n, right == n)):
+            out = out.unionByName(met_at(own(x, "__level", here), own(y, "b___level", there), keys, wide))
+    return out
+
+
+def covered(rows: DataFrame, spans: DataFrame, keys: Sequence[str], row: Sequence[str], width: int, name: str = "shared") -> DataFrame:
+    """``rows`` (told apart by ``row``) with how long spans of equal keys overlap them, summed: spans that overlap each other count each for itself.
+
+    Spans are folded first: each key's spans become slices with a count, so pairs grow with the changes of the count inside a row and not with
+    the spans.  Rows without any span, or with a null key or bound, have 0.
+    """
+    reserve(rows, [name])
+    flat = sweep(spans.select(*keys, "t0", "t1"), keys, {"__n": F.lit(1)}).where("__n > 0")
+    slices = fuse(flat.select(*keys, "t0", "t1", "__n"), keys, ["__n"]).withColumnRenamed("__n", "n")
+    met = join(rows.select(*row, *(k for k in keys if k not in row), "t0", "t1"), slices, keys, width)
+    sums = met.groupBy(*row).agg(F.sum((F.least("t1", "b_t1") - F.greatest("t0", "b_t0")) * F.col("b_n")).alias(name))
+    return rows.join(sums, list(row), "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("bigint"))
+
+
+def within(ranges: DataFrame, sizes: DataFrame, keys: Sequence[str], size: str = "n") -> DataFrame:
+    """Ranges of frames (``f0, f1``, the end exclusive) cut to ``[0, size)`` of their key; those outside, or of a key without a size, are left out."""
+    named = sizes.select(*keys, F.col(size).alias("__n"))
+    cut = ranges.join(named, list(keys)).withColumns({"f0": F.greatest("f0", F.lit(0)), "f1": F.least("f1", "__n")})
+    return cut.where("f1 > f0").select(*ranges.columns)
 
 
 def intersect(a: DataFrame, b: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
@@ -126,11 +180,17 @@ def best_match(a: DataFrame, b: DataFrame, keys: Sequence[str], row: Sequence[st
 
 
 def stab(points: DataFrame, spans: DataFrame, keys: Sequence[str], width: int, time: str = "t") -> DataFrame:
-    """Intervals that hold a point, both ends included."""
-    x = points.withColumn("__b", F.floor(F.col(time) / width))
-    first, last = F.floor(F.col("t0") / width), F.floor(F.col("t1") / width)
-    y = spans.withColumn("__b", F.explode(F.sequence(first, last)))
-    return x.join(y, [*keys, "__b"]).where((F.col(time) >= F.col("t0")) & (F.col(time) <= F.col("t1"))).drop("__b")
+    """Intervals that hold a point, both ends included; long ones stand in coarser grids, as in :func:`join`."""
+    y = levelled(spans.where("t1 >= t0"), width)
+    out = None
+    for n in [0, *long_levels(y)]:
+        wide = width * COARSER**n
+        first, last = F.floor(F.col("t0") / wide), F.floor(F.col("t1") / wide)
+        own = y.where(F.col("__level") == n).drop("__level").withColumn("__b", F.explode(F.sequence(first, last)))
+        x = points.withColumn("__b", F.floor(F.col(time) / wide))
+        met = x.join(own, [*keys, "__b"]).where((F.col(time) >= F.col("t0")) & (F.col(time) <= F.col("t1"))).drop("__b")
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 def sweep(df: DataFrame, keys: Sequence[str], counts: dict[str, Column]) -> DataFrame:

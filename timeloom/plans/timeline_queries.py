@@ -127,6 +127,54 @@ def never_on_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return never.groupBy("clip").agg(F.array_join(F.array_sort(F.collect_list("speaker")), ",").alias("speakers"))
 
 
+def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When a speaker's own face is seen: around two of three of its events; errors are seen on even days only."""
+    e = P.reference(spark, sf_dir).where("event_id % 3 <> 0 AND (speaker <> 'error' OR substring(clip, 10, 1) % 2 = 0)")
+    return e.select("clip", "speaker", (F.col("t0") - 20 * P.SECOND).alias("t0"), (F.col("t0") + (F.col("event_id") % 90 + 10) * P.SECOND).alias("t1"))
+
+
+SHOWN = f"""{P.REFERENCE}, shown AS (SELECT clip, speaker, t0 - 20000000 AS t0, t0 + (event_id % 90 + 10) * 1000000 AS t1 FROM ref WHERE event_id % 3 <> 0 AND (speaker <> 'error' OR CAST(clip[10] AS INTEGER) % 2 = 0)),
+s AS (SELECT r.event_id, r.clip, r.speaker, r.t0, r.t1, CAST(coalesce(sum(CASE WHEN f.t0 IS NOT NULL THEN least(r.t1, f.t1) - greatest(r.t0, f.t0) END), 0) AS BIGINT) AS shared FROM ref r LEFT JOIN shown f ON r.clip = f.clip AND r.speaker = f.speaker AND r.t0 < f.t1 AND f.t0 < r.t1 WHERE r.t1 > r.t0 GROUP BY ALL),
+o AS (SELECT *, shared * 2 >= t1 - t0 AS on_screen FROM s)"""
+
+
+def own_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments with the time in which their speaker is seen, each sighting counted for itself; half of the segment is on screen."""
+    rows = intervals.covered(P.reference(spark, sf_dir).where("t1 > t0"), shown(spark, sf_dir), ["clip", "speaker"], ["event_id"], 600 * P.SECOND)
+    return rows.withColumn("on_screen", F.col("shared") * 2 >= F.col("t1") - F.col("t0"))
+
+
+@query(f"WITH {SHOWN} SELECT event_id, clip, speaker, shared, on_screen FROM o")
+def speaker_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return own_screen(spark, sf_dir).select("event_id", "clip", "speaker", "shared", "on_screen")
+
+
+@query(f"WITH {SHOWN} SELECT clip, speaker, CAST(sum(CASE WHEN on_screen THEN t1 - t0 ELSE 0 END) AS BIGINT) AS on_us, CAST(sum(CASE WHEN on_screen THEN 0 ELSE t1 - t0 END) AS BIGINT) AS off_us, count(*) AS segments FROM o GROUP BY 1, 2")
+def screen_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time on and off screen by speaker."""
+    long = F.col("t1") - F.col("t0")
+    return own_screen(spark, sf_dir).groupBy("clip", "speaker").agg(F.sum(F.when(F.col("on_screen"), long).otherwise(0)).alias("on_us"), F.sum(F.when(F.col("on_screen"), 0).otherwise(long)).alias("off_us"), F.count("*").alias("segments"))
+
+
+@query(f"WITH {SHOWN} SELECT clip, string_agg(speaker, ',' ORDER BY speaker) AS speakers FROM (SELECT clip, speaker FROM o GROUP BY 1, 2 HAVING NOT bool_or(on_screen)) GROUP BY clip")
+def never_seen_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The speakers of each clip that are never on screen while they speak."""
+    never = screen_seconds(spark, sf_dir).where("on_us = 0 AND off_us > 0")
+    return never.groupBy("clip").agg(F.array_join(F.array_sort(F.collect_list("speaker")), ",").alias("speakers"))
+
+
+@query(f"""WITH {P.FRAMES}, b AS (SELECT user_id % 10 AS clip, user_id AS track, frame - user_id % 6 AS frame FROM frames), n AS (SELECT clip, 60 + clip * 11 AS n FROM b WHERE clip <> 7 GROUP BY clip)
+SELECT b.clip, b.frame, count(*) AS boxes, string_agg(CAST(track AS VARCHAR), ' ' ORDER BY track) AS tracks FROM b JOIN n ON n.clip = b.clip AND b.frame >= 0 AND b.frame < n GROUP BY 1, 2""")
+def draw_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tracks to draw on each frame that a clip has; clips of unknown length have none."""
+    u = F.col("user_id")
+    boxes = P.frames(spark, sf_dir).select((u % 10).alias("clip"), u.alias("track"), (F.col("frame") - u % 6).alias("f0"), (F.col("frame") - u % 6 + 1).alias("f1"))
+    sizes = boxes.where("clip <> 7").select("clip").distinct().withColumn("n", 60 + F.col("clip") * 11)
+    inside = intervals.within(boxes, sizes, ["clip"])
+    held = inside.groupBy("clip", F.col("f0").alias("frame")).agg(F.count("*").alias("boxes"), F.array_sort(F.collect_list("track")).alias("t"))  # a frame's faces
+    return held.select("clip", "frame", "boxes", F.array_join(F.col("t").cast("array<string>"), " ").alias("tracks"))
+
+
 @query(f"""WITH {P.REFERENCE}, total AS (SELECT clip, speaker, sum(t1 - t0) AS spoken FROM ref GROUP BY 1, 2), p AS (SELECT DISTINCT clip, unnest([t0, t1]) AS t FROM ref WHERE t1 > t0),
 s AS (SELECT clip, t AS t0, lead(t) OVER (PARTITION BY clip ORDER BY t) AS t1 FROM p),
 w AS (SELECT s.clip, s.t0, s.t1, r.speaker FROM s JOIN ref r ON r.clip = s.clip AND r.t0 <= s.t0 AND r.t1 >= s.t1 JOIN total ON total.clip = r.clip AND total.speaker = r.speaker WHERE s.t1 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY s.clip, s.t0 ORDER BY spoken DESC, r.speaker) = 1),
