@@ -222,10 +222,11 @@ def word_errors(reference: Column, hypothesis: Column) -> Column:
 
     Characters from U+10000 up are enough for texts of a million distinct words.
     """
-    pool = F.array_union(reference, hypothesis)
-    code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(pool, w) + 0x10000), 8, "0")), "UTF-32")
-    line = lambda ws: F.array_join(F.transform(ws, code), "")
-    return F.levenshtein(line(reference), line(hypothesis))
+    code = lambda pool, w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(pool, w) + 0x10000), 8, "0")), "UTF-32")
+    line = lambda pool, ws: F.array_join(F.transform(ws, lambda w: code(pool, w)), "")
+    # bound as an element, the pool is made once a pair and not once a word
+    pair = F.struct(F.array_union(reference, hypothesis).alias("pool"), reference.alias("r"), hypothesis.alias("h"))
+    return F.element_at(F.transform(F.array(pair), lambda p: F.levenshtein(line(p["pool"], p["r"]), line(p["pool"], p["h"]))), 1)
 
 
 def error_rate(errors: Column, length: Column) -> Column:

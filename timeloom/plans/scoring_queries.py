@@ -108,8 +108,8 @@ wer AS (SELECT clip, turn, len(r) AS n, row[len(h) + 1] AS errors FROM grid WHER
 
 @query(f"WITH RECURSIVE {TURNS} SELECT clip, turn, CAST(errors AS INTEGER) AS errors, round(CASE WHEN n > 0 THEN errors / n WHEN errors = 0 THEN 0 ELSE 1 END, 6) AS wer FROM wer")
 def wer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    errors = scoring.word_errors(F.col("r"), F.col("h"))
-    return turns(spark, sf_dir).select("clip", "turn", errors.alias("errors"), F.round(scoring.error_rate(errors, F.size("r")), 6).alias("wer"))
+    rated = turns(spark, sf_dir).select("clip", "turn", F.size("r").alias("n"), F.explode(F.array(scoring.word_errors(F.col("r"), F.col("h")))).alias("errors"))  # an explode, as Spark would put the expression where it is used
+    return rated.select("clip", "turn", "errors", F.round(scoring.error_rate(F.col("errors"), F.col("n")), 6).alias("wer"))
 
 
 @query(f"WITH RECURSIVE {TURNS} SELECT CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(n) AS BIGINT) AS words, round(sum(errors) / sum(n), 6) AS wer FROM wer")

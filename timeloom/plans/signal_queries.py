@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timeloom.functions import masks
 from timeloom.operators import signals
 
 from . import projections as P
@@ -45,3 +46,16 @@ r AS (SELECT *, least(6, i - 1, n - i) AS r FROM n) SELECT user_id, CAST(frame A
 def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = signals.moving_average(P.frames(spark, sf_dir), ["user_id"], "score", 6)
     return out.select("user_id", "frame", F.round("smoothed", 6).alias("smoothed"))
+
+
+@query("""WITH u AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT user_id % 16 AS batch, count(*) AS sequences, CAST(sum(n) AS BIGINT) AS frames, TRUE AS equal_counts, TRUE AS padding_open, TRUE AS some_open, TRUE AS full_width FROM u GROUP BY 1""")
+def span_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Span masks of a sequence a user, in batches: all of a batch mask as many frames, none of the padding and never all."""
+    u = P.table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("size")).withColumns({"batch": F.col("user_id") % 16, "width": F.col("size") + F.col("user_id") % 9})
+    spans = masks.Spans(0.4, 8, "uniform", other=2, least=1, overlap=False, space=3, equal="trim")
+    m = masks.batch_masks(u, "user_id", "size", spans, "batch", "width", seed=7)
+    count = F.size(F.filter("mask", lambda x: x))
+    return m.groupBy("batch").agg(
+        F.count("*").alias("sequences"), F.sum("size").alias("frames"), (F.min(count) == F.max(count)).alias("equal_counts"), F.bool_and(~F.exists(F.slice("mask", F.col("size").cast("int") + 1, (F.col("width") - F.col("size")).cast("int")), lambda x: x)).alias("padding_open"),
+        F.bool_and((count < F.col("size")) & ((count > 0) | (F.col("size") < 2))).alias("some_open"), F.bool_and(F.size("mask") == F.col("width")).alias("full_width"),
+    )
