@@ -272,7 +272,7 @@ def brute_licenses(text: str | None):
         width = license_scan.width_of(len(license_scan.words_of(template)))
         for b in range(0, len(words), width // 2):
             block = set(words[b : b + width])
-            if len(block & t) * 10 >= len(t) * 8:
+            if len(block & t) * 10 >= len(t) * 8 and t & set(license_scan.TELLING) <= block:
                 more.add(label)
                 best = max(best, len(block & t) / len(t))
     score = 1.0 if starts else best
@@ -296,6 +296,23 @@ def test_license_scan_equals_brute_force(spark, odd, none):
     assert license_scan.scan(none).count() == 0 and license_scan.scan(odd).count() == len(ODD)
 
 
+def test_notices_need_their_own_words(spark):
+    """Common words of a notice, scattered or with another name, state nothing."""
+    texts = [
+        "This package is released under the terms of the Apache license.",
+        "The film was released last year, under the old driving license rules.",
+        "Released under the MIT license, version of 2019.",
+        "This work is licensed under the GNU General Public License version 2.",
+        "This work is licensed under the GNU General Public License, version 3.",
+        "Licensed under the Apache License, Version 1.0",
+        "mit " + "filler " * 20 + "released under the license",
+    ]
+    found = {r.doc_id: r.labels for r in license_scan.scan(docs_of(spark, texts)).collect()}
+    assert found == {0: "", 1: "", 2: "mit", 3: "", 4: "gpl-3", 5: "", 6: ""}
+    other = {r.doc_id: r.labels for r in license_scan.scan(docs_of(spark, texts), telling=()).collect()}
+    assert other[0] == "mit" and other[3] == "gpl-3"
+
+
 def test_packing(spark, odd, none):
     assert packing.pack_documents(none, WORD).count() == 0
     rows = packing.pack_documents(odd, WORD, capacity=512).collect()
@@ -439,6 +456,8 @@ def test_top_k_equals_brute_force(spark):
             want |= {(q, n, i, -s) for n, (s, i) in enumerate(ranked, 1)}
     assert {tuple(r) for r in topk.search(d).collect()} == want
     assert topk.search(d.where("false")).count() == 0
+    blank = spark.createDataFrame([(0, []), (50, []), (3, [])], "vec_id bigint, embedding array<float>")
+    assert sorted(tuple(r) for r in topk.search(blank).collect()) == [(0, 1, 3, 0), (0, 2, 50, 0), (50, 1, 0, 0), (50, 2, 3, 0)]
 
 
 def test_top_k_of_huge_components(spark):

@@ -1,9 +1,10 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
 Blocks are windows of the text's words, each beginning half a block after the one before it, so that each run of
-words half as long lies whole in one of them.  Each template is looked for in blocks at least twice
+words half as long lies whole in one of them.  Each template is looked for in blocks two to four times
 as long as itself.  A block meets a template when it holds at least the threshold's
-share of the template's distinct words.  Words are put in the order of their frequency
+share of the template's distinct words, and all of those that tell the template from others: without its name a short notice is
+but common words.  Words are put in the order of their frequency
 over all texts, rare ones first, and only these candidates are verified:
 
 * length: a block with fewer of the templates' words than the overlap cannot meet one;
@@ -58,8 +59,10 @@ TEMPLATES = (
     ),
 )
 THRESHOLD = 0.8
+#: Words that a block must hold if its template has them.
+TELLING = ("mit", "apache", "gnu", "commons", "nc", "redistribution", "hereby", "2", "3")
 #: Words of the smallest block.
-BLOCK = 40
+BLOCK = 16
 
 
 def words_of(text: str) -> list[str]:
@@ -68,7 +71,7 @@ def words_of(text: str) -> list[str]:
 
 
 def width_of(words: int) -> int:
-    """Words of the blocks for a template of ``words`` words: ``BLOCK``, doubled until it is twice as long."""
+    """Words of the blocks for a template of ``words`` words: ``BLOCK``, doubled until that is twice as long."""
     width = BLOCK
     while width < 2 * words:
         width *= 2
@@ -109,8 +112,9 @@ def joined(labels: list[Column]) -> Column:
 class Templates:
     """Templates with their words in the order of their frequency over a corpus."""
 
-    def __init__(self, templates: Sequence[tuple[str, str]], frequency: dict[str, int], threshold: float) -> None:
+    def __init__(self, templates: Sequence[tuple[str, str]], frequency: dict[str, int], threshold: float, telling: Sequence[str]) -> None:
         self.labels = [label for label, _ in templates]
+        self.needs = [sorted(set(words_of(t)) & set(telling)) for _, t in templates]
         self.words = [sorted(set(words_of(t)), key=lambda w: (frequency.get(w, 0), w)) for _, t in templates]
         #: Words that a block must share, from the share in integers of a millionth.
         self.overlap = [-(-len(w) * round(threshold * 10**6) // 10**6) for w in self.words]
@@ -149,8 +153,8 @@ def blocks_of(padded: Column, known: Templates, width: int) -> Column:
 def matches(blocks: DataFrame, known: Templates) -> DataFrame:
     """``uid, label, containment`` of every block and template that meet; blocks: uid, block, words."""
     spark = blocks.sparkSession
-    rows = [(w, t, i, len(known.words[t]), known.overlap[t], known.labels[t], known.words[t]) for t, ws in enumerate(known.prefix) for i, w in enumerate(ws)]
-    index = spark.createDataFrame(rows, "word string, template int, place int, size int, overlap int, label string, template_words array<string>")
+    rows = [(w, t, i, len(known.words[t]), known.overlap[t], known.labels[t], known.words[t], known.needs[t]) for t, ws in enumerate(known.prefix) for i, w in enumerate(ws)]
+    index = spark.createDataFrame(rows, "word string, template int, place int, size int, overlap int, label string, template_words array<string>, needs array<string>")
     least = min(known.overlap, default=1)
     long_enough = blocks.where(F.size("words") >= least)
     # the longest prefix that any template asks for; each template's own is checked after the join
@@ -160,24 +164,25 @@ def matches(blocks: DataFrame, known: Templates) -> DataFrame:
     met = met.where((size >= F.col("overlap")) & (F.col("at") <= size - F.col("overlap")))
     met = met.where(1 + F.least(size - F.col("at") - 1, F.col("size") - F.col("place") - 1) >= F.col("overlap"))
     shared = F.size(F.array_intersect("words", "template_words"))
-    verified = met.select("uid", "label", "overlap", "size", shared.alias("shared")).where("shared >= overlap")
+    named = met.where(F.size(F.array_except("needs", "words")) == 0)
+    verified = named.select("uid", "label", "overlap", "size", shared.alias("shared")).where("shared >= overlap")
     return verified.select("uid", "label", (F.col("shared") / F.col("size")).alias("containment"))
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, telling: Sequence[str] = TELLING) -> DataFrame:
     """Licenses that each text states, by phrases and by template containment.
 
     Columns ``key``, ``n_words``, ``n_base`` (places of the phrases), ``first_word`` and ``last_word`` (the
     smallest and largest start of one, else null), ``base_labels``, ``labels`` (with the templates'; both
     distinct, sorted, joined by commas, empty without any) and ``score``: 1 where a phrase stands, else the largest
-    containment of a template that a block meets, else 0.  A null text counts as empty;
+    containment of a template that a block meets, else 0.  A block meets a template only with all words of ``telling`` that the template has.  A null text counts as empty;
     rows that repeat a key stay separate; other columns are ignored.  Texts of any length are scanned whole.  A template that several
     blocks or copies meet counts once; without ``templates`` only phrases count.  An empty table gives no rows.
     """
     padded = df.select(df[key].alias("key"), spaced(df[text]).alias("padded"))
     frequency = frequencies(padded, sorted({w for _, t in templates for w in words_of(t)}))
     widths = sorted({width_of(len(words_of(t))) for _, t in templates}) or [BLOCK]
-    known = {x: Templates([(label, t) for label, t in templates if width_of(len(words_of(t))) == x], frequency, threshold) for x in widths}
+    known = {x: Templates([(label, t) for label, t in templates if width_of(len(words_of(t))) == x], frequency, threshold, telling) for x in widths}
     phrases = [(label, *found(F.col("padded"), phrase, F.col("backwards"))) for label, phrase in PHRASES]
     rows = padded.withColumn("backwards", F.reverse("padded"))
     base = materialise(

@@ -61,12 +61,12 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TEMPLATE_ROWS = ", ".join(
-    f"('{label}', {license_scan.width_of(len(words))}, list_distinct(string_split('{' '.join(words)}', ' ')))"
+    f"('{label}', {license_scan.width_of(len(words))}, list_distinct(string_split('{' '.join(words)}', ' ')), list_filter(string_split('{' '.join(sorted(set(words) & set(license_scan.TELLING)))}', ' '), lambda w: w <> ''))"
     for label, words in ((label, license_scan.words_of(text)) for label, text in license_scan.TEMPLATES)
 )
 PHRASE_ROWS = ", ".join(f"('{label}', ' {text} ')" for label, text in license_scan.PHRASES)
 OP6_SQL = rf"""
-WITH t(label, width, words) AS (VALUES {TEMPLATE_ROWS}), p(label, phrase) AS (VALUES {PHRASE_ROWS}),
+WITH t(label, width, words, needs) AS (VALUES {TEMPLATE_ROWS}), p(label, phrase) AS (VALUES {PHRASE_ROWS}),
 d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
   '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
 s AS (SELECT doc_id, len(w) AS n_words, label, unnest(list_filter(range(0, len(w)),
@@ -75,7 +75,7 @@ s AS (SELECT doc_id, len(w) AS n_words, label, unnest(list_filter(range(0, len(w
 b AS (SELECT doc_id, width, unnest(list_transform(range(0, (len(w) + h - 1) // h), lambda i: list_distinct(w[h * i + 1:h * i + width]))) AS w
   FROM d, (SELECT DISTINCT width, width // 2 AS h FROM t)),
 m AS (SELECT doc_id, label, max(len(list_intersect(b.w, t.words)) / len(t.words)) AS c FROM b, t
-  WHERE b.width = t.width AND len(list_intersect(b.w, t.words)) * 1000000 >= len(t.words) * 800000 GROUP BY ALL),
+  WHERE b.width = t.width AND len(list_intersect(b.w, t.words)) * 1000000 >= len(t.words) * 800000 AND len(list_intersect(b.w, t.needs)) = len(t.needs) GROUP BY ALL),
 x AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM s GROUP BY doc_id),
 y AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM s UNION SELECT doc_id, label FROM m) GROUP BY doc_id),
 z AS (SELECT doc_id, max(c) AS c FROM m GROUP BY doc_id)

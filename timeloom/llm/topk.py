@@ -31,7 +31,7 @@ def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     lists = column.combine_chunks()
     lengths = np.diff(lists.offsets.to_numpy())
     values = lists.flatten().to_numpy(zero_copy_only=False)
-    if len(lengths) and (lengths == width).all():
+    if width and len(lengths) and (lengths == width).all():
         return values.reshape(-1, width)
     out = np.zeros((len(lengths), width), np.int64)
     out[np.arange(width) < lengths[:, None]] = values
@@ -130,7 +130,7 @@ def search(df: DataFrame, k: int = 5, every: int = 50, scale: int = 256, key: st
     Queries are the rows whose id is divisible by ``every``.  Columns ``query_id``, ``rank`` (from
     1), ``vec_id`` and ``score``; ties go to the smaller id.  Rows whose id is null, or whose vector
     is null or has null or non-finite components, take no part; of vectors of unequal lengths
-    the missing components count as 0.  Rows that repeat an id are candidates and queries each
+    the missing components count as 0, so an empty vector scores 0 with every other.  Rows that repeat an id are candidates and queries each
     for itself, but never for a row of the same id.  Scores beyond a long stop at its limits.
     """
     rows = scaled(df, key, vector, scale)
