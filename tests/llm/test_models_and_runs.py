@@ -167,15 +167,35 @@ def test_model_tables(odd, none, spark):
     assert kneser_ney.score(none, model).count() == 0
 
 
-def test_only_mounted_folders(tmp_path):
-    with pytest.raises(ValueError, match="mounted"):
-        hash_store.mounted("s3a://bucket/model")
-    assert hash_store.mounted("file:///a%20b/c") == "/a b/c"
-    table = hash_store.Table(str(tmp_path), 2, ("u4", "u8"))
+def test_tables_of_folders_and_stores(tmp_path):
+    assert hash_store.mounted("s3a://bucket/model") is None and hash_store.mounted("file:///a%20b/c") == "/a b/c"
     keys = np.array([1, 5, 2**62 - 1], np.uint64)
-    table.write(0, keys, (np.array([1, 2, 3]), np.array([4, 5, 6])))
-    there, place, (a, b) = table.find(np.array([1, 2, 2**62 - 1, 2**63], np.uint64))
-    assert there.tolist() == [True, False, True, False] and place[there].tolist() == [0, 2] and a.tolist() == [1, 0, 3, 0] and b.tolist() == [4, 0, 6, 0]
+    for folder in (str(tmp_path / "x y"), f"file://{tmp_path}/z"):
+        table = hash_store.Table(folder, 2, ("u4", "u8"))
+        table.write(0, keys, (np.array([1, 2, 3]), np.array([4, 5, 6])))
+        there, place, (a, b) = table.find(np.array([1, 2, 2**62 - 1, 2**63], np.uint64))
+        assert there.tolist() == [True, False, True, False] and place[there].tolist() == [0, 2] and a.tolist() == [1, 0, 3, 0] and b.tolist() == [4, 0, 6, 0]
+
+
+def test_a_store_that_is_not_mounted(tmp_path, monkeypatch):
+    monkeypatch.setattr(hash_store, "mounted", lambda uri: None)
+    table = hash_store.Table(f"file://{tmp_path}/far", 1, ("u4",))
+    table.write(1, np.array([2**63, 2**64 - 1], np.uint64), (np.array([7, 8]),))
+    assert table.look_up(np.array([2**64 - 1, 3, 2**63, 2**64 - 1], np.uint64))[0].tolist() == [8, 0, 7, 8]
+
+
+def test_repeated_keys(spark, tmp_path, monkeypatch):
+    """Counts over tasks, with flushes inside them, of keys that come once, often and everywhere."""
+    monkeypatch.setattr(hash_store, "GATHERED", 50)
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**63, 400).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    rows = [(i, int(pool[int(j)].view(np.int64))) for i, j in enumerate(np.concatenate([rng.integers(0, 400, 700), np.zeros(300, int)]))]
+    df = spark.createDataFrame(rows, "i int, k bigint").repartition(7)
+    table = hash_store.repeated(df, lambda batch: iter([batch.column(1).to_numpy().view(np.uint64)]), str(tmp_path / "t"), 3)
+    want = Counter(np.uint64(np.int64(k).view(np.uint64)) for _, k in rows)
+    found = table.look_up(hash_store.short(pool))[0]
+    assert found.tolist() == [want[k] if want[k] > 1 else 0 for k in pool] and found.max() > 300 and (found == 0).any()
+    assert (hash_store.unpacked(hash_store.packed(hash_store.short(pool))) == hash_store.short(pool)).all()
 
 
 def brute_runs(w: list, shortest: int) -> list[tuple[int, int, int]]:

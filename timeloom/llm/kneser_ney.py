@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_path, materialise, slices, small_batches, spread, utf8
-from .hash_store import Table, mounted, shard_of
+from .hash_store import Table, shard_of
 from .hashing import mix, range_hashes
 from .words import split
 
@@ -107,7 +107,9 @@ def gathered(batches: Iterator[pa.RecordBatch], n_columns: int) -> dict[int, lis
     for batch in batches:
         part, *rest = (c.to_numpy() for c in batch.columns)
         order = np.argsort(part, kind="stable")
-        begins = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1]])) if len(part) else np.zeros(0, np.int64)
+        if not len(part):
+            continue
+        begins = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1]]))
         for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(part)], strict=True):
             own = tuple(c[order[lo:hi]] for c in rest)
             out.setdefault(int(part[order[lo]]), []).append((own[:n_columns], own[n_columns:]))
@@ -344,7 +346,7 @@ def fit(df: DataFrame, text: str = "text", order: int = 2, folder: str | None =
 
     Texts are lower-cased (A-Z); tokens are the words between ASCII blanks, and an end after each text.  A null text is an empty
     one, which still has its end.  Repeated rows count as often as they stand there; an empty table gives a model for which each
-    token has probability 1.  ``folder`` (by default one in ``spark.checkpoint.dir``) must be mounted on all executors.
+    token has probability 1.  ``folder`` (by default one in ``spark.checkpoint.dir``) is shared by all executors: files of a mounted one are mapped into memory, those of a store are read shard by shard.
 
     Words and n-grams are told apart by 64 bits; where two have the same, all is counted anew under another seed.
     """
@@ -356,7 +358,7 @@ def fit(df: DataFrame, text: str = "text", order: int = 2, folder: str | None =
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = max(6, int(size // 6 // SHARD).bit_length())
     for seed in range(8):
-        base = mounted(folder or fresh_path(spark, "kneser-ney")) + f"/{seed}"
+        base = (folder or fresh_path(spark, "kneser-ney")) + f"/{seed}"
         try:
             return learn_grams(texts, learn_words(texts, Model(order, seed, Table(f"{base}-words", bits, ("u8",)), ())))
         except Clash:

@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, small_batches, spread, utf8
+from .common import fresh_path, materialise, slices, small_batches, spread, utf8
+from .hash_store import Table, repeated, short
 from .hashing import MIX, MIX2, mix, range_hashes
 
 #: White space that parts words: blank and \x09 to \x0d.
@@ -43,6 +44,8 @@ LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 BROADCAST_ROWS = 2_000_000
 #: Added to the seed of hashes that check the others.
 CHECK = 1 << 20
+#: Keys of a shard of the tables that count signatures and cells.
+SHARD = 1 << 21
 #: Members of a cell up to which their pairs are listed, and members of a block beyond that.
 FEW, MEMBERS = 8, 400
 #: Cells of a group, one of which is left out of each signature: three where sets are small and two
@@ -305,13 +308,28 @@ def sizes_and_hashes(docs: DataFrame, words: int, seed: int) -> DataFrame:
     return over_sets(docs, words, (seed, CHECK + seed), "key bigint, n bigint, h1 bigint, h2 bigint", make)
 
 
-def signed(docs: DataFrame, words: int, seed: int, like: Similarity) -> DataFrame:
-    """A row for each signature of each document."""
+def set_slices(batch: pa.RecordBatch, words: int, seed: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slices of rows whose last column is a text, with their sets."""
+    data, offsets = utf8(batch.column(batch.num_columns - 1))
+    for lo, hi in slices(offsets):
+        yield lo, hi, *shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words, seed)
+
+
+def shared_signatures(docs: DataFrame, words: int, seed: int, like: Similarity, bits: int) -> Table:
+    """Signatures of more than one document, and a few that are taken for such."""
+    keys = lambda batch: (signatures(elements, at, like)[1] for _, _, elements, at in set_slices(batch, words, seed))
+    small_batches(docs.sparkSession)
+    return repeated(docs, keys, fresh_path(docs.sparkSession, "signatures"), bits)
+
+
+def signed(docs: DataFrame, words: int, seed: int, like: Similarity, shared: Table) -> DataFrame:
+    """A row for each signature of each document that others may have."""
 
     def make(batch: pa.RecordBatch, elements: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
         h = set_hashes(elements, at)
         owner, found = signatures(elements, at, like)
-        return record(["sig", "h1"], found, h[owner])
+        often = shared.look_up(short(found))[0] > 1
+        return record(["sig", "h1"], found[often], h[owner[often]])
 
     return over_sets(docs, words, (seed,), "sig bigint, h1 bigint", make)
 
@@ -322,15 +340,30 @@ def candidates(docs: DataFrame, wanted: DataFrame, many: int) -> DataFrame:
     return docs.join(side, docs["key"].eqNullSafe(side["rep"])).select("h1", "text")
 
 
-def celled(texts: DataFrame, words: int, seed: int, like: Similarity) -> DataFrame:
-    """``h1, scheme, bound, cell`` of each class."""
+def prefixes(texts: DataFrame, words: int, seed: int, like: Similarity, bits: int) -> DataFrame:
+    """``cell, h1, scheme, common``: the rarest cells of each class and scheme, one more than may differ.
+
+    Sets that agree in all but ``bound`` of their cells share one of these.  A cell that no other class
+    has fills a place but needs no row; a class with too many such cells has no partner at all.
+    """
+    keys = lambda batch: (fine_cells(elements, at, like)[3] for _, _, elements, at in set_slices(batch, words, seed))
+    small_batches(texts.sparkSession)
+    often = repeated(texts, keys, fresh_path(texts.sparkSession, "cells"), bits)
 
     def make(batch: pa.RecordBatch, elements: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
         ids = batch.column(0).to_numpy()
         owner, scheme, bound, cell = fine_cells(elements, at, like)
-        return record(["h1", "scheme", "bound", "cell"], ids[owner], scheme.astype(np.int32), bound.astype(np.int32), cell)
+        freq = often.look_up(short(cell))[0]
+        group, n = np.unique(owner * 2 + scheme, return_inverse=True, return_counts=True)[1:]
+        known = np.bincount(group, freq > 1, len(n)).astype(np.int64)
+        # the rarest first; frequencies are the same for all sets, so similar sets order alike
+        order = np.lexsort((cell, freq, group))
+        order = order[freq[order] > 1]
+        place = np.arange(len(order)) - (np.cumsum(known) - known)[group[order]]
+        taken = order[place < bound[order] + 1 - (n - known)[group[order]]]
+        return record(["cell", "h1", "scheme", "common"], cell[taken], ids[owner[taken]], scheme[taken].astype(np.int32), known[group[taken]].astype(np.int32))
 
-    return over_sets(texts, words, (seed,), "h1 bigint, scheme int, bound int, cell bigint", make)
+    return over_sets(texts, words, (seed,), "cell bigint, h1 bigint, scheme int, common int", make)
 
 
 def matching(texts: DataFrame, words: int, seed: int) -> DataFrame:
@@ -343,20 +376,6 @@ def matching(texts: DataFrame, words: int, seed: int) -> DataFrame:
     return over_sets(texts, words, (seed,), "h1 bigint, text string", make)
 
 
-def prefixes(cells: DataFrame) -> DataFrame:
-    """``cell, h1, scheme, common``: the rarest cells of each class and scheme, one more than may differ.
-
-    Sets that agree in all but ``bound`` of their cells share one of these.  A cell that no other class
-    has fills a place but needs no row; a class with too many such cells has no partner at all.
-    """
-    often = cells.groupBy("cell").agg(F.count("*").alias("freq")).where("freq > 1")
-    size = cells.groupBy("h1", "scheme").agg(F.count("*").alias("n"), F.first("bound").alias("bound"))
-    shared = cells.join(often, "cell").groupBy("h1", "scheme").agg(F.sort_array(F.collect_list(F.struct("freq", "cell"))).alias("shared"))
-    row = size.join(shared, ["h1", "scheme"]).withColumn("take", F.col("bound") + 1 - (F.col("n") - F.size("shared")))
-    row = row.where("take > 0").select("h1", "scheme", F.size("shared").alias("common"), F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("c"))
-    return row.select(F.col("c.cell").alias("cell"), "h1", "scheme", "common")
-
-
 def verified(pairs: DataFrame, texts: DataFrame, words: int, like: Similarity) -> DataFrame:
     """The pairs ``a, b`` whose sets are similar, by word hashes of their own: what collides in signatures does not here."""
     left = texts.select(F.col("h1").alias("a"), F.col("text").alias("x"))
@@ -467,9 +486,9 @@ def close_pairs(members: DataFrame, texts: DataFrame, words: int, seed: int, lik
     return rows.groupBy("cell", "lo", "hi").applyInArrow(compare, "a bigint, b bigint")
 
 
-def links(texts: DataFrame, words: int, seed: int, like: Similarity) -> DataFrame:
+def links(texts: DataFrame, words: int, seed: int, like: Similarity, bits: int) -> DataFrame:
     """Enough links (``a, b``) between classes to span their components, each verified."""
-    rows = materialise(prefixes(celled(texts, words, seed, like)), "prefixes")
+    rows = materialise(prefixes(texts, words, seed, like, bits), "prefixes")
     groups = rows.groupBy("cell").agg(F.max_by("h1", F.struct("common", "h1")).alias("leader"), F.count("*").alias("n")).where("n > 1")
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     stars = rows.join(groups, "cell").where("h1 <> leader").select(*pair("h1", "leader")).distinct()
@@ -507,15 +526,15 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3,
             break
     else:
         raise RuntimeError("sets that cannot be told apart by 128-bit hashes")
-    rows = signed(docs, words, seed, like)
-    shared = materialise(rows.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig"), "signatures")
-    side = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
-    hits = materialise(rows.join(side, "sig").distinct(), "hits")
+    # a shingle has about two signatures
+    bits = max(6, int((summary.agg(F.sum("n")).first()[0] or 0) * 2 // SHARD).bit_length())
+    hits = signed(docs, words, seed, like, shared_signatures(docs, words, seed, like, bits))
+    hits = materialise(hits.distinct(), "hits")
     met = hits.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
     wanted = materialise(hits.join(met, "sig").select("h1").distinct().join(classes, "h1").select("h1", "rep"), "wanted")
     texts = matching(candidates(docs, wanted, wanted.count()), words, seed)
     texts = materialise(texts.groupBy("h1").agg(F.first("text").alias("text")), "texts")
-    part = components(links(texts, words, seed, like))
+    part = components(links(texts, words, seed, like, bits))
     named = part.join(classes.select(F.col("h1").alias("id"), "rep"), "id")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     linked = named.join(least, "component").select(F.col("id").alias("h1"), "component_id")
