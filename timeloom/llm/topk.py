@@ -4,11 +4,14 @@ The candidates fall into blocks.  Within a block every dimension has its list
 of candidates sorted by component; a query reads each list from the end that
 suits the sign of its own component, one stretch of entries after the other.
 What was read of a candidate, and the worst that its unread lists can hold, is
-its lower bound, kept up to date by the entries read; with the last entries
+its lower bound; with the last entries
 read instead of the worst ones it is its upper bound.  Candidates whose upper
-bound is under the k-th best lower bound are out for good.  When those of which
-nothing was read cannot qualify either and few are left, reading stops and the scores of
-those few are resolved.
+bound is under the k-th best lower bound are out for good, those of which nothing was read among them.  When
+few are left, reading stops and the scores of those few are resolved.
+
+Queries read in step: after a stretch all that was read is the same for all of them, each
+from its own ends, so the bounds of many queries are two matrix products, of what stands for a component after so many entries
+from the top (and from the bottom) with the positive (and the negative) components of the queries.
 """
 
 from __future__ import annotations
@@ -20,8 +23,12 @@ from pyspark.sql import functions as F
 
 #: Candidates in a block, and queries in a block.
 CANDIDATES, QUERIES = 8192, 2048
+#: Queries whose bounds are kept at a time.
+TOGETHER = 128
 #: The first stretch is this share of a list; each later one is as long as all before it.
 STRETCH = 64
+#: Bound of a candidate that is out.
+NEVER = -np.inf
 #: Sums of whole numbers under this are exact in double precision; beyond it Python's own integers are used.
 WIDE = 1 << 53
 
@@ -42,79 +49,70 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def added(who: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """What each of ``n`` candidates gets of ``values``."""
-    if values.dtype != object:
-        return np.bincount(who.ravel(), values.ravel(), n)
-    out = np.zeros(n, object)
-    np.add.at(out, who.ravel(), values.ravel())
-    return out
-
-
 class Block:
     """Sorted lists of a block of candidates."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
         self.ids, self.rows = ids, rows
-        self.order = np.argsort(rows, axis=0, kind="stable")  # ascending; read from either end
-        self.lists = np.take_along_axis(rows, self.order, axis=0)
+        n = len(rows)
+        order = np.argsort(rows, axis=0, kind="stable")  # ascending; read from either end
+        self.lists = np.take_along_axis(rows, order, axis=0)
+        #: Each candidate's place in each list, from the bottom.
+        self.place = np.empty(rows.shape, np.int32)
+        np.put_along_axis(self.place, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
         self.peak = int(np.abs(rows.astype(np.float64)).max(initial=0)) + 1
         #: List entries that queries have read.
         self.read = 0
 
+    def standing(self, depth: int, worst: bool, live: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """What stands for each component after ``depth`` entries of every list, from the top and from the bottom: itself once it was read, before
+        that the worst that it can be or the last entry read."""
+        n = len(self.rows)
+        rows, place = self.rows[live].astype(kind), self.place[live]
+        top, bottom = self.lists[0 if worst else n - depth], self.lists[-1 if worst else depth - 1]
+        return np.where(place >= n - depth, rows, top.astype(kind)), np.where(place < depth, rows, bottom.astype(kind))
+
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query id, candidate id, score) of each query's k best other candidates."""
         out = []
-        for own, query in zip(query_ids, queries, strict=True):
-            peak = self.peak * (int(np.abs(query.astype(np.float64)).max(initial=0)) + 1) * max(len(query), 1)
-            weights = query.astype(np.float64 if peak < WIDE else object)
-            left = self._aggregate(weights, self.ids != own, k)
-            scores = self.rows[left].astype(weights.dtype) @ weights
-            if weights.dtype == object:
-                scores = np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in scores], np.int64)
-            scores = scores.astype(np.int64)
-            top = best(self.ids[left], scores, k)
-            out.append((np.full(len(top), own), self.ids[left][top], scores[top]))
+        for at in range(0, len(queries), TOGETHER):
+            own, some = query_ids[at : at + TOGETHER], queries[at : at + TOGETHER]
+            peak = self.peak * (int(np.abs(some.astype(np.float64)).max(initial=0)) + 1) * max(queries.shape[1], 1)
+            weights = some.astype(np.float64 if peak < WIDE else object)
+            left = self._aggregate(weights, self.ids[:, None] != own, k)
+            for q in range(len(own)):
+                found = np.flatnonzero(left[:, q])
+                scores = self.rows[found].astype(weights.dtype) @ weights[q]
+                if weights.dtype == object:
+                    scores = np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in scores], np.int64)
+                scores = scores.astype(np.int64)
+                top = best(self.ids[found], scores, k)
+                out.append((np.full(len(top), own[q]), self.ids[found][top], scores[top]))
         if not out:
             return (np.zeros(0, np.int64),) * 3
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def stretch(self, lo: int, hi: int, up: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Candidates and values at places ``lo`` to ``hi`` of all lists: those of ``up`` from the top, those of ``down`` from the bottom."""
-        n = len(self.ids)
-        parts = [(x[n - hi : n - lo][::-1][:, up], x[lo:hi][:, down]) for x in (self.order, self.lists)]
-        return tuple(np.concatenate(p, axis=1) for p in parts)
-
-    def _aggregate(self, weights: np.ndarray, allowed: np.ndarray, k: int) -> np.ndarray:
-        """The candidates that are left when reading stops."""
+    def _aggregate(self, weights: np.ndarray, alive: np.ndarray, k: int) -> np.ndarray:
+        """Which candidates (rows) are left for which queries (columns) when reading stops."""
         n = len(self.ids)
-        up, down = np.flatnonzero(weights > 0), np.flatnonzero(weights < 0)
-        dims = np.concatenate([up, down])
-        w = weights[dims]
-        worst = w * np.concatenate([self.lists[0][up], self.lists[-1][down]]) if n else w
-        seen = np.zeros((n, len(dims)), bool)
-        known = np.zeros(n, weights.dtype)  # what was read of a candidate
-        floor = np.full(n, worst.sum() if len(dims) else 0, weights.dtype)  # the worst of what was not
-        live = np.flatnonzero(allowed)
-        depth = 0
-        while depth < n and len(live) > k and len(dims):
-            lo, depth = depth, min(n, max(2 * depth, n // STRETCH, 1))
-            who, values = self.stretch(lo, depth, up, down)
-            self.read += who.size
-            seen[who, np.arange(len(dims))] = True
-            known += added(who, values * w, n)
-            floor -= added(who, np.broadcast_to(worst, who.shape), n)
-            last = w * values[-1]
-            lower = known[live] + floor[live]
-            bar = np.sort(lower)[len(lower) - k] if weights.dtype == object else np.partition(lower, len(lower) - k)[len(lower) - k]
-            some = seen[live].any(1)
-            upper = np.full(len(live), last.sum(), weights.dtype)  # of those of which nothing was read
-            upper[some] = known[live[some]] + (~seen[live[some]]).astype(weights.dtype) @ last
-            unread = bool((~some).any()) and last.sum() >= bar
-            live = live[upper >= bar]
-            if not unread and len(live) <= 8 * k:
-                break
-        return live
+        up, down = np.maximum(weights, 0).T, np.minimum(weights, 0).T
+        lists = (weights != 0).sum(1)
+        depth, asking = 0, np.flatnonzero((alive.sum(0) > k) & (lists > 0))
+        while depth < n and len(asking):
+            self.read += int(lists[asking].sum()) * (-depth + (depth := min(n, max(2 * depth, n // STRETCH, 1))))
+            live = np.flatnonzero(alive[:, asking].any(1))
+            of = np.ix_(live, asking)
+            bounds = []
+            for worst in (True, False):
+                high, low = self.standing(depth, worst, live, weights.dtype.type)
+                found = high @ up[:, asking] + low @ down[:, asking]
+                found[~alive[of]] = NEVER if weights.dtype != object else -(1 << 200)
+                bounds.append(found)
+            lower, upper = bounds
+            bar = np.sort(lower, axis=0)[len(live) - k] if weights.dtype == object else np.partition(lower, len(live) - k, axis=0)[len(live) - k]
+            alive[of] &= upper >= bar
+            asking = asking[alive[:, asking].sum(0) > 8 * k]
+        return alive
 
 
 def scaled(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
