@@ -11,6 +11,7 @@ from timeloom.sources import sinks
 from . import projections as P
 from . import scoring
 from .registry import registry
+from .scoring_queries import ALL, MERGED, der_sql
 
 QUERIES, SQL, query = registry()
 NAMES = ("<sos>", "▁a", "b", "<space>", "<eos>")
@@ -81,13 +82,20 @@ def regression_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.regression_debug(rows, tracks, "doc_id", 0.35, 0.4)
 
 
-@query()
+#: Seconds as JSON writers print large numbers: a digit, the others, and the power of ten.
+JSON_SECONDS = lambda c: f"(CAST({c} AS VCHAR)[1] || '.' || CASE WHEN rtrim(substr(CAST({c} AS VCHAR), 2), '0') = '' THEN '0' ELSE rtrim(substr(CAST({c} AS VCHAR), 2), '0') END || 'E' || (length(CAST({c} AS VCHAR)) - 7))".replace("VCHAR", "VARCHAR")
+
+
+@query(f"""WITH {P.REFERENCE}, n AS (SELECT clip, t0, t1, speaker, row_number() OVER (PARTITION BY clip ORDER BY t0, t1, speaker) - 1 AS i FROM ref WHERE t1 > t0)
+SELECT clip, '{{"metadata":{{' || string_agg('"' || i || '":{{"vid":"1","z":[' || {JSON_SECONDS('t0')} || ',' || {JSON_SECONDS('t1')} || '],"av":{{"1":"' || speaker || '"}}}}', ',' ORDER BY i) || '}}}}' AS value FROM n GROUP BY clip""")
 def annotation_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An annotation project for each clip."""
     return sinks.project_json(P.reference(spark, sf_dir).where("t1 > t0"), ["clip"])
 
 
-@query()
+@query(f"""WITH d AS (WITH {MERGED}, {der_sql('rm', 'hm', ALL)}), {P.REFERENCE}, {P.HYPOTHESIS}, m AS (SELECT count(*) AS n, {', '.join(f'round(avg({c}), 4) AS a_{c}, round(sum({c} * total_us) / sum(total_us), 4) AS i_{c}' for c in scoring.SCORES)},
+list(struct_pack(clip := clip, {', '.join(f'{c} := CAST({c} AS DOUBLE)' for c in scoring.SCORES)}, total_us := total_us) ORDER BY clip) AS per_clip FROM d), g AS (SELECT coalesce(list(DISTINCT clip ORDER BY clip), []) AS skipped FROM hyp WHERE clip NOT IN (SELECT clip FROM ref))
+SELECT CAST(to_json(struct_pack(collar := 0.0 :: DOUBLE, n_clips := n, per_clip := per_clip, macro := struct_pack({', '.join(f'{c} := CAST(a_{c} AS DOUBLE)' for c in scoring.SCORES)}), micro := struct_pack({', '.join(f'{c} := CAST(i_{c} AS DOUBLE)' for c in scoring.SCORES)}), skipped := skipped)) AS VARCHAR) AS value FROM m, g""")
 def report_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole report of all clips as one JSON object."""
     r, h = P.reference(spark, sf_dir), P.hypothesis(spark, sf_dir)

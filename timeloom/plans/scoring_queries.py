@@ -189,13 +189,22 @@ SQL["jer_per_clip"] = f"WITH RECURSIVE {MERGED}, {JER_PAIRS} SELECT clip, jer FR
 SQL["der_markdown"] = f"WITH {MERGED}, {der_sql('rm', 'hm', MARKDOWN)}"
 
 
-@query()
+WHOLE = f"""SELECT d.*, jer, round(d.der - v.der, 6) AS overlap_der FROM (WITH {MERGED}, {der_sql('rm', 'hm', ALL)}) d
+JOIN (WITH {MERGED}, {REGION.format(c=0, skip='TRUE')}, {der_sql('rr', 'hh', ALL)}) v ON v.clip = d.clip JOIN ({SQL['jer_per_clip']}) j ON j.clip = d.clip"""
+SHOWN = ("der", "jer", "miss", "fa", "conf", "overlap_der")
+WIDE_LINE = lambda name, columns: f"'| ' || {name} || ' | ' || " + " || ' | ' || ".join(TWO(c) for c in columns) + " || ' |'"
+WHOLE_TEXT = f"""WITH w AS ({WHOLE}), {P.REFERENCE}, {P.HYPOTHESIS} SELECT 0 AS part, '' AS name, '| clip | DER | JER | miss | FA | confusion | overlap DER |' AS line UNION ALL SELECT 1, clip, {WIDE_LINE('clip', SHOWN)} FROM w
+UNION ALL SELECT 2, 'macro', {WIDE_LINE("'**macro**'", [f'round(avg({c}), 4)' for c in SHOWN])} FROM w UNION ALL SELECT 3, 'micro', {WIDE_LINE("'**micro**'", [f'round(sum({c} * total_us) / sum(total_us), 4)' for c in SHOWN])} FROM w
+UNION ALL SELECT DISTINCT 4, clip, '- skipped: ' || clip FROM hyp WHERE clip NOT IN (SELECT clip FROM ref WHERE event_id % 2 = 0)""" + "".join(f" UNION ALL SELECT 5, '{i:02d}', '- {line}'" for i, line in enumerate(scoring.DEFINITIONS))
+
+
+@query(WHOLE)
 def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error rates, Jaccard errors and what overlapped speech adds, by clip."""
     return scoring.full_scores(*PAIR(spark, sf_dir))
 
 
-@query()
+@query(WHOLE_TEXT)
 def full_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report as a table of text, with skipped clips and definitions."""
     r, h = PAIR(spark, sf_dir)
