@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, small_batches
+from .common import fresh_path, materialise, small_batches
 
 #: Header fields of a record by ARC version (fixed values).
 ARC_FIELDS = {
@@ -82,34 +82,39 @@ def arc_file(version: int, records: Iterable[dict[str, str | bytes]], name: str
     return out.getvalue()
 
 
-def read_arc(data: bytes) -> Iterator[ArcRecord]:
-    """All records of an ARC file, the version block first."""
+def arc_records(stream: io.BufferedIOBase) -> Iterator[tuple[int, ArcRecord]]:
+    """(Offset, record) of an ARC file, the version block first; no more than one record is held."""
     at, version = 0, 0
-    while at < len(data):
-        end = data.find(b"\n", at)
-        if end < 0:
-            raise ArchiveError("a header line without an end")
-        line = data[at:end].decode("utf-8", "replace").rstrip("\r")
-        if not line:
-            at = end + 1
+    while line := stream.readline():
+        begins, at = at, at + len(line)
+        text = line.decode("utf-8", "replace").rstrip("\r\n")
+        if not text:
             continue
+        if not line.endswith(b"\n"):
+            raise ArchiveError("a header line without an end")
         first = not version
+        fields = text.rsplit(" ", 1)
+        if len(fields) < 2 or not fields[-1].isdigit():
+            raise ArchiveError(f"a header line without a length: {text[:40]!r}")
+        length = int(fields[-1])
+        block = stream.read(length)
+        at += len(block)
+        if len(block) < length:
+            raise ArchiveError("a record shorter than its declared length")
         if first:  # the version block's own header has the fields of either version
-            length = int(line.rsplit(" ", 1)[1])
-            lines = data[end + 1 : end + 1 + length].decode("utf-8", "replace").split("\n")
-            version = int(lines[0].split(" ")[0])
-            if version not in ARC_FIELDS:
-                raise ArchiveError(f"ARC version {version}")
+            if not (told := block.split(b" ", 1)[0]).isdigit() or int(told) not in ARC_FIELDS:
+                raise ArchiveError(f"ARC version {told[:20]!r}")
+            version = int(told)
         names = ARC_FIELDS[version]
-        values = line.rsplit(" ", len(names) - 1)  # from the right, as old URLs may hold blanks
-        if len(values) != len(names) or not values[-1].isdigit():
+        values = text.rsplit(" ", len(names) - 1)  # from the right, as old URLs may hold blanks
+        if len(values) != len(names):
             raise ArchiveError(f"a header line of {len(values)} fields")
-        length = int(values[-1])
-        block = data[end + 1 : end + 1 + length]
-        if len(block) < length:
-            raise ArchiveError("a record shorter than its declared length")
-        yield ArcRecord(version, dict(zip(names, values, strict=True)), block, first)
-        at = end + 1 + length
+        yield begins, ArcRecord(version, dict(zip(names, values, strict=True)), block, first)
+
+
+def read_arc(data: bytes) -> Iterator[ArcRecord]:
+    """All records of an ARC file, the version block first."""
+    return (record for _, record in arc_records(io.BytesIO(data)))
 
 
 def base32_sha1(data: bytes) -> str:
@@ -304,3 +309,98 @@ def round_trip(pages: DataFrame, min_bytes: int = 0, key: str = "page_id", url:
     path = fresh_path(spark, "warc")
     write(pages, path, min_bytes, key, url, html)
     return read(spark, path)
+
+
+ARC_SCHEMA = "file string, offset bigint, version int, first boolean, header map<string,string>, block binary"
+
+
+def plain(content: bytes) -> io.BufferedIOBase:
+    """The bytes of a file, unpacked if it is gzip: as a whole, or a member a record."""
+    stream = io.BytesIO(content)
+    return gzip.GzipFile(fileobj=stream) if content[:2] == b"\x1f\x8b" else stream
+
+
+def bounded(rows: Iterator[tuple], kinds: list, names: list[str], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches of rows whose last values are no more than ``CHUNK_BYTES`` together, or one larger."""
+    held, total = [], 0
+    for row in rows:
+        if held and total + len(row[size]) > CHUNK_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+            held, total = [], 0
+        held.append(row)
+        total += len(row[size])
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+
+
+def read_arc_files(spark, path: str) -> DataFrame:
+    """A row for each record of the ARC files under ``path``: ``file, offset`` (before compression)``, version, first, header, block``.
+
+    Files may be plain or gzip, of version 1 or 2, and are told by their content.  One that breaks the format fails the
+    read with its name; empty ones have no rows.  A file is one value of Spark's, 2 GB at most; its records are unpacked one after the other.
+    """
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.map_(pa.string(), pa.string()), pa.binary()]
+
+    def rows(name: str, content: bytes) -> Iterator[tuple]:
+        try:
+            for offset, r in arc_records(plain(content)):
+                yield name, offset, r.version, r.first, list(r.header.items()), r.block
+        except (ArchiveError, OSError, EOFError) as e:
+            raise ArchiveError(f"{name}: {e}") from e
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(*batch.columns, strict=True):
+                yield from bounded(rows(name.as_py(), content.as_py()), kinds, ["file", "offset", "version", "first", "header", "block"], 5)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    return files.mapInArrow(run, ARC_SCHEMA)
+
+
+def convert_folder(spark, arc: str, to: str, min_bytes: int = 0) -> None:
+    """Convert all ARC files under ``arc`` to WARC files under ``to``.
+
+    Of HTTP records with equal payloads of at least ``min_bytes`` bytes the first by date, address, file and offset is the response, the
+    others revisit it and keep their HTTP heads; all other records are kept whole.  Only digests and headers are grouped.
+    Converting twice gives records with the same identifiers.
+    """
+    small_batches(spark)
+    records = read_arc_files(spark, arc)
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            halves = [split_http(b) if b.startswith(b"HTTP/") else None for b in batch.column(2).to_pylist()]
+            shas = [None if h is None or first or len(h[1]) < min_bytes else base32_sha1(h[1]) for h, first in zip(halves, batch.column(3).to_pylist(), strict=True)]
+            blocks = [base32_sha1(b) for b in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(shas, pa.string()), pa.array(blocks, pa.string())], names=["file", "offset", "header", "sha", "block_sha"])
+
+    known = records.select("file", "offset", "block", "first", "header").mapInArrow(digests, "file string, offset bigint, header map<string,string>, sha string, block_sha string")
+    place = F.struct(F.col("header")["Archive-date"].alias("date"), F.col("header")["URL"].alias("url"), "file", "offset", "block_sha")
+    known = materialise(known.where("sha IS NOT NULL").select("sha", place.alias("place")), "payloads")
+    tops = known.groupBy(F.col("sha").alias("of")).agg(F.min("place").alias("top"), F.count("*").alias("n")).where("n > 1")
+    later = known.join(tops, known["sha"] == tops["of"]).where("place <> top").select(F.col("place.file").alias("file"), F.col("place.offset").alias("offset"), "top")
+    rows = records.join(later, ["file", "offset"], "left").select("version", "first", "header", "block", F.col("top.date").alias("date"), F.col("top.url").alias("url"), F.col("top.block_sha").alias("sha"))
+
+    def converted(batch: pa.RecordBatch) -> Iterator[bytes]:
+        for version, first, header, block, date, url, sha in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            of = None if date is None else {"WARC-Refers-To": record_id(url, warc_date(date), "response", sha), "WARC-Refers-To-Target-URI": url, "WARC-Refers-To-Date": warc_date(date)}
+            yield warc_bytes(convert(ArcRecord(version, dict(header), block, first), of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(x for batch in batches for x in converted(batch)):
+            yield pa.RecordBatch.from_arrays([pa.array([chunk[:-1]], pa.binary())], names=["record"])
+
+    text = rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+    text.write.option("compression", "gzip").option("maxRecordsPerFile", CHUNKS_PER_FILE).text(to)
+
+
+def read_warc_files(spark, path: str) -> DataFrame:
+    """``headers, block`` of every record of the WARC files under ``path``, plain or gzip."""
+    kinds = [pa.map_(pa.string(), pa.string()), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                yield from bounded(((list(r.headers.items()), r.block) for r in read_warc(plain(content.as_py()))), kinds, ["headers", "block"], 1)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "headers map<string,string>, block binary")
