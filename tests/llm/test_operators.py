@@ -73,6 +73,25 @@ def test_ids_equal_the_library(kind, path):
             assert coder.vocabulary.decode(np.array(want, np.int64)).tobytes().decode("utf-8", "replace") == library.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize(("kind", "path"), [("byte_level", BYTE), ("word_end", WORD)])
+def test_the_fragment_table_is_bounded(kind, path, monkeypatch):
+    """Texts without blanks are one long fragment each, and are not kept; short ones are, up to a number of bytes."""
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+    rng = random.Random(7)
+    chinese = ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(rng.choice([50, 900, 4000]))) for _ in range(12)]
+    texts = [t for i in range(12) for t in (chinese[i], " ".join(f"w{rng.randrange(10**6)}" for _ in range(400)), chinese[i])]
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    coder = bpe.Encoder.__subclasses__()[0 if kind == "byte_level" else 1](path)
+    for i in range(0, len(texts), 6):
+        raw = [t.encode() for t in texts[i : i + 6]]
+        ids, at = coder.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+        for j, t in enumerate(texts[i : i + 6]):
+            assert ids[at[j] : at[j + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
+        assert coder.raw_used <= 20_000 and (not len(coder.sizes) or coder.sizes.max() <= bpe.LONG_FRAGMENT)
+
+
 def test_bpe_tables(odd, none):
     rows = bpe.round_trip(odd, BYTE).collect()
     assert len(rows) == len(ODD) and bpe.round_trip(none, BYTE).count() == 0

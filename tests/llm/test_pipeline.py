@@ -101,3 +101,13 @@ def test_similar_sets_share_a_signature_at_the_bar_of_the_pipeline():
                 continue
             owner, found = ngram_join.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), like)
             assert set(found[owner == 0].tolist()) & set(found[owner == 1].tolist())
+
+
+def test_the_corpus_part_is_there():
+    """The entry leaves the part out where it cannot be imported; while its folder stands here, it must not."""
+    import re
+
+    import __spark_entry__
+
+    found = {m[1] for name in __spark_entry__.queries() if (m := re.match(r"op(\d+)_", name))}
+    assert found == {str(n) for n in range(1, 14)} and "pipeline" in __spark_entry__.queries()

@@ -30,8 +30,8 @@ from .hashing import HashTable, equal_ranges, range_hashes
 #: How byte-level and word-end vocabularies of this family split text before merging (fixed values).
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = frozenset(b" \t\n\r\x0b\x0c")
-#: Distinct fragments that a worker keeps.
-CACHE_FRAGMENTS = 400_000
+#: Distinct fragments that a worker keeps, bytes of them (and of their ids), and the longest one that it keeps.
+CACHE_FRAGMENTS, CACHE_BYTES, LONG_FRAGMENT = 400_000, 32 << 20, 256
 #: Fragments up to this many bytes are merged together in one array.
 SHORT = 48
 #: UTF-8 lead byte of U+0240 and up, where classes and cases of characters differ between Unicode
@@ -287,24 +287,30 @@ class Encoder:
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], n)
         hashes = range_hashes(data, starts, ends)
+        size = ends - starts
+        kept = size <= LONG_FRAGMENT  # longer ones seldom come again and would fill the table: each is encoded for itself
         slots = self.table.find(hashes)
-        missing = np.flatnonzero(slots < 0)
+        missing = np.flatnonzero((slots < 0) & kept)
         if len(missing):
             new, at = np.unique(hashes[missing], return_index=True)
-            if self.table.size + len(new) > CACHE_FRAGMENTS and self.table.size:
+            at = missing[at]
+            over = self.raw_used + int(size[at].sum()) > CACHE_BYTES or 4 * self.used > CACHE_BYTES
+            if self.table.size and (over or self.table.size + len(new) > CACHE_FRAGMENTS):
                 self._reset()
-                new, at = np.unique(hashes, return_index=True)
-            else:
-                at = missing[at]
+                every = np.flatnonzero(kept)
+                new, at = np.unique(hashes[every], return_index=True)
+                at = every[at]
             whole = data.tobytes()
             self._remember(new, [whole[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
             slots = self.table.find(hashes)
-        counts, first, pool = self.counts[slots], self.starts[slots], self.ids
-        size = ends - starts
-        alike = self.sizes[slots] == size
-        alike &= equal_ranges(np.concatenate([data, np.zeros(8, np.uint8)]), starts, self.raw, self.raw_at[slots], np.where(alike, size, 0))
+        alike = kept & (slots >= 0)
+        counts, first, raw_at, pool = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), self.ids
+        found = slots[alike]
+        counts[alike], first[alike], raw_at[alike] = self.counts[found], self.starts[found], self.raw_at[found]
+        alike[alike] = self.sizes[found] == size[alike]
+        alike &= equal_ranges(np.concatenate([data, np.zeros(8, np.uint8)]), starts, self.raw, raw_at, np.where(alike, size, 0))
         odd = np.flatnonzero(~alike)
-        if len(odd):  # another fragment has the same hash: these are encoded each for itself
+        if len(odd):  # long ones, and those whose hash another fragment has
             coded, n = self.chunks([data[i:j].tobytes() for i, j in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)])
             counts[odd], first[odd] = n, len(pool) + np.cumsum(n) - n
             pool = np.concatenate([pool, coded.astype(np.int32)])
