@@ -15,6 +15,15 @@ from pyspark.sql import functions as F
 from timeloom.storage import materialise
 
 
+def matrix(vectors: Sequence) -> np.ndarray:
+    """Vectors as rows; components that are missing, null or no number count as 0."""
+    rows = [np.array([np.nan if x is None else x for x in v], float) for v in vectors]
+    out = np.zeros((len(rows), max((len(r) for r in rows), default=0)))
+    for to, row in zip(out, rows, strict=True):
+        to[: len(row)] = np.nan_to_num(row)
+    return out
+
+
 def similarities(vectors: np.ndarray) -> np.ndarray:
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
     unit = np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
@@ -63,13 +72,14 @@ def contracted(vectors: np.ndarray, labels: Sequence[int], threshold: float) ->
 def linked(df: DataFrame, keys: Sequence[str], member: str, vector: str, threshold: float, apart: str | None = None, penalty: float = 100.0, merge: float | None = None) -> DataFrame:
     """Average linkage of each key's members on cosine distance; members that share an entry of the array
     ``apart`` (such as frames) are pushed ``penalty`` further from each other.  With ``merge`` the clusters found are contracted (:func:`contracted`),
-    which brings together what the penalty held apart.  Adds ``cluster``; rows without a vector are left out."""
+    which brings together what the penalty held apart.  Adds ``cluster``; rows without a vector are left out, components that are missing, null or no
+    number count as 0, a null key is a key, an empty table gives no rows."""
     columns = [*keys, member, vector, *([apart] if apart else [])]
     schema = df.select(*keys, member).withColumn("cluster", F.lit(0)).schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(member)
-        vectors = np.stack(pdf[vector].to_list()).astype(float)
+        vectors = matrix(pdf[vector].to_list())
         distance = 1 - similarities(vectors)
         if apart:
             sets = [set(x) if x is not None else set() for x in pdf[apart]]
@@ -88,7 +98,7 @@ def join_identity(groups: list[tuple[set, list[np.ndarray]]], frames: set, vecto
     for g, (taken, held) in enumerate(groups):
         if taken & frames:
             continue
-        both = similarities(np.concatenate([vectors, *held]))[: len(vectors), len(vectors) :]
+        both = similarities(matrix([*vectors, *(v for h in held for v in h)]))[: len(vectors), len(vectors) :]
         middle = float(np.median(1 - both))
         if middle < best:
             best, at = middle, g
@@ -102,7 +112,8 @@ def join_identity(groups: list[tuple[set, list[np.ndarray]]], frames: set, vecto
 
 def identities(df: DataFrame, keys: Sequence[str], track: str, vectors: str, frames: str, threshold: float) -> DataFrame:
     """Tracks in order join the identity of least median pairwise cosine distance if that is at most the
-    threshold and they share no frame with it, else they found a new one.  Adds ``identity``; tracks without vectors are left out."""
+    threshold and they share no frame with it, else they found a new one.  Adds ``identity``; tracks without vectors are left out; see
+    :func:`linked` for odd components, keys and tables."""
     schema = df.select(*keys, track).withColumn("identity", F.lit(0)).schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -110,7 +121,7 @@ def identities(df: DataFrame, keys: Sequence[str], track: str, vectors: str, fra
         groups: list[tuple[set, list[np.ndarray]]] = []
         found = []
         for own_frames, own_vectors in zip(pdf[frames], pdf[vectors], strict=True):
-            mine = np.stack([np.asarray(v, float) for v in own_vectors])
+            mine = matrix(own_vectors)
             at = join_identity(groups, set(own_frames) if own_frames is not None else set(), mine, threshold)
             found.append(at)
         pdf["identity"] = np.array(found, np.int32)

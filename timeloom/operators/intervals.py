@@ -21,7 +21,7 @@ def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 def merge(df: DataFrame, keys: Sequence[str], gap: int = 0, count: bool = False) -> DataFrame:
     """Union of each key's intervals; those at most ``gap`` apart become one, touching ones do.
 
-    Null bounds and intervals that end before they begin are dropped.
+    Null bounds and intervals that end before they begin are dropped; a null key is a key like others.
     """
     order = Window.partitionBy(*keys).orderBy("t0", "t1")
     before = F.max("t1").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -210,7 +210,7 @@ def sweep(df: DataFrame, keys: Sequence[str], counts: dict[str, Column]) -> Data
 def single_winner(df: DataFrame, keys: Sequence[str], speaker: str, width: int) -> DataFrame:
     """A timeline in which one speaker holds each moment: the one with most speech overall, then the first by name.
 
-    Slices of one winner that touch are joined.
+    Slices of one winner that touch are joined.  Intervals with a null key or bound are dropped.
     """
     total = df.groupBy(*keys, speaker).agg(F.sum(F.col("t1") - F.col("t0")).alias("__total"))
     rated = df.where("t1 > t0").join(total, [*keys, speaker])  # a moment covers no slice

@@ -63,7 +63,8 @@ def sightings(spark: SparkSession, path: str, suffix: str) -> DataFrame:
 
 
 def split_list(spark: SparkSession, path: str) -> DataFrame:
-    return lines(spark, path).select(F.trim("value").alias("clip")).where("clip <> ''")
+    """``clip`` of each line, without blanks around it; blank lines are left out."""
+    return lines(spark, path).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("clip")).where("clip <> ''")
 
 
 def srt(spark: SparkSession, path: str) -> DataFrame:
