@@ -12,7 +12,7 @@ def test_every_nth_and_chunks(spark):
     assert sorted(r.i for r in files.every_nth(rows, "i", 6).collect()) == [0, 6, 12, 18]
     assert sorted(r.i for r in files.every_nth(rows, "i", 6, last=2).collect()) == [12, 18]
     assert files.every_nth(rows.limit(0), "i", 6).count() == 0
-    found = {r.i: r.c for r in rows.withColumn("c", sinks.chunk_number(["k", "i"], 7)).collect()}
+    found = {r.i: r.c for r in sinks.chunked(rows, ["k", "i"], 7, "c").collect()}
     order = sorted(range(20), key=lambda i: (i % 3, i))
     assert found == {i: n // 7 for n, i in enumerate(order)}
 

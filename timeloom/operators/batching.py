@@ -58,15 +58,16 @@ def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 def tuples(df: DataFrame, key: str, size: str, n: int, k: int, most: int, seed: int, tries: int = 8) -> DataFrame:
     """Up to ``n`` tuples of ``k`` distinct rows whose sizes sum to at most ``most``: ``tuple, members, total``.
 
-    Candidates are drawn by hashes of (seed, draw, place); rows are numbered once, so a draw is a join on the number.
+    Candidates are drawn by hashes of (seed, draw, place); rows are numbered once, by ranges, so a draw is a join on the number.
     """
-    rows = df.select(F.col(key).alias("member"), F.col(size).alias("size")).withColumn("number", F.row_number().over(Window.orderBy("member")) - 1)
+    rows = df.select(F.col(key).alias("member"), F.col(size).alias("size"))
+    rows = numbered(rows, ["member"], "number").withColumn("number", F.col("number") - 1)
     total = rows.count()
     draws = df.sparkSession.range(n * tries).withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     draws = draws.withColumn("number", F.pmod(F.xxhash64(F.lit(seed), "id", "place"), F.lit(max(1, total))).cast("int"))
     made = draws.join(rows, "number").groupBy("id").agg(F.array_sort(F.collect_set("member")).alias("members"), F.sum("size").alias("total"), F.count("*").alias("n"))
     good = made.where((F.size("members") == k) & (F.col("n") == k) & (F.col("total") <= most)).select("id", "members", "total")
-    order = Window.orderBy("id")
+    order = Window.orderBy("id")  # at most n * tries tuples
     return good.withColumn("tuple", F.format_string("fs_%03d", F.row_number().over(order) - 1)).orderBy("id").limit(n).select("tuple", "members", "total")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timeloom.functions import text as X
+from timeloom.operators.assets import numbered
 
 MICRO = 1_000_000
 #: Schema of what is known about a fusion sample.
@@ -182,7 +183,6 @@ def pcm_frames(audio: DataFrame, rate: int, milliseconds: int) -> DataFrame:
 
 
 def every_nth(rows: DataFrame, order: str, n: int, last: int | None = None) -> DataFrame:
-    """Every ``n``-th row, or of those the last ones."""
-    w = Window.orderBy(order)
-    kept = rows.withColumn("__i", F.row_number().over(w)).where((F.col("__i") - 1) % n == 0).drop("__i")
+    """Every ``n``-th row, or of those the last ones; rows are numbered by ranges."""
+    kept = numbered(rows, [order], "__i").where((F.col("__i") - 1) % n == 0).drop("__i")
     return kept.orderBy(F.desc(order)).limit(last) if last is not None else kept

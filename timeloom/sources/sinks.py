@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeloom.functions import text as X
+from timeloom.operators.assets import numbered
 
 
 def rttm_line(clip: Column, t0: Column, t1: Column, speaker: Column, decimals: int = 3) -> Column:
@@ -44,9 +45,9 @@ def fail_line(rel: Column, reason: Column, detail: Column) -> Column:
     return F.concat_ws(",", rel, reason, F.replace(detail, F.lit(","), F.lit(";")))
 
 
-def chunk_number(order: list[str], size: int) -> Column:
-    """Chunks of ``size`` rows in the given order, from 0."""
-    return F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size)
+def chunked(df: DataFrame, order: list[str], size: int, name: str = "chunk") -> DataFrame:
+    """``df`` with the number (from 0) of each row's chunk of ``size`` rows in the given order; rows are numbered by ranges."""
+    return numbered(df, order, "__i").withColumn(name, F.floor((F.col("__i") - 1) / size)).drop("__i")
 
 
 def to_json_lines(df: DataFrame) -> DataFrame:
