@@ -512,12 +512,26 @@ def test_url_digest_collisions(tmp_path):
     path = tmp_path / "rules"
     constant = lambda _: 7
     path.write_bytes(url_filter.build([("block", "a/"), ("allow", "b/"), ("block", "c/")], constant))
-    known = url_filter.Rules(str(path))
+    known = url_filter.Rules(str(path), constant)
     hosts, paths = ["b", "d", "c"], ["/", "/", "/x"]
-    found = known.match(hosts, paths, np.full(3, 7, np.uint64), np.arange(3), np.zeros(3, int), np.ones(3, int))
+    found = known.match(hosts, paths, np.full(3, 7, np.uint64), np.arange(3), np.zeros(3, int))
     assert [known.text(i) if i >= 0 else None for i in found] == [b"b/", None, b"c/"]
 
 
+def test_probes_follow_hosts_and_not_all_paths(tmp_path):
+    """Rules of 300 path lengths: a URL is looked up with those of its own host's alone."""
+    rules = [("block", f"h{i}.org/{'p' * (i % 300)}") for i in range(3000)] + [("allow", "h5.org/pppppp"), ("block", "org/q")]
+    path = tmp_path / "rules"
+    path.write_bytes(url_filter.build(rules))
+    known = url_filter.Rules(str(path))
+    hosts, paths = [f"www.h{i}.org" for i in (5, 6, 299, 4000)], ["/pppppppp", "/ppppp", "/" + "p" * 400, "/q"]
+    suffixes = [(i, s, url_filter.digest(h[s:].encode())) for i, h in enumerate(hosts) for s in (0, 4, h.index(".org") + 1)]
+    owners, starts, digests = (np.array(x, k) for x, k in zip(zip(*suffixes, strict=True), (np.int64, np.int64, np.uint64), strict=True))
+    found = known.match(hosts, paths, digests, owners, starts)
+    assert [known.text(i).decode() if i >= 0 else None for i in found] == ["h5.org/pppppp", None, f"h299.org/{'p' * 299}", "org/q"]
+    assert known.probed <= 3 * len(hosts)
+
+
 def test_url_rules_by_the_hundred_thousand(spark):
     rules = [(("block", "allow")[i % 2], f"h{i}.org/{'p' * (i % 4)}") for i in range(100_000)]
     urls = [f"http://www.h{i}.org/{'p' * (i % 5)}?q" for i in range(0, 100_000, 997)]
