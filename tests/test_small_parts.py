@@ -42,3 +42,10 @@ def test_random_orders_repeat(spark):
     assert [i // 5 for i in first] == sorted((i // 5 for i in range(40)), reverse=True) and sorted(first) == list(range(40))
 
 
+
+
+def test_array_files_are_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, 1.5, 2.0, "x"), ("a", 0, 0.0, 1.5, None), ("b", 7, 0.25, 9.0, 'q"')], "clip string, track_idx int, start double, end double, speaker string")
+    sinks.write_json_arrays(rows, str(tmp_path / "s"), ["clip"], ["track_idx"], ["track_idx", "start", "end", "speaker"])
+    found = {c: sorted((r.track_idx, r.t0, r.t1, r.speaker) for r in files.segment_tracks(spark, str(tmp_path / "s" / f"clip={c}")).collect()) for c in "ab"}
+    assert found == {"a": [(0, 0, 1_500_000, None), (1, 1_500_000, 2_000_000, "x")], "b": [(7, 250_000, 9_000_000, 'q"')]}

@@ -101,3 +101,11 @@ def report_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, h = P.reference(spark, sf_dir), P.hypothesis(spark, sf_dir)
     skipped = h.select("clip").distinct().join(r.select("clip").distinct(), "clip", "left_anti")
     return scoring.report_json(scoring.error_rates(r, h), skipped, 0)
+
+
+@query("""SELECT conv_id AS clip, '[' || string_agg('{"track_idx":' || turn || ',"start":' || CAST(CAST(turn AS DOUBLE) * 4 AS VARCHAR) || ',"end":' || CAST(CAST(turn AS DOUBLE) * 4 + 6 AS VARCHAR) || ',"speaker":"' || role || '"}', ',' ORDER BY turn) || ']' AS value FROM conversations GROUP BY conv_id""")
+def segment_track_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each clip's segments as one JSON array."""
+    seconds = lambda c: (F.col(c) / 1_000_000).cast("double")
+    rows = P.captions(spark, sf_dir).select("clip", F.col("turn").alias("track_idx"), seconds("t0").alias("start"), seconds("t1").alias("end"), "speaker")
+    return sinks.to_json_array(rows, ["clip"], ["track_idx"], ["track_idx", "start", "end", "speaker"])

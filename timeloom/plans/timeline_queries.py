@@ -175,11 +175,15 @@ def draw_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("clip", "frame", "boxes", F.array_join(F.col("t").cast("array<string>"), " ").alias("tracks"))
 
 
-@query(f"""WITH {P.REFERENCE}, total AS (SELECT clip, speaker, sum(t1 - t0) AS spoken FROM ref GROUP BY 1, 2), p AS (SELECT DISTINCT clip, unnest([t0, t1]) AS t FROM ref WHERE t1 > t0),
+#: One speaker at a time: slices between all bounds, each given to the speaker with most speech, joined where they touch.
+SINGLE = """total AS (SELECT clip, speaker, sum(t1 - t0) AS spoken FROM ref GROUP BY 1, 2), p AS (SELECT DISTINCT clip, unnest([t0, t1]) AS t FROM ref WHERE t1 > t0),
 s AS (SELECT clip, t AS t0, lead(t) OVER (PARTITION BY clip ORDER BY t) AS t1 FROM p),
 w AS (SELECT s.clip, s.t0, s.t1, r.speaker FROM s JOIN ref r ON r.clip = s.clip AND r.t0 <= s.t0 AND r.t1 >= s.t1 JOIN total ON total.clip = r.clip AND total.speaker = r.speaker WHERE s.t1 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY s.clip, s.t0 ORDER BY spoken DESC, r.speaker) = 1),
 f AS (SELECT *, CASE WHEN lag(t1) OVER v = t0 AND lag(speaker) OVER v = speaker THEN 0 ELSE 1 END AS fresh FROM w WINDOW v AS (PARTITION BY clip ORDER BY t0)),
-g AS (SELECT *, sum(fresh) OVER (PARTITION BY clip ORDER BY t0 ROWS UNBOUNDED PRECEDING) AS g FROM f) SELECT clip, speaker, min(t0) AS t0, max(t1) AS t1 FROM g GROUP BY clip, speaker, g""")
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY clip ORDER BY t0 ROWS UNBOUNDED PRECEDING) AS g FROM f) SELECT clip, speaker, min(t0) AS t0, max(t1) AS t1 FROM g GROUP BY clip, speaker, g"""
+
+
+@query(f"WITH {P.REFERENCE}, {SINGLE}")
 def single_speaker_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.single_winner(P.reference(spark, sf_dir).select("clip", "speaker", "t0", "t1"), ["clip"], "speaker", WIDTH)
 

@@ -50,6 +50,20 @@ def chunked(df: DataFrame, order: list[str], size: int, name: str = "chunk") ->
     return numbered(df, order, "__i").withColumn(name, F.floor((F.col("__i") - 1) / size)).drop("__i")
 
 
+def to_json_array(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """``keys, value``: a key's rows, in order, as one JSON array of objects; null values are left out of an object.
+
+    For files that are small by nature, such as a clip's segments: a key's rows stand in one value.
+    """
+    held = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("at"), F.struct(*columns).alias("row")))).alias("x"))
+    return held.select(*keys, F.to_json(F.transform("x", lambda x: x["row"])).alias("value"))
+
+
+def write_json_arrays(df: DataFrame, path: str, keys: list[str], order: list[str], columns: list[str]) -> None:
+    """The arrays of :func:`to_json_array` as files, a folder for each key."""
+    to_json_array(df, keys, order, columns).write.partitionBy(*keys).text(path)
+
+
 def to_json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 
