@@ -118,3 +118,16 @@ def test_decode_tables(spark):
     assert {r.clip for r in found} == {"a", None}
     assert [(list(r.ids), r.score) for r in sorted(found, key=lambda r: r["rank"]) if r.clip == "a"] == [([0, 3], pytest.approx(-0.6)), ([0, 0, 3], pytest.approx(-1.1))]
     assert search.beam(spark.createDataFrame([], kind), "clip", "step", "scores", beam=2, eos=3).count() == 0
+
+
+def test_a_table_without_any_possible_sequence(spark):
+    """A narrow beam that is left with impossible prefixes finds nothing: no rows, and other keys keep theirs."""
+    # three frames that all like 1 best: 1 1 needs a blank between, and labels beyond the beam are never asked
+    rows = [("none", i, [-9.0, -0.001, -8.0, -20.0]) for i in range(3)] + [("some", i, [-0.7, -0.8, -3.0, -0.9]) for i in range(3)]
+    scorers = lambda: {"table": (1.0, search.Table()), "ctc": (1.0, search.CtcPrefix(BLANK, EOS))}
+    table = np.array([x for *_, x in rows[:3]])
+    assert search.search(table, scorers(), 1, EOS, widen=1.0) == []
+    df = spark.createDataFrame(rows, "clip string, step int, scores array<double>")
+    found = search.decode(df, "clip", "step", "scores", scorers, beam=1, eos=EOS, widen=3.0).collect()
+    assert "some" in {r.clip for r in found}
+    assert search.decode(df.where("clip = 'none'"), "clip", "step", "scores", scorers, beam=1, eos=EOS, widen=1.0).collect() == []
