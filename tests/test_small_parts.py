@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
+from timeloom.catalog import queries
+from timeloom.functions import arrays
 from timeloom.operators import batching, cluster
 from timeloom.sources import files, sinks
 
@@ -49,3 +52,15 @@ def test_array_files_are_read_back(spark, tmp_path):
     sinks.write_json_arrays(rows, str(tmp_path / "s"), ["clip"], ["track_idx"], ["track_idx", "start", "end", "speaker"])
     found = {c: sorted((r.track_idx, r.t0, r.t1, r.speaker) for r in files.segment_tracks(spark, str(tmp_path / "s" / f"clip={c}")).collect()) for c in "ab"}
     assert found == {"a": [(0, 0, 1_500_000, None), (1, 1_500_000, 2_000_000, "x")], "b": [(7, 250_000, 9_000_000, 'q"')]}
+
+
+def test_rounding_keeps_the_sign_of_zero(spark):
+    """As the SQL side does: what rounds to zero from below is -0.0."""
+    rows = spark.createDataFrame([(0, -1e-7), (1, 1e-7), (2, -0.0), (3, 0.1234565), (4, None), (5, -0.5)], "i int, x double").select("i", arrays.rounded(F.col("x"), 6).alias("r"))
+    assert {r.i: str(r.r) for r in rows.collect()} == {0: "-0.0", 1: "0.0", 2: "-0.0", 3: "0.123457", 4: "None", 5: "-0.5"}
+
+
+def test_cut_or_pad_keeps_the_sign_of_zero(spark, tmp_path):
+    spark.createDataFrame([(0, [-1e-7, 0.25])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    v = queries()["cut_or_pad"](spark, str(tmp_path)).first().v
+    assert len(v) == 56 and [str(x) for x in v[:3]] == ["-0.0", "0.25", "0.0"]

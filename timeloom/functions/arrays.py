@@ -18,6 +18,12 @@ def cut_or_pad(values: Column | str, size: int, zero: Column | None = None) -> C
     return F.slice(F.concat(column(values), F.array_repeat(F.lit(0.0) if zero is None else zero, size)), 1, size)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` rounded, with its sign where that gives zero: ``round`` of Spark makes 0.0 of small negative numbers, that of other engines -0.0."""
+    r = F.round(x, digits)
+    return F.when(r == 0, x * 0.0).otherwise(r)
+
+
 def resample(values: Column | str, size: int) -> Column:
     """``size`` values on straight lines through the given ones; each stands for the middle of its share.
 

@@ -88,7 +88,7 @@ def resample_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cut_or_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 40 components, padded to 56."""
     v = arrays.cut_or_pad(F.slice("embedding", 1, 40), 56, F.lit(0).cast("float"))
-    return P.table(spark, sf_dir, "embeddings").select("vec_id", F.transform(v, lambda x: F.round(x.cast("double"), 6)).alias("v"))
+    return P.table(spark, sf_dir, "embeddings").select("vec_id", F.transform(v, lambda x: arrays.rounded(x.cast("double"), 6)).alias("v"))
 
 
 @query("SELECT doc_id, list_prepend(CAST(1048 AS BIGINT), range(1, 1 + doc_id % 9)) AS inputs, list_append(range(1, 1 + doc_id % 9), CAST(1048 AS BIGINT)) AS targets FROM documents")
