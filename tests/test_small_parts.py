@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
-from timeloom.catalog import queries
+from timeloom.catalog import oracle_sql, queries
 from timeloom.functions import arrays
 from timeloom.operators import batching, cluster
 from timeloom.sources import files, sinks
@@ -64,3 +65,15 @@ def test_cut_or_pad_keeps_the_sign_of_zero(spark, tmp_path):
     spark.createDataFrame([(0, [-1e-7, 0.25])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     v = queries()["cut_or_pad"](spark, str(tmp_path)).first().v
     assert len(v) == 56 and [str(x) for x in v[:3]] == ["-0.0", "0.25", "0.0"]
+
+
+def test_words_as_the_sql_has_them(spark, tmp_path):
+    """Null references are not scored, a vertical tab parts no words, and upper case has as many characters."""
+    duckdb = pytest.importorskip("duckdb")
+    texts = [(1, 0, None), (1, 1, "a b"), (1, 2, None), (2, 0, "Straße x\x0by \ufb01n"), (2, 1, "STRASSE x y FIN"), (2, 2, "straße"), (2, 3, ""), (2, 4, "\u1fb3 c")]
+    spark.createDataFrame([(c, t, "user", x) for c, t, x in texts], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    for name in ("wer_pairs", "wer_corpus"):
+        want = sorted(con.execute(oracle_sql()[name]).fetchall())
+        assert sorted(tuple(r) for r in queries()[name](spark, str(tmp_path)).collect()) == want

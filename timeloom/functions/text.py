@@ -11,6 +11,17 @@ def normalise(text: Column) -> Column:
     return F.upper(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
+#: Characters that have several in upper case, stand-ins of a private plane, and the one that each becomes alone (itself if there is none).
+SEVERAL = "".join(c for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if len(c.upper()) > 1)
+STANDINS = "".join(chr(0x10FF00 + i) for i in range(len(SEVERAL)))
+SINGLE = "".join("ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in SEVERAL)
+
+
+def upper(text: Column) -> Column:
+    """Upper case character by character, so that no text grows: ``ß`` becomes ``ẞ`` and not ``SS``."""
+    return F.translate(F.upper(F.translate(text, SEVERAL, STANDINS)), STANDINS, SINGLE)
+
+
 def detokenise(text: Column) -> Column:
     """Plain text of sentence pieces: no end marks or blanks, piece marks become blanks."""
     return F.trim(F.replace(F.replace(F.replace(text, F.lit("<eos>"), F.lit("")), F.lit(" "), F.lit("")), F.lit("▁"), F.lit(" ")))
