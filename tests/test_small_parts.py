@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +78,17 @@ def test_words_as_the_sql_has_them(spark, tmp_path):
     for name in ("wer_pairs", "wer_corpus"):
         want = sorted(con.execute(oracle_sql()[name]).fetchall())
         assert sorted(tuple(r) for r in queries()[name](spark, str(tmp_path)).collect()) == want
+
+
+def test_similar_pairs_by_blocks(spark, monkeypatch):
+    """Blocks of a few vectors find what all pairs find, and no join makes the pairs."""
+    monkeypatch.setattr(cluster, "BLOCK", 7)
+    rng = np.random.default_rng(1)
+    rows = [(i, int(i % 3), [float(x) for x in rng.normal(size=4)]) for i in range(60)]
+    odd = [(60, 0, None), (61, 0, [1.0, None, 0.0, 0.0]), (62, 0, [0.0] * 4), (63, 0, [1.0]), (64, 0, [2.0]), (65, None, [1.0] * 4), (None, 0, [1.0] * 4)]
+    found = cluster.similar(spark.createDataFrame(rows + odd, "i long, k int, v array<double>"), "k", "i", "v", 0.4)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    cos = lambda x, y: float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y))
+    want = {(i, j): cos(x, y) for i, k, x in rows for j, m, y in rows if k == m and i < j and cos(x, y) >= 0.4} | {(63, 64): 1.0}
+    got = [(r.a, r.b, r.cosine) for r in found.collect()]
+    assert len(got) == len(want) and {(a, b): c for a, b, c in got} == pytest.approx(want)

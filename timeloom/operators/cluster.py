@@ -9,11 +9,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timeloom.functions import arrays
 from timeloom.storage import materialise
 
+#: Vectors of a block whose pairs with another block are one task's product.
+BLOCK = 8192
+
 
 def matrix(vectors: Sequence) -> np.ndarray:
     """Vectors as rows; components that are missing, null or no number count as 0."""
@@ -169,3 +174,46 @@ def suppressed(df: DataFrame, keys: Sequence[str], box: Sequence[str], score: st
         return pdf[alive]
 
     return df.groupBy(*keys).applyInPandas(run, schema)
+
+
+def similar(df: DataFrame, key: str, row: str, vector: str, threshold: float) -> DataFrame:
+    """``a, b, cosine``: pairs of rows of one key, ``a < b``, whose cosine similarity reaches the threshold.
+
+    Each key's vectors are dealt to blocks, and each two blocks meet in a task as a matrix product, by stripes; only pairs that come near
+    the threshold leave it, and are decided by :func:`arrays.cosine`.  Null keys, rows, vectors and components take no part, and vectors of
+    different lengths are not compared.  Work is quadratic in a key's rows, memory is not.
+    """
+    kinds = {name: df.schema[name].dataType.simpleString() for name in (key, row)}
+    v = F.col(vector).cast("array<double>")
+    rows = df.select(F.col(key).alias("key"), F.col(row).alias("row"), v.alias("v"), F.size(v).alias("n")).where("key IS NOT NULL AND row IS NOT NULL AND v IS NOT NULL AND NOT exists(v, x -> x IS NULL)")
+    most = rows.groupBy("key", "n").count().agg(F.max("count")).first()[0] or 0
+    blocks = max(1, -(-most // BLOCK))
+    block = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
+    cells = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    dealt = rows.withColumn("block", block).select("*", cells).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+    schema = f"a {kinds[row]}, b {kinds[row]}, x array<double>, y array<double>"
+
+    def run(table: pa.Table) -> pa.Table:
+        at = table["block"].to_numpy()
+        vectors = np.array(table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(len(at), table["n"][0].as_py())
+        with np.errstate(all="ignore"):
+            length = np.linalg.norm(vectors, axis=1, keepdims=True)
+            unit = np.divide(vectors, length, out=np.zeros_like(vectors), where=length != 0)
+            i, j = table["i"][0].as_py(), table["j"][0].as_py()
+            left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
+            p, q = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for start in range(0, len(left), 512):
+                stripe = left[start : start + 512]
+                near = ~(unit[stripe] @ unit[right].T < threshold - 1e-6)  # what is no number is left to be decided
+                if i == j:
+                    near &= stripe[:, None] < right
+                m, n = np.nonzero(near)
+                p.append(stripe[m])
+                q.append(right[n])
+        one, two = (table.take(pa.array(np.concatenate(x))) for x in (p, q))
+        return pa.table([one["row"], two["row"], one["v"], two["v"]], names=["a", "b", "x", "y"])
+
+    near = dealt.groupBy("key", "n", "i", "j").applyInArrow(run, schema).where("a <> b")
+    swapped = F.col("a") > F.col("b")
+    rated = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swapped, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swapped, F.col("x")).otherwise(F.col("y")).alias("y"))
+    return rated.withColumn("cosine", arrays.cosine("x", "y")).where(F.col("cosine") >= threshold).select("a", "b", "cosine")

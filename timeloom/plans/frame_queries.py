@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from timeloom.functions import arrays
-from timeloom.operators import frames
+from timeloom.operators import cluster, frames
 
 from . import projections as P
 from .registry import registry
@@ -109,10 +109,8 @@ def mean_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.4""")
 def cosine_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of one label whose cosine similarity reaches 0.4."""
-    e = P.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    a, b = e.select(F.col("vec_id").alias("a"), "label", F.col("v").alias("x")), e.select(F.col("vec_id").alias("b"), "label", F.col("v").alias("y"))
-    pairs = a.join(b, "label").where("a < b").withColumn("cosine", arrays.cosine("x", "y"))
-    return pairs.where("cosine >= 0.4").select("a", "b", F.round("cosine", 6).alias("cosine"))
+    pairs = cluster.similar(P.table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.4)
+    return pairs.withColumn("cosine", F.round("cosine", 6))
 
 
 @query("""SELECT event_id, round(CASE WHEN step < 100 THEN step / 100.0 * 0.001 ELSE 0.001 * 0.5 * (1 + cos(pi() * (step - 100) / 900.0)) END, 9) AS lr FROM (SELECT event_id, event_id % 1000 AS step FROM events)""")
