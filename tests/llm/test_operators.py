@@ -702,3 +702,31 @@ def test_repeated_keys_of_lines(spark):
     assert kept == Counter(["a long line of text", "another line", "its own"])
     assert sorted((r.doc_id or 0, r.n_lines) for r in found) == [(0, 1), (0, 1), (1, 1), (1, 2), (2, 2)]
     assert sum(r.n_kept for r in line_dedup.dedup(spark.createDataFrame([(1, "ab\nac\nabcdefghij"), (2, "abcdefghiX\nb")], "doc_id bigint, text string"), shortest=5).collect()) == 4
+
+
+def test_lines_that_share_a_half_make_no_variants(spark, monkeypatch):
+    """Unlike lines with one head: their other halves never meet in pieces, so no character is deleted."""
+    rng = random.Random(31)
+    start = "the same head " * 8
+    texts = [start + "".join(rng.choices("abcdefgh", k=len(start))) for _ in range(30)]
+    made, plain = [], line_dedup.variant_rows
+    monkeypatch.setattr(line_dedup, "variant_rows", lambda lines: made.append(plain(lines)) or made[-1])
+    assert all(r.n_kept == 1 for r in line_dedup.dedup(docs_of(spark, texts)).collect())
+    assert made[0].count() == 0
+
+
+@pytest.mark.parametrize("keys", [(0, 1), (2**63 - 1, -(2**63))])
+def test_an_edit_at_every_place_of_a_line(spark, keys):
+    """Lines of all lengths around multiples of the pieces, with either of two lines first, and keys that leave a long no room."""
+    rng = random.Random(32)
+    base, edited = [], []
+    for n in (9, 15, 16, 17, 31, 32, 33, 50):
+        for p in range(n + 1):
+            for kind in range(3 if p < n else 1):
+                line = "".join(rng.choices("abcdefghijklmnoprstuvwé日", k=n))
+                base.append(line)
+                edited.append(line[:p] + ("X", "X", "")[kind] + line[p + (0, 1, 1)[kind] :])
+    for first, second in ((base, edited), (edited, base)):
+        rows = [(min(keys), "\n".join(first)), (max(keys), "\n".join(second))]
+        found = {r.doc_id: r.n_kept for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+        assert found == {min(keys): len(base), max(keys): 0}
